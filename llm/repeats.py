@@ -163,7 +163,8 @@ def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable
     keyed = _keyed(docs)
     units = word_units if unit == "words" else byte_units
     runs = staged(keyed.select("k1", "k2", "text").mapInArrow(_cut(units, width, k), _RUNS), "runs")
-    seen = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fragment") != F.max("fragment")).alias("differ")).filter("n > 1").drop("n")
+    # staged, so that both sides of the join are plain exchanges and Spark can split a hot anchor
+    seen = staged(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fragment") != F.max("fragment")).alias("differ")).filter("n > 1").drop("n"), "seen")
     met = staged(runs.join(seen, "anchor"), "met")
 
     # one place of each distinct run of the anchors whose runs differ
