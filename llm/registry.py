@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
+from . import exact_dedup, mixing, url_filter
 from .common import read_table
+from .packing import pack
 from .substring_dedup import remove_phrases
 from .suffix_dedup import remove_repeats
+from .token_counts import count_tokens
+
+
+def op1_exact_dedup(spark, sf_dir):
+    found = exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op2_mixing(spark, sf_dir):
+    found = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_token_counts(spark, sf_dir):
+    return count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_url_filter(spark, sf_dir):
+    found = url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_packing(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_substring_dedup(spark, sf_dir):
@@ -17,5 +43,5 @@ def op8_suffix_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_substring_dedup, op8_suffix_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_url_filter, op5_packing, op6_substring_dedup, op8_suffix_dedup)}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op2_mixing": mixing.SQL, "op4_url_filter": url_filter.SQL}

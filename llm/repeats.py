@@ -116,7 +116,8 @@ def window_keys(bodies: list[bytes], unit: str, width: int) -> tuple[np.ndarray,
     if unit == "words":
         split = [b.split(b" ") for b in bodies]
         sizes = np.array([len(s) for s in split])
-        codes = pd.factorize(np.array([w for s in split for w in s], object))[0].astype(">u4")
+        number: dict[bytes, int] = {}
+        codes = np.array([number.setdefault(w, len(number)) for s in split for w in s]).astype(">u4")
         flat, step = codes.view(np.uint8), 4
     else:
         flat, step = np.frombuffer(b"".join(bodies), np.uint8), 1

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,7 +32,8 @@ def locate(words: list[list[bytes]], passages: list[list[tuple[int, int]]]) -> l
     through which every text streams.
     """
     sizes = [len(w) for w in words]
-    codes = pd.factorize(np.array([x for w in words for x in w], object))[0].tolist() if sum(sizes) else []
+    number: dict[bytes, int] = {}
+    codes = [number.setdefault(x, len(number)) for w in words for x in w]
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     at, texts = 0, []
     for n in sizes:
