@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, near_dedup, neighbours, quality, url_filter
 from .common import read_table
 from .packing import pack
 from .substring_dedup import remove_phrases
@@ -43,5 +43,20 @@ def op8_suffix_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_url_filter, op5_packing, op6_substring_dedup, op8_suffix_dedup)}
+def op7_quality_classifier(spark, sf_dir):
+    found = quality.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+def op10_neighbours(spark, sf_dir):
+    vectors = neighbours.usable(read_table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_url_filter, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_neighbours)}
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op2_mixing": mixing.SQL, "op4_url_filter": url_filter.SQL}
