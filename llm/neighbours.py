@@ -1,8 +1,8 @@
 """Approximate nearest neighbours (operator 10): collision-counting hashing.
 
 Every projection is one sorted array. A query's window around its own projection
-widens from level to level (virtual rehashing: a wider bucket is made of narrower
-ones, nothing is hashed anew), and what enters a window gains a collision;
+widens from level to level (virtual rehashing: nothing is hashed anew); the windows'
+bounds in the sorted arrays say who collides;
 vectors with enough collisions are verified on the original vectors.
 """
 
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from .common import staged
 
 TOP = 20
-PROJECTIONS, SEED = 96, 7
+PROJECTIONS, SEED = 128, 7
 #: Share of the projections in which a vector must collide, the windows' first half-width
 #: (in units of the largest norm) and growth, and the share of a block's vectors to verify.
-COLLISIONS, WIDTH, GROWTH, VERIFY = 0.55, 0.25, 1.25, 0.15
-#: Vectors and queries in one block.
+COLLISIONS, WIDTH, GROWTH, VERIFY = 0.7, 0.25, 1.25, 0.12
+#: Vectors and queries in one block (on average); a block may have 65,535 vectors at most.
 BLOCK, QUERIES = 16384, 4096
 
 _OUT = "query_id long, vec_id long, score double"
@@ -45,34 +45,55 @@ class Block:
         rest = np.sqrt(np.maximum(norm * norm - np.einsum("ij,ij->i", x, x), 0.0))
         self.directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
         p = x @ self.directions[:-1] + rest[:, None] * self.directions[-1]
-        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.take_along_axis(p, self.order.T.astype(np.int64), axis=0).T)
-
-    def search(self, query_id: int, q: np.ndarray, top: int, collisions: float, width: float, growth: float, verify: float) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(p, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
+        # where each vector stands in each sorted array
+        self.place = np.empty(self.sorted.shape, np.uint16)
+        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int, collisions: float, width: float, growth: float, verify: float):
+        """Yields (ids, scores) of each query: the narrowest level that brings enough vectors is verified."""
         n, m = len(self.ids), len(self.sorted)
-        enough = min(n, top + 1 + int(np.ceil(verify * n)))
-        if enough >= n:
-            found = np.arange(n)
-        else:
-            centre = (q * (self.norm / np.sqrt(q @ q))) @ self.directions[:-1]
-            counts, need = np.zeros(n, np.int64), collisions * m
-            low = high = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(m)])
-            w = width * self.norm
-            while True:
-                to_low = np.array([np.searchsorted(self.sorted[j], centre[j] - w, "left") for j in range(m)])
-                to_high = np.array([np.searchsorted(self.sorted[j], centre[j] + w, "right") for j in range(m)])
-                new = [self.order[j, a:b] for j in range(m) for a, b in ((to_low[j], low[j]), (high[j], to_high[j])) if b > a]
-                if new:
-                    counts += np.bincount(np.concatenate(new), minlength=n)
-                low, high = np.minimum(low, to_low), np.maximum(high, to_high)
-                found = np.flatnonzero(counts >= need)
-                if len(found) >= enough or (low.max() == 0 and high.min() == n):
-                    break
-                w *= growth
-        found = found[self.ids[found] != query_id]
-        score = exact(self.x[found], q)
-        best = np.lexsort((self.ids[found], -score))[:top]
-        return self.ids[found][best], score[best]
+        enough = top + 1 + int(np.ceil(verify * n))
+        need = int(np.ceil(collisions * m))
+        centres = (queries * (self.norm / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.directions[:-1]
+        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        shifted, inside = np.empty(self.place.shape, np.uint16), np.empty(self.place.shape, bool)
+
+        def level(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Bounds of the windows of level k in the sorted arrays, for all queries."""
+            if k not in windows:
+                w = width * self.norm * growth**k
+                windows[k] = tuple(np.stack([np.searchsorted(self.sorted[j], centres[:, j] + d * w, side) for j in range(m)], axis=1).astype(np.uint16) for d, side in ((-1, "left"), (1, "right")))
+            return windows[k]
+
+        def collided(i: int, k: int) -> np.ndarray:
+            low, high = (x[i] for x in level(k))
+            np.subtract(self.place, low[:, None], out=shifted)
+            np.less(shifted, (high - low)[:, None], out=inside)
+            return np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint16) >= need)
+
+        k = 0
+        for i, q in enumerate(queries):
+            if enough >= n:
+                found = np.arange(n)
+            else:
+                found = collided(i, k)
+                while len(found) >= enough and k > 0:
+                    less = collided(i, k - 1)
+                    if len(less) < enough:
+                        break
+                    found, k = less, k - 1
+                while len(found) < enough:
+                    k += 1
+                    found = collided(i, k)
+            found = found[self.ids[found] != query_ids[i]]
+            rough = self.x[found] @ q
+            if len(found) > top:
+                found = found[rough >= np.partition(rough, -top)[-top] - 1e-9 * self.norm * np.sqrt(q @ q)]
+            score = exact(self.x[found], q)
+            best = np.lexsort((self.ids[found], -score))[:top]
+            yield self.ids[found][best], score[best]
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -105,10 +126,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(asked):
             here = Block(data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()), norm, projections, seed)
-            for i, q in zip(asked["vec_id"].tolist(), asked["embedding"]):
-                ids, score = here.search(i, np.asarray(q), top, collisions, width, growth, verify)
-                out["query_id"].append(np.full(len(ids), i))
-                out["vec_id"].append(ids)
+            ids = asked["vec_id"].to_numpy()
+            found = here.search(ids, np.stack(asked["embedding"].to_numpy()), top, collisions, width, growth, verify)
+            for i, (near, score) in zip(ids, found):
+                out["query_id"].append(np.full(len(near), i))
+                out["vec_id"].append(near)
                 out["score"].append(score)
         return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, float if k == "score" else np.int64) for k, v in out.items()})
 

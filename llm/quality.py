@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat_bytes, space_mask, text_of
+from .common import by_bytes, flat_bytes, space_mask, text_of, words_of
+from .repeats import word_units
 
 #: Documents that the field is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_DOCS = 4000
@@ -18,8 +19,6 @@ STEPS, RATE, SHRINK = 200, 0.1, 1e-3
 SEED = 11
 CHUNK = 1 << 20
 
-N_BASE = 16
-
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -58,10 +57,16 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     words = count(first)
     n, w = np.maximum(size, 1), np.maximum(words, 1)
     glued = np.append(False, mark[1:] & ~white[:-1]) & ~plain
+    # words equal to the word before them in the line
+    begin, _, _ = words_of(buf, np.array([0, len(buf)]))
+    unit, _ = word_units(buf, np.array([0, len(buf)]))
+    line_of = np.searchsorted(ends, begin)
+    again = (unit[1:] == unit[:-1]) & (line_of[1:] == line_of[:-1])
+    echo = np.bincount(line_of[1:][again], minlength=len(ends)).astype(np.float64)
     f = np.stack([
         np.log1p(size), np.log1p(words), letters / n, count(upper) / n, count(digit) / n, count(mark & plain) / w, count(symbol) / w, count(bang) / w,
         count(bar) / w, (size - count(white)) / w, count(same) / n, count(glued) / w, count(upper & first) / w, (letters == 0).astype(float),
-        np.where(size > 0, buf[np.maximum(ends - 1, 0)] == ord("."), 0).astype(float), count(wide) / n,
+        np.where(size > 0, buf[np.maximum(ends - 1, 0)] == ord("."), 0).astype(float), count(wide) / n, echo / w,
     ], axis=1)
     # neighbours within the document, zeros beyond it, with flags for both ends
     doc_start = np.zeros(len(ends), bool)
