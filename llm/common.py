@@ -83,3 +83,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     first, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return first, end, np.diff(np.searchsorted(first, offsets))
+
+
+class Numbering(dict):
+    """Numbers keys in the order in which they first come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+    def codes(self, keys) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64)
+
+
+def raw_texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each text's bytes."""
+    raw = data[offsets[0] : offsets[-1]].tobytes()
+    at = (offsets - offsets[0]).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat_bytes, text_of
+from .common import Numbering, by_bytes, flat_bytes, raw_texts, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -44,7 +45,7 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbering()
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +54,12 @@ class WordIds:
             self._clear()
         known, number = len(self.number), self.number
         words = [t.split() for t in texts]
-        codes = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+        codes = number.codes(chain.from_iterable(words))
         if len(number) > known:
-            new = list(number)[known:] if known == 0 else [w for w, i in zip(reversed(number), range(len(number) - known))][::-1]
+            new = list(islice(reversed(number), len(number) - known))[::-1]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
         size = self.start[codes + 1] - self.start[codes]
         ends = np.cumsum(size)
         out = self.ids[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -153,10 +154,10 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            _, offsets = flat_bytes(batch.column(1))
+            data, offsets = flat_bytes(batch.column(1))
             docs = batch.column(0).to_pylist()
             for a, b in by_bytes(offsets, CHUNK):
-                flat, sizes = word_ids(path).encode([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)[a:b]])
+                flat, sizes = word_ids(path).encode(raw_texts(data, offsets[a : b + 1]))
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist()):
                     ids = np.append(flat[at : at + n], np.uint32(end_id))

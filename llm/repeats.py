@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import gram_hashes, mix, owned_runs
-from .common import by_bytes, flat_bytes, staged, text_of, words_of
+from .common import Numbering, by_bytes, flat_bytes, staged, text_of, words_of
 
 #: Runs that one shard holds; an anchor with more distinct runs is split.
 SHARD_RUNS = 2000
@@ -116,8 +116,8 @@ def window_keys(bodies: list[bytes], unit: str, width: int) -> tuple[np.ndarray,
     if unit == "words":
         split = [b.split(b" ") for b in bodies]
         sizes = np.array([len(s) for s in split])
-        number: dict[bytes, int] = {}
-        codes = np.array([number.setdefault(w, len(number)) for s in split for w in s]).astype(">u4")
+        number = Numbering()
+        codes = np.array([number[w] for s in split for w in s]).astype(">u4")
         flat, step = codes.view(np.uint8), 4
     else:
         flat, step = np.frombuffer(b"".join(bodies), np.uint8), 1

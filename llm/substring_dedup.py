@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, flat_bytes
+from .common import Numbering, by_bytes, flat_bytes, raw_texts
 from .repeats import SHARD_RUNS, find_spans, merged
 
 #: Words of a window, and of the grams that bring possible matches together.
@@ -32,8 +32,8 @@ def locate(words: list[list[bytes]], passages: list[list[tuple[int, int]]]) -> l
     through which every text streams.
     """
     sizes = [len(w) for w in words]
-    number: dict[bytes, int] = {}
-    codes = [number.setdefault(x, len(number)) for w in words for x in w]
+    number = Numbering()
+    codes = [number[x] for w in words for x in w]
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     at, texts = 0, []
     for n in sizes:
@@ -50,10 +50,10 @@ def locate(words: list[list[bytes]], passages: list[list[tuple[int, int]]]) -> l
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, offsets = flat_bytes(batch.column(1))
+        data, offsets = flat_bytes(batch.column(1))
         for a, b in by_bytes(offsets, SHARD_BYTES):
             part = batch.slice(a, b - a)
-            words = [t.as_py().encode("utf-8", "surrogatepass").split() for t in part.column(1)]
+            words = [t.split() for t in raw_texts(data, offsets[a : b + 1])]
             places = locate(words, [merged(s.as_py()) for s in part.column(2)])
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
             for w, found in zip(words, places):

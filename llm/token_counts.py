@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat_bytes, text_of
+from .common import Numbering, by_bytes, flat_bytes, text_of
 
 LIMIT = 4096
 #: Bytes of text whose pre-tokens are merged together (one document more at most).
@@ -172,8 +172,8 @@ class PieceCounter:
             feeds.append(t.count("\n"))
         if not words:
             return np.array(feeds, np.int64)
-        number: dict[str, int] = {}
-        codes = np.array([number.setdefault(w, len(number)) for w in words])
+        number = Numbering()
+        codes = number.codes(words)
         each = self.count_pretokens(list(number))[codes]
         ends = np.cumsum(per)
         sums = np.append(0, np.cumsum(each))
