@@ -38,10 +38,10 @@ class WordIds:
     the known words lie one after another in one array.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._clear()
 
     def _clear(self) -> None:
@@ -50,7 +50,7 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        if len(self.number) > CACHE_WORDS:
+        if len(self.number) > self.most:
             self._clear()
         known, number = len(self.number), self.number
         words = [t.split() for t in texts]
@@ -69,9 +69,9 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int) -> WordIds:
     """One for each Python worker."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
 class Pool:
@@ -125,7 +125,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
             data, offsets = flat_bytes(batch.column(1))
             docs = batch.column(0).to_pylist()
             for a, b in by_bytes(offsets, CHUNK):
-                flat, sizes = word_ids(path).encode(raw_texts(data, offsets[a : b + 1]))
+                flat, sizes = word_ids(path, cache_words).encode(raw_texts(data, offsets[a : b + 1]))
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist()):
                     ids = np.append(flat[at : at + n], np.uint32(end_id))
@@ -197,7 +197,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Every partition is packed by itself in one pass, without a shuffle: a document
@@ -209,4 +209,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids), schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids, cache_words), schema)
