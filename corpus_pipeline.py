@@ -30,9 +30,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
-    return packing.pack(docs, with_ids=True)
+    return packing.pack(docs, with_ids=True, cache_words=WORKER_WORDS)
 
 
+#: Words that a packing worker remembers: few, as the other stages share its executor.
+WORKER_WORDS = 200_000
+
 STAGES = [
     ("quality classifier", filter_quality),
     ("exact dedup", drop_copies),
