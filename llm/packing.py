@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, by_bytes, flat_bytes, raw_texts, text_of
+from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -209,4 +209,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids, cache_words), schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(releasing(_pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids, cache_words)), schema)

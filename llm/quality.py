@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat_bytes, space_mask, text_of, words_of
+from .common import by_bytes, flat_bytes, releasing, space_mask, text_of, words_of
 from .repeats import word_units
 
 #: Documents that the field is fitted on, at most: those with the smallest hashes of their ids.
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field |
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(2 * most)
     found = docs.select("doc_id", text_of().alias("text")).join(sample, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", F.xxhash64("text")).limit(most)
-    rows = found.select("quality", "text").mapInArrow(_featured, "quality int, x binary, lines long").collect()
+    rows = found.select("quality", "text").mapInArrow(releasing(_featured), "quality int, x binary, lines long").collect()
     label = np.array([int(r.quality == 1) for r in rows])
     if len(set(label.tolist())) < 2:
         return None
@@ -197,7 +197,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.clip(s, 0.0, 1.0)), pa.array(per.astype(np.int64))], names=["doc_id", "score", "n_lines"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, n_lines long")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(releasing(run), f"doc_id {kind}, score double, n_lines long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
@@ -225,4 +225,4 @@ def good_only(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Dat
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
