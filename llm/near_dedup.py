@@ -8,6 +8,7 @@ distance, not only with what their sets of k-mers have in common.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -25,8 +26,12 @@ from .repeats import word_units
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches, and k-mers in each. Texts that share 0.8 of their shingles miss all with a chance below 1e-6.
 SKETCHES, ORDERED = 20, 3
-#: Who is not similar to a leader goes on to finer buckets, those of one more sketch, so far on; after so many they only elect again.
+#: Order of comparing only: who is not similar to a leader meets further leaders in finer buckets, those of one more sketch, so far on, so often.
 FURTHER, DEPTH = (1, 3), 8
+#: Nodes and bytes of words in one block of a bucket (on average); bins of the counts that bound a pair's edits.
+BLOCK, BLOCK_BYTES, BINS = 128, 4 << 20, 128
+#: Longer texts are aligned by diagonals, shorter ones by bits.
+BITS = 4096
 CHUNK = 1 << 20
 
 
@@ -72,14 +77,45 @@ def sketches(units: np.ndarray, sizes: np.ndarray, shingle: int = SHINGLE, n: in
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edits (words put in, left out or replaced) from a to b, or limit + 1 if there are more.
-
-    Banded: after e edits the furthest point on each of the 2e + 1 diagonals is
+    """Edits (words put in, left out or replaced) from a to b, or limit + 1 if there are more."""
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    return _by_bits(a.tolist(), b.tolist(), limit) if max(len(a), len(b)) <= BITS else _by_diagonals(a, b, limit)
+
+
+def _by_bits(a: list[int], b: list[int], limit: int) -> int:
+    """Columns of the table of edits as bit vectors: where an entry is one more, or one less, than the one above it."""
+    if not a or not b:
+        return min(max(len(a), len(b)), limit + 1)
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits, left = mask, 0, len(a), len(b)
+    for w in b:
+        equal = places.get(w, 0)
+        across = ((equal & up) + up ^ up) | equal
+        more, less = (down | ~(across | up)) & mask, up & across
+        if more & last:
+            edits += 1
+        elif less & last:
+            edits -= 1
+        left -= 1
+        # each word that is left takes off one at most
+        if edits - left > limit:
+            return limit + 1
+        more, level = more << 1 | 1, equal | down
+        up, down = (less << 1 | ~(level | more)) & mask, more & level & mask
+    return min(edits, limit + 1)
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """The same, banded.
+
+    After e edits the furthest point on each of the 2e + 1 diagonals is
     kept; how far equal words lead on from there is found on prefix hashes for
     all diagonals together.
     """
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
     n, m = len(a), len(b)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.append(np.uint64(1), np.full(max(n, m), 0x9E3779B97F4A7C15, np.uint64)))
@@ -214,14 +250,77 @@ def _verify(similarity: float):
     return run
 
 
+def _within(similarity: float):
+    """Links of one block of a bucket, or between two, that join what is not joined yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_words"))
+        salt, guest, nth = (table.column(c).to_numpy() for c in ("salt", "guest", "nth"))
+        one, other = table.column("one")[0].as_py(), table.column("other")[0].as_py()
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64)
+        words = [np.frombuffer(w, np.uint32) for w in table.column("words").to_pylist()]
+        with np.errstate(over="ignore"):
+            bins = np.stack([np.bincount((w * np.uint32(0x9E3779B1)) >> np.uint32(32 - (BINS.bit_length() - 1)), minlength=BINS) for w in words]).astype(np.int32)
+        # classes that links found here have joined
+        into: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in into:
+                r = into[r]
+            return r
+
+        a, b = [], []
+        for i in np.flatnonzero(salt == one):
+            j = np.flatnonzero(salt == other)
+            j = j[(j > i) if one == other else (j != i)]
+            j = j[(root[j] != root[i]) & ~(guest[j] & guest[i])]
+            longer = np.maximum(size[j], size[i])
+            limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            j, limit = (x[np.minimum(size[j], size[i]) >= longer - limit] for x in (j, limit))
+            # a pair is compared in the first sketch that it shares
+            fresh = ~(sketch[j, : nth[0]] == sketch[i, : nth[0]]).any(axis=1)
+            j, limit = j[fresh], limit[fresh]
+            # words that one text has more often than the other are edits; words that share a bin only hide some
+            apart = bins[j] - bins[i]
+            for k in j[(np.maximum(apart, 0).sum(axis=1) <= limit) & (np.maximum(-apart, 0).sum(axis=1) <= limit)]:
+                x, y = top(int(root[i])), top(int(root[k]))
+                if x != y and similar(words[i], words[k], similarity):
+                    into[x] = y
+                    a.append(node[i])
+                    b.append(node[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes that share a bucket and are in different classes so far: every such pair is compared.
+
+    Buckets are split by bands of length (a node is a guest in the band below its own,
+    so that all pairs of fitting length meet once), and those into blocks that meet in pairs.
+    """
+    near = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    band = F.floor(F.log(F.col("n_words").cast("double")) / (math.log(1 / similarity) + 1e-6))
+    own = near.select("key", "nth", "node", "root", "n_words", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band - 1).alias("band"), F.lit(True).alias("guest")))).alias("at"))
+    own = staged(own.select("key", "nth", "node", "root", "n_words", "at.band", "at.guest"), "bands")
+    mixed = own.groupBy("key", "band").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"), (F.min("root") != F.max("root")).alias("mixed"), F.min("guest").alias("guests"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(4 * F.col("total") / BLOCK_BYTES))
+    mixed = mixed.filter("mixed and not guests").select("key", "band", blocks.alias("blocks"))
+    dealt = own.join(mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.withColumn("one", F.least("salt", "with")).withColumn("other", F.greatest("salt", "with")).drop("with", "blocks")
+    full = met.join(nodes.select("node", "sketch"), "node").join(words, "node")
+    return staged(full.groupBy("key", "band", "one", "other").applyInArrow(_within(similarity), "a long, b long"), "across")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, n: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
     """doc_id, class_id, class_size, kept, digest: which documents are near copies of each other.
 
     Equal texts are one node from the start. Nodes that agree in a sketch share a
-    bucket; every bucket elects a leader (who shares most buckets' places with others;
-    ties by a hash), with which each other node is aligned.
-    Those that are not similar to it stay and elect the next, until each node of the
-    bucket is linked or has been leader; links are similar pairs only. Classes are the
+    bucket. First every bucket elects a leader (who shares most buckets' places with others;
+    ties by a hash), with which each other node is aligned, and those that are not
+    similar to it go on to finer buckets. Then all pairs of a bucket that are not in
+    one class yet are compared, so that no similar pair that shares a sketch stays apart. Classes are the
     connected components; class_id is the smallest doc_id in them (null last), and that
     document is kept. Texts below ``shingle`` words, null ones too (as empty), are only
     near copies of equal texts; rows with equal doc_id and text are
@@ -241,12 +340,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     rows = staged(rows.join(crowded, "key"), "crowded")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
     rows, depth = staged(rows.drop("n").join(company, "node"), "buckets"), 0
+    coarse = rows.select("key", "nth", "node", "n_words")
     wanted = rows.select("node").distinct().join(nodes.select("node", "digest", "rep"), "node")
     here = (flat["digest"] == wanted["digest"]) & flat["doc_id"].eqNullSafe(wanted["rep"])
     words = staged(flat.join(wanted.select("node", "digest", "rep"), here).select("node", "text").mapInArrow(releasing(_words), "node long, words binary").dropDuplicates(["node"]), "words")
 
-    links = None
-    while True:
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    while depth < DEPTH:
         order = F.struct((-F.col("company")).alias("o"), F.xxhash64("node").alias("h"), "node", "n_words")
         led = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("l")).filter("n > 1")
         led = staged(led.select("key", F.col("l.node").alias("leader"), F.col("l.n_words").alias("leader_words")), "led")
@@ -257,17 +357,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         pairs = met.filter(fit & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         sides = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
         judged = staged(sides.select("a", "b", "wa", "wb").mapInArrow(releasing(_verify(similarity)), "a long, b long, ok boolean").filter("ok").drop("ok"), "judged")
-        links = judged if links is None else links.unionByName(judged)
+        links = links.unionByName(judged)
         linked = judged.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         rest = met.filter(F.col("node") != F.col("leader")).join(linked, ["node", "leader"], "left_anti").select("key", "node", "n_words", "nth", "company")
         depth += 1
-        if depth <= DEPTH:
-            finer = rest.join(nodes.select("node", "sketch"), "node").withColumn("nth", F.explode(F.array(*((F.col("nth") + i) % n for i in FURTHER))))
-            rest = finer.select(F.xxhash64("key", "nth", F.element_at("sketch", F.col("nth") + 1)).alias("key"), "node", "n_words", "nth", "company")
+        finer = rest.join(nodes.select("node", "sketch"), "node").withColumn("nth", F.explode(F.array(*((F.col("nth") + i) % n for i in FURTHER))))
+        rest = finer.select(F.xxhash64("key", "nth", F.element_at("sketch", F.col("nth") + 1)).alias("key"), "node", "n_words", "nth", "company")
         rows = staged(rest, "rest")
 
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = components(links)
+    links = links.unionByName(_across(coarse, roots, nodes, words, similarity))
     roots = components(links)
     labelled = nodes.select("node", "digest", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).getField("node").alias("first"))

@@ -111,6 +111,44 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def changed(rng, words, share, start=0):
+    out = list(words)
+    for i in rng.sample(range(start, len(out)), int(share * len(out))):
+        out[i] = f"n{rng.randrange(10**6)}"
+    return out
+
+
+def sharing_and_similar(texts, n):
+    """For each text the smallest one that pairs which share a sketch and are similar lead to."""
+    raw = [" ".join(t).encode() for t in texts]
+    units, sizes = near_dedup.word_units(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    _, keys = near_dedup.sketches(units, sizes, n=n)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (keys[i] == keys[j]).any() and edits(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def near_classes(spark, texts, n):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.class_id for r in sorted(near_dedup.near_duplicates(docs, n=n).collect(), key=lambda r: r.doc_id)]
+
+
+def test_near_duplicates_around_one_passage(spark, monkeypatch):
+    """Pairs in a bucket whose leader is similar to neither are compared."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for _ in range(30):
+        base = changed(rng, passage + ["x"] * 40, 0.5, 40)
+        texts += [changed(rng, base, 0.12, 40) for _ in range(3)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 8, raising=False)
+    assert near_classes(spark, texts, 4) == sharing_and_similar(texts, 4)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(10, 30)] + [(5, 40), (40, 7), (100, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
