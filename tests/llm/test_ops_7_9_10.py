@@ -149,6 +149,17 @@ def test_near_duplicates_around_one_passage(spark, monkeypatch):
     assert near_classes(spark, texts, 4) == sharing_and_similar(texts, 4)
 
 
+def test_near_duplicates_that_drift(spark):
+    """Nodes similar to a leader are compared with those that it is not similar to."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(20):
+        texts.append([f"w{rng.randrange(10**6)}" for _ in range(80)])
+        for _ in range(5):
+            texts.append(changed(rng, texts[-1], 0.08, 30))
+    assert near_classes(spark, texts, 4) == sharing_and_similar(texts, 4)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(10, 30)] + [(5, 40), (40, 7), (100, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
