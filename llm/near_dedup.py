@@ -23,9 +23,10 @@ from .graph import components
 from .repeats import word_units
 
 #: Words of a shingle and the similarity (1 - edit distance / words of the longer text) of a link.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches, and k-mers in each. Texts that share 0.8 of their shingles miss all with a chance below 1e-6.
-SKETCHES, ORDERED = 20, 3
+SHINGLE, SIMILARITY = 2, 0.8
+#: Sketches, and k-mers in each. With a fifth of the words replaced, scattered, texts share 0.64 / 1.36 of their shingles: they miss
+#: all with a chance of about (1 - 0.47 ** 3) ** 48, half a hundredth; with 0.15 replaced below 1e-4.
+SKETCHES, ORDERED = 48, 3
 #: Order of comparing only: who is not similar to a leader meets further leaders in finer buckets, those of one more sketch, so far on, so often.
 FURTHER, DEPTH = (1, 3), 8
 #: Nodes and bytes of words in one block of a bucket (on average); bins of the counts that bound a pair's edits.

@@ -160,6 +160,21 @@ def test_near_duplicates_that_drift(spark):
     assert near_classes(spark, texts, 4) == sharing_and_similar(texts, 4)
 
 
+def test_near_duplicates_at_the_stated_similarity(spark):
+    """Pairs with scattered edits, up to the similarity that makes a link, are found."""
+    rng = random.Random(7)
+    texts, shares = [], (0.2, 0.15, 0.1, 0.05)
+    for share in shares:
+        for _ in range(50):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 10) * 20)]
+            texts += [base, changed(rng, base, share)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    for k in range(len(shares)):
+        found = sum(got[i] == got[i + 1] == i for i in range(100 * k, 100 * k + 100, 2))
+        assert found >= (48 if shares[k] == 0.2 else 50), (shares[k], found)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(10, 30)] + [(5, 40), (40, 7), (100, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
