@@ -48,6 +48,18 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     return leveled.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("cap", F.coalesce(chosen, F.lit(0.0)) * F.col("weight"))).alias("target"))
 
 
+def _copied(sized: DataFrame, weights: tuple, total: float, most: float, seed: str) -> DataFrame:
+    """Adds source_size, target and copies to rows with doc_id, source and size."""
+    sources = staged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "sources")
+    small = sources.count() <= BROADCAST_SOURCES
+    side = sources.select(F.col("source").alias("__source"), "source_size", "target")
+    joined = sized.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor("rate")
+    extra = (uniform("doc_id", seed=seed) < F.col("rate") - whole).cast("long")
+    return joined.withColumn("rate", rate).withColumn("copies", whole + extra).drop("rate")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: str = SEED) -> DataFrame:
     """Adds size, source_size, target, copies and taken to doc_id, source.
 
@@ -57,21 +69,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
     an empty table gives no rows.
     """
     sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "sized")
-    sources = staged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "sources")
-    small = sources.count() <= BROADCAST_SOURCES
-    side = sources.withColumnRenamed("source", "__source")
-    joined = sized.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("__source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
-    extra = (uniform("doc_id", seed=seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return _copied(sized, weights, total, most, seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
 
+def emit(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The mixed documents themselves, copies as rows of their own, all columns as they were.
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves, copies as rows of their own, all columns as they were."""
-    copies = mix(docs, **options).select(F.col("doc_id").alias("__id"), "copies").filter("copies > 0").dropDuplicates(["__id"])
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    Each row takes the copies of its own source and doc_id, whatever other rows share its doc_id.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", word_count().alias("size"))
+    copied = _copied(row, weights, total, most, seed).filter("copies > 0")
+    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 SQL = r"""

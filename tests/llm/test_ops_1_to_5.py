@@ -80,6 +80,19 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_emit_takes_each_row_for_itself(spark):
+    """Documents that share a doc_id, or have none, take the copies of their own source."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3]), f"{i} " + "w " * rng.randrange(1, 30), rng.choice("abcd"), "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(df).collect()}
+    got = defaultdict(int)
+    for r in mixing.emit(df).collect():
+        got[r.text] += 1
+    assert len(set(copies.values())) > 1
+    assert dict(got) == {t: copies[d, s] for d, t, s, _ in rows if copies[d, s]}
+
+
 ODD = ["", "  a", "\n", "   ", "a" * 500, " " * 77, "日本語 テスト", "퟿ é", "▁▁ a", "<s> </s><0x0A>", "\x00a", "🙂🙂 x", "aaab" * 40, "10 000", "\t\t\tx", "<|endoftext|> x", "İI ſ é \x1c\x1d .\x1f!", "x'll'S don't", "    ", "A" * 3000]
 
 
