@@ -20,7 +20,7 @@ PROJECTIONS, SEED = 128, 7
 #: Share of the projections in which a vector must collide, the windows' first half-width
 #: (in units of the largest norm) and growth, and the share of a block's vectors to verify.
 COLLISIONS, WIDTH, GROWTH, VERIFY = 0.7, 0.25, 1.25, 0.12
-#: Vectors and queries in one block (on average); a block may have 65,535 vectors at most.
+#: Vectors and queries in one block (on average).
 BLOCK, QUERIES = 16384, 4096
 
 _OUT = "query_id long, vec_id long, score double"
@@ -48,8 +48,9 @@ class Block:
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
         # where each vector stands in each sorted array
-        self.place = np.empty(self.sorted.shape, np.uint16)
-        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.rank = np.uint16 if len(ids) <= 65535 else np.uint32
+        self.place = np.empty(self.sorted.shape, self.rank)
+        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=self.rank)[None, :], axis=1)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int, collisions: float, width: float, growth: float, verify: float):
         """Yields (ids, scores) of each query: the narrowest level that brings enough vectors is verified."""
@@ -58,13 +59,13 @@ class Block:
         need = int(np.ceil(collisions * m))
         centres = (queries * (self.norm / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.directions[:-1]
         windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        shifted, inside = np.empty(self.place.shape, np.uint16), np.empty(self.place.shape, bool)
+        shifted, inside = np.empty(self.place.shape, self.rank), np.empty(self.place.shape, bool)
 
         def level(k: int) -> tuple[np.ndarray, np.ndarray]:
             """Bounds of the windows of level k in the sorted arrays, for all queries."""
             if k not in windows:
                 w = width * self.norm * growth**k
-                windows[k] = tuple(np.stack([np.searchsorted(self.sorted[j], centres[:, j] + d * w, side) for j in range(m)], axis=1).astype(np.uint16) for d, side in ((-1, "left"), (1, "right")))
+                windows[k] = tuple(np.stack([np.searchsorted(self.sorted[j], centres[:, j] + d * w, side) for j in range(m)], axis=1).astype(self.rank) for d, side in ((-1, "left"), (1, "right")))
             return windows[k]
 
         def collided(i: int, k: int) -> np.ndarray:
@@ -120,7 +121,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     norm = float(norm) * (1 + 1e-12)
 
     def dealt(df: DataFrame, own: str, k: int, other: str, other_k: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(k))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_k - 1).cast("long"))))
+        # rows of an id that would fill a block are spread; such ids are fewer than blocks
+        heavy = df.groupBy("vec_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > block).select("vec_id", F.lit(True).alias("heavy"))
+        hashed = F.when(F.col("heavy"), F.xxhash64("vec_id", F.lit(own), F.monotonically_increasing_id())).otherwise(F.xxhash64("vec_id", F.lit(own)))
+        own_of = df.join(F.broadcast(heavy), "vec_id", "left").withColumn(own, F.pmod(hashed, F.lit(k))).drop("heavy")
+        # columns of their own, as queries may come from vectors
+        own_of = own_of.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"), own)
+        return own_of.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_k - 1).cast("long"))))
 
     def meet(key, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}

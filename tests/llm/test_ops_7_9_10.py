@@ -206,6 +206,24 @@ def test_neighbours(spark, block):
     assert neighbours.nearest(few.limit(0), few).count() == 0
 
 
+def test_neighbours_in_a_large_block():
+    """More vectors than 16 bits count."""
+    x = np.random.default_rng(4).normal(size=(70_000, 4))
+    here = neighbours.Block(np.arange(len(x)), x, float(np.sqrt((x * x).sum(axis=1).max())), 8, 1)
+    assert (np.sort(here.place, axis=1) == np.arange(len(x))).all()
+    (near, score), = here.search(np.array([-1]), x[69_990:69_991], 5, 0.7, 0.25, 1.25, 0.12)
+    want = np.sort(neighbours.exact(x, x[69_990]))[::-1][:5]
+    assert len(near) == 5 and score[0] <= want[0] and (score == neighbours.exact(x[near], x[69_990])).all()
+
+
+def test_neighbours_of_a_repeated_id(spark):
+    """All rows of an id that would fill a block meet the query."""
+    vectors = spark.range(70_000).selectExpr("1L AS vec_id", "array(cast(id AS double), 1.0D) AS embedding")
+    query = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, query, top=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 69_999.0 - i) for i in range(5)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
