@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, Spark in one process (as in tests) takes a temporary folder; a
+    cluster has no folder that would do, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +57,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def one_row_each(rows: DataFrame, keys: list[str], tied: str, row: str) -> DataFrame:
+    """The struct ``row`` of each key, spread into its columns.
+
+    Only keys for which ``tied`` is true have several rows; of those the row with the
+    smallest hash of all its columns (but maps, which have none) is taken, after a partial
+    aggregation, so that a hot key does not gather in one task.
+    """
+    of = rows.schema[row].dataType.fields
+    order = F.xxhash64(*(F.col(f"{row}.`{f.name}`") for f in of if "map<" not in f.dataType.simpleString()))
+    alone = rows.filter(~F.col(tied)).select(f"{row}.*")
+    several = rows.filter(tied).groupBy(*keys).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
+    return alone.unionAll(several)
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values one after another, offsets of n + 1 entries) of a string column without nulls."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,12 +93,20 @@ def by_bytes(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _trim() -> None:
+    """Gives freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the Python worker gives Arrow's unused memory back: workers outlive their stage."""
+    """``run``, after which the Python worker gives unused memory back: workers outlive their stage."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        _trim()
 
     return whole
 
