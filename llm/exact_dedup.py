@@ -6,11 +6,13 @@ DataFrame functions only. Texts are equal when equal after deleting white space.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, shared_dir, staged, text_of
+from .common import SPACE_CHARS, one_row_each, staged, text_of
 
 #: Buckets of an index. A table of 100 TB of documents wants some thousands.
 BUCKETS = 16
@@ -26,65 +28,117 @@ def digests(docs: DataFrame) -> DataFrame:
     return staged(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
-def create_index(spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS) -> str:
-    """An empty index, a table bucketed and sorted by digest; its files lie in the shared folder."""
+def create_index(spark: SparkSession, name: str | None = None, buckets: int = BUCKETS) -> str:
+    """An empty index, a table of the warehouse, bucketed and sorted by digest: digest, keep_id, chars, batch."""
     name = name or f"digest_index_{uuid.uuid4().hex}"
-    path = path or f"{shared_dir(spark)}/llm/{name}"
-    empty = spark.createDataFrame([], "digest string, keep_id long, chars long, row long, group_size long")
-    empty.write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
+    _write(spark.createDataFrame([], "digest string, keep_id long, chars long, batch string"), name, buckets, "error")
     return name
 
 
-def append_new(docs: DataFrame, index: str, buckets: int = BUCKETS) -> DataFrame:
+def _write(rows: DataFrame, index: str, buckets: int, mode: str) -> None:
+    rows.write.format("parquet").mode(mode).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index)
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """A bucket of one file, as ``compact`` leaves it, is read as sorted and not sorted anew."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def compact(spark: SparkSession, index: str, buckets: int = BUCKETS) -> str:
+    """The index with one sorted file a bucket, under a new name; the old table goes.
+
+    Buckets are read as they lie, so no rows are shuffled.
+    """
+    name = f"digest_index_{uuid.uuid4().hex}"
+    _write(spark.table(index), name, buckets, "error")
+    spark.sql(f"DROP TABLE {index}")
+    return name
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """digest, best (the row that stays: most code points, then smallest doc_id, null last, then the first row), n."""
+    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))).alias("best")
+    return rows.groupBy("digest").agg(best, F.count("*").alias("n"))
+
+
+def _append(groups: DataFrame, index: str, batch: str, buckets: int) -> None:
+    """Appends the digests that the index lacks, found by a sort-merge anti-join; a batch that comes again adds nothing."""
+    spark = groups.sparkSession
+    with _sorted_buckets(spark):
+        fresh = groups.hint("merge").join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
+        new = staged(fresh.select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.chars").alias("chars"), F.lit(batch).alias("batch")), "new")
+    _write(new.repartition(buckets, "digest"), index, buckets, "append")
+
+
+def _decided(rows: DataFrame, groups: DataFrame, index: str, batches: list[str]) -> DataFrame:
+    """What the index says about each row; a row of ``batches`` stays if the index took it up."""
+    with _sorted_buckets(rows.sparkSession):
+        held = rows.sparkSession.table(index).select("digest", "keep_id", "batch").hint("merge").join(groups.hint("merge"), "digest")
+        first = F.when(F.col("batch").isin(batches), -F.col("best.neg_row")).alias("first_row")
+        held = staged(held.select("digest", "keep_id", F.col("n").alias("group_size"), first), "decided")
+    kept = F.coalesce(F.col("row") == F.col("first_row"), F.lit(False))
+    return rows.join(held, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "chars", "row")
+
+
+def append_new(docs: DataFrame, index: str, batch: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Deduplicates docs against the index and within themselves, and appends what is new.
 
-    A sort-merge anti-join finds the digests that the index lacks; one row of each
-    is appended: of the most code points, then the smallest doc_id (null last),
-    then the first row. Returns one row per document: doc_id, keep_id, group_size,
-    kept, text_sha256, where keep_id is the row that the index holds, perhaps from an
-    earlier batch, and group_size counts the rows of this batch. Null text counts as
-    empty, and all-white texts are equal to it; equal rows are copies, of which one is
-    kept; an empty table appends nothing.
+    One row of each digest that the index lacks is appended: of the most code points,
+    then the smallest doc_id (null last), then the first row. ``batch`` names the docs: the
+    same batch again, after a failure say, appends nothing and gets the same answer. Returns one
+    row per document: doc_id, keep_id, group_size, kept, text_sha256, chars, row, where keep_id is the
+    row that the index holds, perhaps from an earlier batch, and group_size counts
+    the rows of this batch. Null text counts as empty, and all-white texts are equal to
+    it; equal rows are copies, of which one is kept; more columns are not used; an
+    empty table appends nothing and gives no rows; texts of any length are hashed whole.
     """
-    spark = docs.sparkSession
+    batch = batch or uuid.uuid4().hex
     rows = digests(docs)
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))).alias("best")
-    groups = rows.groupBy("digest").agg(best, F.count("*").alias("group_size"))
-    fresh = groups.hint("merge").join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
-    new = fresh.select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.chars").alias("chars"), (-F.col("best.neg_row")).alias("row"), "group_size")
-    batch = F.lit(uuid.uuid4().hex)
-    ids = staged(new.withColumn("batch", batch), "new")
-    ids.drop("batch").repartition(buckets, "digest").write.format("parquet").mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index)
+    groups = staged(_groups(rows), "groups")
+    _append(groups, index, batch, buckets)
+    return _decided(rows, groups, index, [batch])
 
-    sizes = staged(groups.select("digest", F.col("group_size").alias("n")), "sizes")
-    held = spark.table(index).select("digest", "keep_id").join(sizes, "digest")
-    mine = ids.select("digest", F.col("row").alias("first_row"))
-    decided = staged(held.join(mine, "digest", "left"), "decided")
-    return rows.join(decided, "digest").select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("row") == F.col("first_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"), "row"
-    )
 
+def exact_dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """All docs through an index of their own, in two batches; columns and cases as in ``append_new``.
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``append_new`` to an index of its own: one batch deduplicated within itself."""
-    index = create_index(docs.sparkSession)
-    return append_new(docs, index)
+    Texts of at least the mean length come first. So of equal texts the longest is
+    always in the batch that the index takes up, and the second batch meets a filled index.
+    """
+    spark = docs.sparkSession
+    rows = digests(docs)
+    groups = staged(_groups(rows), "groups")
+    mean = groups.agg(F.sum(F.col("best.chars") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    index = create_index(spark, buckets=buckets)
+    long = rows.filter(F.col("chars") >= mean)
+    _append(_groups(long), index, "long", buckets)
+    index = compact(spark, index, buckets)
+    _append(_groups(rows.filter(F.col("chars") < mean)), index, "short", buckets)
+    out = _decided(rows, groups, index, ["long", "short"])
+    spark.sql(f"DROP TABLE {index}")
+    return out
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns as they were."""
-    tagged = docs.withColumn("__digest", F.sha2(normalised().cast("binary"), 256)).withColumn("__chars", F.length(text_of()).cast("long"))
-    kept = exact_dedup(docs).filter("kept").select(F.col("text_sha256").alias("__kept_digest"), F.col("keep_id").alias("__keep"))
-    # on both keys, so that a large group of copies is not one key
-    here = (tagged["__digest"] == kept["__kept_digest"]) & tagged["doc_id"].eqNullSafe(kept["__keep"])
-    hit = tagged.join(kept, here)
-    # rows that share text and doc_id: one of the longest
-    once = hit.dropDuplicates(["__digest"]) if _repeats(docs) else hit
-    return once.select(*docs.columns)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    """The documents that stay, all columns as they were.
+
+    Cases as in ``append_new``. Of rows that share text, length and doc_id, null too, one
+    stays: that with the smallest hash of its columns.
+    """
+    mine = exact_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    same = mine.groupBy("text_sha256", "keep_id", "chars").agg((F.count("*") > 1).alias("several"))
+    kept = staged(same.groupBy("text_sha256", "keep_id").agg(F.max_by("several", "chars").alias("__tied"), F.max("chars").alias("chars")), "kept")
+    tagged = docs.select(F.struct(*docs.columns).alias("__row"), F.sha2(normalised().cast("binary"), 256).alias("__digest"), F.length(text_of()).cast("long").alias("__chars"), F.col("doc_id").alias("__id"))
+    # on all three, so that a large group of copies is not one key
+    on = (F.col("__digest") == F.col("text_sha256")) & (F.col("__chars") == F.col("chars")) & F.col("__id").eqNullSafe(F.col("keep_id"))
+    return one_row_each(tagged.join(kept, on), ["__digest"], "__tied", "__row")
 
 
 SQL = r"""
