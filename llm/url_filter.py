@@ -75,11 +75,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     """Adds host, path, rule and verdict to pages: that of the longest rule that fits, else ``default``.
 
     rules: verdict, host, path (from the leading ``/``). A rule fits a url if the url's
-    host is the rule's or a subdomain and its path starts with the rule's. Every
-    host suffix with every path prefix of a length that occurs in the list is a key;
-    keys that pass the filter meet the rules in a hash join, which decides. Null
-    urls and urls without ``://`` have an empty host and path, which no rule fits;
-    of rules listed twice, block wins; equal pages are judged alike.
+    host is the rule's or a subdomain and its path starts with the rule's. Each distinct host
+    and path is judged once: every host suffix with every path prefix of a length that occurs
+    in the list is a key; keys that pass the filter meet the rules in a hash join, which
+    decides. Null urls and urls without ``://`` have an empty host and path, which no rule fits;
+    of rules listed twice, block wins; equal pages are judged alike; columns of pages named
+    host, path, rule or verdict are replaced, others stay; urls of any length are judged whole;
+    an empty table gives no rows and an empty list the default.
     """
     listed = staged(
         rules.select(F.lower("host").alias("rule_host"), "path", "verdict").filter("rule_host <> '' AND path IS NOT NULL").groupBy("rule_host", "path").agg(F.max("verdict").alias("rule_verdict"))
@@ -92,14 +94,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     blocks = max(1, min(max_blocks, -(-n_rules // KEYS_PER_BLOCK)))
     bloom = staged(bloom_blocks(listed.select("key").distinct(), blocks), "bloom")
 
-    pages = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("__row", F.monotonically_increasing_id())
+    pages = pages.drop("rule", "verdict").withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))}).withColumns({"host": F.col("__host"), "path": F.col("__path")}).drop("__host", "__path")
     labels = F.split("host", r"\.", -1)
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     wanted = F.filter(F.array(*(F.lit(x) for x in lengths)).cast(T.ArrayType(T.IntegerType())), lambda x: x <= F.length("path"))
-    seen = pages.filter("host <> ''").select("__row", "host", "path")
-    keys = seen.select("__row", "path", F.explode(suffixes).alias("suffix"), wanted.alias("lengths")).filter("suffix <> ''").select("__row", "suffix", "path", F.explode("lengths").alias("length"))
-    keys = keys.select("__row", F.length("suffix").alias("host_length"), F.col("length").alias("path_length"), _key(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("key"))
+    seen = pages.filter("host <> ''").select("host", "path").distinct()
+    keys = seen.select("host", "path", F.explode(suffixes).alias("suffix"), wanted.alias("lengths")).filter("suffix <> ''").select("host", "suffix", "path", F.explode("lengths").alias("length"))
+    keys = keys.select("host", "path", F.length("suffix").alias("host_length"), F.col("length").alias("path_length"), _key(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("key"))
 
     # the filter has at most max_blocks rows: a bounded broadcast
     k = F.col("key")
@@ -107,16 +109,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     for i in range(8):
         mask = _word_mask(k, i)
         hits = hits.filter(F.col(f"w{i}").bitwiseAND(mask) == mask)
-    hits = hits.select("__row", "key", "host_length", "path_length")
+    hits = hits.select("host", "path", "key", "host_length", "path_length")
     on = ["key", "host_length", "path_length"]
     if n_rules <= broadcast_rules:
         fits = hits.join(F.broadcast(listed), on)
     else:  # hosts under one rule may be many: they are spread over salted copies of the list
         salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        fits = hits.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
+        fits = hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
     rule = F.concat(F.expr("substring(key, 1, host_length)"), F.expr("substring(key, host_length + 1)"))
-    best = fits.groupBy("__row").agg(F.max(F.struct((F.col("host_length") + F.col("path_length")).alias("size"), "host_length", rule.alias("rule"), "rule_verdict")).alias("best"))
-    return pages.join(best, "__row", "left").withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.rule_verdict", F.lit(default))}).drop("best", "__row")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.col("host_length") + F.col("path_length")).alias("size"), "host_length", rule.alias("rule"), "rule_verdict")).alias("best"))
+    # staged, so that both sides of the join are plain exchanges and Spark can split a hot url
+    best = staged(best.select("host", "path", "best.rule", "best.rule_verdict"), "judged")
+    return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("rule_verdict", F.lit(default))).drop("rule_verdict").select(*(c for c in pages.columns), "rule", "verdict")
 
 
 SQL = r"""
