@@ -13,14 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing, text_of
+from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing, staged, text_of
 
 CAPACITY = 2048
 END_ID = 1
 #: Tokens of cut-off ends that wait, so that a window has many lengths to choose from.
 RESERVE = 64 * CAPACITY
+#: Partitions whose last ends are packed together, and the first sequence id of that round.
+GROUP, REST_IDS = 64, 1 << 61
 #: Bytes of text tokenised together (one document more at most).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Words encoded in one call.
+WORDS = 4096
 #: Distinct words that a Python worker remembers before it starts anew.
 CACHE_WORDS = 1_500_000
 
@@ -57,9 +61,14 @@ class WordIds:
         codes = number.codes(chain.from_iterable(words))
         if len(number) > known:
             new = list(islice(reversed(number), len(number) - known))[::-1]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+            sizes, ids = [], []
+            # in slices: an encoding holds far more than its ids
+            for a in range(0, len(new), WORDS):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[a : a + WORDS]], add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in found], np.int64))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+            self.ids = np.concatenate([self.ids, *ids])
         size = self.start[codes + 1] - self.start[codes]
         ends = np.cumsum(size)
         out = self.ids[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -121,39 +130,49 @@ class Pool:
         return out
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+class Sequences:
+    """Pieces as rows: each belongs to one sequence, at an offset in it."""
+
+    NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "loose")
+
+    def __init__(self, kind: pa.DataType, first: int, with_ids: bool) -> None:
+        self.kind, self.number, self.with_ids = kind, first, with_ids
+        self.rows: dict[str, list] = {n: [] for n in self.NAMES}
+
+    def _put(self, *values) -> None:
+        for n, v in zip(self.NAMES, values):
+            self.rows[n].append(v)
+
+    def window(self, items: list) -> None:
+        """One sequence of (document, its tokens, start, ids)."""
+        offset = 0
+        for doc, total, start, ids in items:
+            crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+            self._put(doc, start, len(ids), crc, total, self.number, offset, ids.astype(np.int32) if self.with_ids else None, None)
+            offset += len(ids)
+        self.number += 1
+
+    def wait(self, item, group: int, place: int) -> None:
+        """A piece that no sequence of this partition takes up exactly; its place keeps an order among them."""
+        doc, total, start, ids = item
+        self._put(doc, start, len(ids), None, total, self.number, place, ids.astype(np.int32), group)
+
+    def flush(self) -> pa.RecordBatch:
+        types = [self.kind, *[pa.int64()] * 6, pa.list_(pa.int32()), pa.int64()]
+        arrays = [pa.array(self.rows[n], t) for n, t in zip(self.NAMES, types)]
+        for v in self.rows.values():
+            v.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=list(self.NAMES))
 
 
 def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: int):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    """First round: one partition by itself. What fills no sequence exactly is left for the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = (TaskContext.get().partitionId() << 40) - 1
-        pool, kind, rows = Pool(), None, {n: [] for n in names}
-
-        def put(doc, total, start, ids, offset) -> None:
-            for n, v in zip(names, (doc, start, len(ids), _crc(ids), total, sequence, offset, ids)):
-                rows[n].append(v)
-
-        def window(items) -> None:
-            nonlocal sequence
-            sequence += 1
-            offset = 0
-            for doc, total, start, ids in items:
-                put(doc, total, start, ids, offset)
-                offset += len(ids)
-
-        def flush() -> pa.RecordBatch:
-            arrays = [pa.array(rows["doc_id"], kind)] + [pa.array(rows[n], pa.int64()) for n in names[1:7]]
-            if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in rows["ids"]], pa.list_(pa.int32())))
-            for v in rows.values():
-                v.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
+        partition = TaskContext.get().partitionId()
+        pool, out = Pool(), None
         for batch in batches:
-            kind = batch.schema.field(0).type
+            out = out or Sequences(batch.schema.field(0).type, partition << 40, with_ids)
             data, offsets = flat_bytes(batch.column(1))
             docs = batch.column(0).to_pylist()
             for a, b in by_bytes(offsets, CHUNK):
@@ -164,19 +183,43 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: in
                     at += n
                     total = n + 1
                     for start in range(0, total - capacity + 1, capacity):
-                        window([(doc, total, start, ids[start : start + capacity])])
+                        out.window([(doc, total, start, ids[start : start + capacity])])
                     rest = total % capacity
                     if rest:
                         pool.add(rest, (doc, total, total - rest, ids[total - rest :].copy()))
                 while pool.tokens > RESERVE:
-                    window(pool.fill(capacity))
-                yield flush()
-        # what is left: windows as full as can be; the last ones are cut to powers of two
+                    out.window(pool.fill(capacity))
+                yield out.flush()
+        place = 0
+        while pool.tokens:
+            items = pool.fill(capacity)
+            if sum(len(i[3]) for i in items) == capacity:
+                out.window(items)
+            else:
+                for item in items:
+                    out.wait(item, partition // GROUP, place)
+                    place += 1
+        if out is not None:
+            yield out.flush()
+
+    return run
+
+
+def _pack_rest(capacity: int, with_ids: bool):
+    """Second round: what GROUP partitions have left over; the last sequences are cut to powers of two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        out = Sequences(table.schema.field("doc_id").type, REST_IDS + (table.column("loose")[0].as_py() << 40), with_ids)
+        pool = Pool()
+        columns = (table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start"))
+        for doc, total, start, ids in zip(*columns, table.column("ids")):
+            pool.add(len(ids), (doc, total, start, ids.values.to_numpy().astype(np.uint32)))
         loose = []
         while pool.tokens:
             items = pool.fill(capacity)
             if sum(len(i[3]) for i in items) == capacity:
-                window(items)
+                out.window(items)
             else:
                 loose += items
         left = sum(len(i[3]) for i in loose)
@@ -190,9 +233,8 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: in
                 if len(ids) > room:
                     loose.append((doc, total, start + room, ids[room:]))
                 room -= len(items[-1][3])
-            window(items)
-        if rows["doc_id"]:
-            yield flush()
+            out.window(items)
+        return pa.Table.from_batches([out.flush()])
 
     return run
 
@@ -202,11 +244,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     Every partition is packed by itself in one pass, without a shuffle: a document
     fills whole sequences while it can; its end waits in a pool of bounded size,
-    from which minimum bin slack fills sequences. The few ends that no window takes up
-    exactly are cut so that the last sequences are powers of two long. Null and
-    empty texts have the one closing id; equal rows are packed each; more columns are
-    not used; an empty table gives no rows. Sequence ids rise by one within a partition.
+    from which minimum bin slack fills sequences. The few ends that no sequence takes up
+    exactly (less than RESERVE tokens a partition) meet those of GROUP partitions in a second round, whose last
+    sequences are cut to be powers of two long. Null and empty texts have the one closing
+    id; equal rows are packed each; documents with null ids too; more columns are not used;
+    an empty table gives no rows; very long texts are encoded whole. Sequence ids rise by one within a partition.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(releasing(_pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids, cache_words)), schema)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, loose long"
+    first = _pack(tokenizer or default_tokenizer(), capacity, end_id, with_ids, cache_words)
+    pieces = staged(docs.select("doc_id", text_of().alias("text")).mapInArrow(releasing(first), schema), "pieces")
+    rest = pieces.filter("loose IS NOT NULL").groupBy("loose").applyInArrow(_pack_rest(capacity, with_ids), schema)
+    return pieces.filter("loose IS NULL").select(*names).unionAll(rest.select(*names))
