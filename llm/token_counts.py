@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .common import Numbering, by_bytes, flat_bytes, text_of
 LIMIT = 4096
 #: Bytes of text whose pre-tokens are merged together (one document more at most).
 CHUNK = 16 << 20
+#: Pre-tokens that are merged side by side.
+PRETOKENS = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -163,21 +166,19 @@ class PieceCounter:
         return total
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Pieces of each text."""
-        words, per, feeds = [], [], []
-        for t in texts:
-            found = self.split.findall(" " + t.replace("▁", " ")) if t else []
-            words.extend(found)
-            per.append(len(found))
-            feeds.append(t.count("\n"))
-        if not words:
-            return np.array(feeds, np.int64)
-        number = Numbering()
-        codes = number.codes(words)
-        each = self.count_pretokens(list(number))[codes]
-        ends = np.cumsum(per)
-        sums = np.append(0, np.cumsum(each))
-        return sums[ends] - sums[ends - per] + np.array(feeds)
+        """Pieces of each text.
+
+        Pre-tokens are merged in slices of PRETOKENS, so that a very long text takes
+        few times its own size.
+        """
+        total = np.array([t.count("\n") for t in texts], np.int64)
+        found = ((i, w.group()) for i, t in enumerate(texts) if t for w in self.split.finditer(" " + t.replace("▁", " ")))
+        while part := list(islice(found, PRETOKENS)):
+            number = Numbering()
+            codes = number.codes(w for _, w in part)
+            each = self.count_pretokens(list(number))[codes]
+            total += np.bincount(np.fromiter((i for i, _ in part), np.int64), each, len(texts)).astype(np.int64)
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +192,8 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
 
     Without begin and end tokens; special strings inside a text are ordinary text.
     Null and empty texts have 0 bytes and tokens; more columns are not used; equal
-    rows are counted each; an empty table gives no rows.
+    rows are counted each, rows without a doc_id too; an empty table gives no rows; very long
+    texts are counted whole, in slices.
     """
     path = model or default_model()
 
