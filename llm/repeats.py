@@ -6,14 +6,14 @@ whose shuffled rows grow in proportion to the input:
 
 1. every document is cut into runs of windows that own the same anchor (see
    ``anchors``); one small row for each run goes to a staged table;
-2. rows whose anchor occurs once can hold no recurring window and go; runs with
-   equal whole text are recurring throughout;
-3. what is left, runs that share an anchor but differ somewhere, meet as text in
-   shards of a bounded number of runs, where ``confirm`` decides about each
-   window exactly. An anchor with more runs than a shard may hold is split over
-   several shards; these exchange the fingerprints of their windows, each once a
-   shard, in a second round;
-4. the spans that recurring windows cover are gathered for each document.
+2. runs whose anchor occurs once can hold no recurring window and go. Of the others each
+   distinct run (anchor and fragment, two 64-bit hashes) is cut out of its document as text,
+   and out of a second document if it occurs there too;
+3. these texts meet in shards by anchor. There ``confirm`` compares the windows as
+   text, and ``locate`` says which spans of each run they cover. A shard holds a
+   bounded number of runs; an anchor with more is split over several shards, which exchange the
+   128-bit fingerprints of their windows, each once a shard, in a second round;
+4. the spans of each distinct run go to all documents that have it.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import gram_hashes, mix, owned_runs
-from .common import Numbering, by_bytes, flat_bytes, staged, text_of, words_of
+from .common import Numbering, by_bytes, flat_bytes, releasing, staged, text_of, words_of
 
 #: Runs that one shard holds; an anchor with more distinct runs is split.
 SHARD_RUNS = 2000
@@ -36,7 +35,7 @@ CHUNK = 1 << 20
 
 _RUNS = "k1 long, k2 long, anchor long, fragment long, first int, last int"
 _FOUND = "anchor long, fragment long, spans array<struct<a:int,b:int>>"
-_SIZED = "shard long, salt int, anchor long, fragment long, copies long, ways int, body binary"
+_SIZED = "shard long, salt int, anchor long, fragment long, ways int, body binary"
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +45,18 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the number of words of each text."""
     first, end, per_row = words_of(data, offsets)
-    if not len(first):
-        return np.zeros(0, np.uint64), per_row
-    size, gap = end - first, np.diff(np.append(first, len(data)))
-    weights = np.cumprod(np.full(int(size.max()) + 1, 0x2545F4914F6CDD1D, np.uint64))
-    at = np.arange(first[0], len(data)) - np.repeat(first, gap)
-    long = np.repeat(size, gap)
-    value = (data[first[0] :].astype(np.uint64) + np.uint64(1)) * weights[np.minimum(at, long)]
-    value[at >= long] = 0
-    first = first - first[0]
-    return mix(np.add.reduceat(value, first) + size.astype(np.uint64)), per_row
+    out = np.zeros(len(first), np.uint64)
+    # in slices of words, so that a very long text takes few times its size
+    for a, b in by_bytes(np.append(first, len(data)), CHUNK) if len(first) else ():
+        start, size = first[a:b], end[a:b] - first[a:b]
+        gap = np.diff(np.append(start, end[b - 1]))
+        weights = np.cumprod(np.full(int(size.max()) + 1, 0x2545F4914F6CDD1D, np.uint64))
+        at = np.arange(start[0], end[b - 1]) - np.repeat(start, gap)
+        long = np.repeat(size, gap)
+        value = (data[start[0] : end[b - 1]].astype(np.uint64) + np.uint64(1)) * weights[np.minimum(at, long)]
+        value[at >= long] = 0
+        out[a:b] = mix(np.add.reduceat(value, start - start[0]) + size.astype(np.uint64))
+    return out, per_row
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -66,6 +67,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _runs_of(u: np.ndarray, sizes: np.ndarray, width: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first, last, anchor, fragment) of all runs, positions within their row; a long row comes in slices.
+
+    A run is cut where a slice ends. Both parts hold the same anchor, so that their windows are still compared.
+    """
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(u))
+    for at in range(0, max(len(u) - width + 1, 0), CHUNK):
+        part = slice(at, at + CHUNK + width - 1)
+        first, last, anchor, fragment = owned_runs(u[part], left[part], width, k)
+        if len(first):
+            first, last = first + at, last + at
+            row = np.searchsorted(ends, first, "right")
+            base = (ends - sizes)[row]
+            yield row, first - base, last - base, anchor, fragment
+
+
 def _cut(units, width: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,14 +91,9 @@ def _cut(units, width: int, k: int) -> Callable:
             k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
             for a, b in by_bytes(offsets, CHUNK):
                 u, sizes = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ends = np.cumsum(sizes)
-                left = np.repeat(ends, sizes) - np.arange(len(u))
-                first, last, anchor, fragment = owned_runs(u, left, width, k)
-                if len(first):
-                    row = np.searchsorted(ends, first, "right")
-                    base = (ends - sizes)[row]
+                for row, first, last, anchor, fragment in _runs_of(u, sizes, width, k):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (k1[a + row], k2[a + row], anchor.view(np.int64), fragment.view(np.int64), (first - base).astype(np.int32), (last - base).astype(np.int32))],
+                        [pa.array(x) for x in (k1[a + row], k2[a + row], anchor.view(np.int64), fragment.view(np.int64), first.astype(np.int32), last.astype(np.int32))],
                         names=["k1", "k2", "anchor", "fragment", "first", "last"],
                     )
 
@@ -91,17 +104,17 @@ def _bodies(unit: str, width: int) -> Callable:
     """Cuts the text of the wanted runs out of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = dict(shard=pa.int64(), salt=pa.int32(), anchor=pa.int64(), fragment=pa.int64(), ways=pa.int32(), body=pa.binary())
         for batch in batches:
-            out = {n: [] for n in ("shard", "salt", "anchor", "fragment", "copies", "ways", "body")}
+            out: dict[str, list] = {n: [] for n in types}
             for text, runs in zip(batch.column(0), batch.column(1)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 seq = raw.split() if unit == "words" else raw
                 for r in runs.as_py():
                     piece = seq[r["first"] : r["last"] + width]
-                    for n in ("shard", "salt", "anchor", "fragment", "copies", "ways"):
+                    for n in ("shard", "salt", "anchor", "fragment", "ways"):
                         out[n].append(r[n])
                     out["body"].append(b" ".join(piece) if unit == "words" else piece)
-            types = dict(shard=pa.int64(), salt=pa.int32(), anchor=pa.int64(), fragment=pa.int64(), copies=pa.int64(), ways=pa.int32(), body=pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, types[n]) for n, v in out.items()], names=list(out))
 
     return run
@@ -130,16 +143,18 @@ def window_keys(bodies: list[bytes], unit: str, width: int) -> tuple[np.ndarray,
 
 
 def fingerprints(bodies: list[bytes], unit: str, width: int) -> np.ndarray:
-    """A 64-bit fingerprint of every window, alike in every shard."""
+    """A 128-bit fingerprint of every window, alike in every shard."""
     out = []
     for b in bodies:
         data = np.frombuffer(b, np.uint8)
         u, _ = (word_units if unit == "words" else byte_units)(data, np.array([0, len(data)]))
-        out.append(gram_hashes(u, (width,))[width][: len(u) - width + 1])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        n = len(u) - width + 1
+        two = [gram_hashes(x, (width,))[width][:n] for x in (u, mix(u.astype(np.uint64) ^ np.uint64(0x632BE59BD9B4E019)))]
+        out.append(np.stack(two, axis=1).view("S16").ravel())
+    return np.concatenate(out) if out else np.zeros(0, "S16")
 
 
-def _spans(hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
+def spans_of(hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each body the runs [a, b] of windows that were hit."""
     out, at = [], 0
     for n in per:
@@ -149,86 +164,89 @@ def _spans(hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _answer(pdf: pd.DataFrame, spans: list) -> pd.DataFrame:
-    keep = [i for i, s in enumerate(spans) if s]
-    return pd.DataFrame({"anchor": pdf["anchor"].to_numpy()[keep], "fragment": pdf["fragment"].to_numpy()[keep], "spans": pd.Series([[{"a": a, "b": b} for a, b in spans[i]] for i in keep], dtype=object)})
+def _by_spans(bodies: list[bytes], hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
+    return spans_of(hit, per)
 
 
-def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable, shard_runs: int = SHARD_RUNS) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable, locate: Callable = _by_spans, shard_runs: int = SHARD_RUNS) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans k1, k2, spans array<struct<a, b>>): units [a, b) of a document are covered.
 
-    ``confirm(keys, per)`` gets the windows of one shard and says which occur twice there.
-    Spans of one document may overlap. Null texts count as empty.
+    ``confirm(keys, per)`` gets the windows of one shard and says which occur twice
+    there; ``locate(bodies, hit, per)`` gives for each body the runs [a, b] of windows
+    that confirmed ones cover. Spans of one document may overlap. Null texts count as empty.
     """
-    spark = docs.sparkSession
     keyed = _keyed(docs)
     units = word_units if unit == "words" else byte_units
-    runs = staged(keyed.select("k1", "k2", "text").mapInArrow(_cut(units, width, k), _RUNS), "runs")
+    runs = staged(keyed.select("k1", "k2", "text").mapInArrow(releasing(_cut(units, width, k)), _RUNS), "runs")
     # staged, so that both sides of the join are plain exchanges and Spark can split a hot anchor
-    seen = staged(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fragment") != F.max("fragment")).alias("differ")).filter("n > 1").drop("n"), "seen")
+    seen = staged(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "seen")
     met = staged(runs.join(seen, "anchor"), "met")
 
-    # one place of each distinct run of the anchors whose runs differ
-    distinct = staged(
-        met.filter("differ").groupBy("anchor", "fragment").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "first", "last")).alias("at")).select("anchor", "fragment", "copies", "at.*"), "distinct"
-    )
-    total = distinct.count()
-    shards = max(1, -(-total // shard_runs))
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_runs).select("anchor", F.ceil(F.col("n") / shard_runs).cast("int").alias("ways"))
-    placed = distinct.join(hot, "anchor", "left").select(
-        "k1", "k2", F.struct(
+    # one place of each distinct run, and a second one (perhaps of an equal row) of those that occur again
+    at = F.struct("k1", "k2", "first", "last")
+    distinct = staged(met.groupBy("anchor", "fragment").agg(F.count("*").alias("copies"), F.min(at).alias("one"), F.max(at).alias("other")), "distinct")
+    shards = max(1, -(-distinct.count() // shard_runs))
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_runs)
+    hot = staged(hot.select("anchor", F.ceil(F.col("n") / shard_runs).cast("int").alias("ways")), "hot")
+    dealt = distinct.join(hot, "anchor", "left").withColumn("at", F.explode(F.when(F.col("copies") > 1, F.array("one", "other")).otherwise(F.array("one"))))
+    placed = dealt.select(
+        "at.k1", "at.k2", F.struct(
             F.when(F.col("ways").isNull(), F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor")).alias("shard"),
             F.when(F.col("ways").isNull(), F.lit(-1)).otherwise(F.pmod("fragment", F.col("ways"))).cast("int").alias("salt"),
-            "anchor", "fragment", "copies", F.coalesce("ways", F.lit(1)).alias("ways"), "first", "last",
+            "anchor", "fragment", F.coalesce("ways", F.lit(1)).alias("ways"), "at.first", "at.last",
         ).alias("run"),
     )
     wanted = placed.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    bodies = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "runs").mapInArrow(_bodies(unit, width), _SIZED)
+    # equal rows of documents share k1 and k2; one of them is enough
+    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    bodies = staged(texts.select("text", "runs").mapInArrow(releasing(_bodies(unit, width)), _SIZED), "bodies")
 
-    def judge(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        pdf = pdf.drop_duplicates(["anchor", "fragment"])
-        keys, per = window_keys(list(pdf["body"]), unit, width)
-        hit = confirm(keys, per)
-        hit |= np.repeat(pdf["copies"].to_numpy() > 1, per)
-        return pdf, hit, per
-
-    def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, hit, per = judge(pdf)
-        return _answer(pdf, _spans(hit, per))
+    def answer(table: pa.Table) -> pa.Table:
+        return judged(table, np.zeros(0, "S16"))
 
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+    def judged(table: pa.Table, also: np.ndarray) -> pa.Table:
+        texts = table.column("body").to_pylist()
+        keys, per = window_keys(texts, unit, width)
+        hit = confirm(keys, per)
+        if len(also):
+            hit |= np.isin(fingerprints(texts, unit, width), also)
+        # of a run that came twice the first
+        run, spans, done = list(zip(table.column("anchor").to_pylist(), table.column("fragment").to_pylist())), locate(texts, hit, per), {}
+        for r, found in zip(run, spans):
+            if found:
+                done.setdefault(r, found)
+        return pa.table({
+            "anchor": pa.array([r[0] for r in done], pa.int64()), "fragment": pa.array([r[1] for r in done], pa.int64()),
+            "spans": pa.array([[{"a": a, "b": b} for a, b in s] for s in done.values()], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+        })
+
+    def ask(table: pa.Table) -> pa.Table:
         """The distinct fingerprints of one shard's windows, dealt to ``ways`` by their value."""
-        pdf = pdf.drop_duplicates(["anchor", "fragment"])
-        prints, ways = np.unique(fingerprints(list(pdf["body"]), unit, width)), int(pdf["ways"].iloc[0])
-        way = (prints % np.uint64(ways)).astype(int)
-        return pd.DataFrame([{"anchor": pdf["anchor"].iloc[0], "way": w, "salt": pdf["salt"].iloc[0], "prints": prints[way == w].tobytes()} for w in range(ways)])
+        prints, ways = np.unique(fingerprints(table.column("body").to_pylist(), unit, width)), table.column("ways")[0].as_py()
+        way = (prints.view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(ways)).astype(int)
+        n = len(np.unique(way))
+        anchor, salt = table.column("anchor")[0].as_py(), table.column("salt")[0].as_py()
+        return pa.table({"anchor": pa.array([anchor] * n, pa.int64()), "way": pa.array(np.unique(way), pa.int32()), "salt": pa.array([salt] * n, pa.int32()), "prints": pa.array([prints[way == w].tobytes() for w in np.unique(way)], pa.binary())})
 
-    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tell(table: pa.Table) -> pa.Table:
         """To each shard: those of its fingerprints that another shard has too."""
-        sets = [np.frombuffer(p, np.uint64) for p in pdf["prints"]]
+        sets = [np.frombuffer(p, "S16") for p in table.column("prints").to_pylist()]
         every, n = np.unique(np.concatenate(sets), return_counts=True)
         twice = every[n > 1]
-        return pd.DataFrame({"anchor": pdf["anchor"], "salt": pdf["salt"], "prints": [s[np.isin(s, twice)].tobytes() for s in sets]})
-
-    def with_told(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"anchor": pd.Series(dtype="int64"), "fragment": pd.Series(dtype="int64"), "spans": pd.Series(dtype="object")})
-        pdf, hit, per = judge(pdf)
-        also = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p, np.uint64) for p in told["prints"])])
-        hit |= np.isin(fingerprints(list(pdf["body"]), unit, width), also)
-        return _answer(pdf, _spans(hit, per))
-
-    bodies = staged(bodies, "bodies")
-    found = bodies.filter("salt < 0").groupBy("shard", "salt").applyInPandas(in_shard, _FOUND)
-    split = bodies.filter("salt >= 0")
-    told = split.groupBy("anchor", "salt").applyInPandas(ask, "anchor long, way int, salt int, prints binary").groupBy("anchor", "way").applyInPandas(tell, "anchor long, salt int, prints binary")
+        return pa.table({"anchor": table.column("anchor"), "salt": table.column("salt"), "prints": pa.array([s[np.isin(s, twice)].tobytes() for s in sets], pa.binary())})
+
+    def with_told(table: pa.Table, told: pa.Table) -> pa.Table:
+        return judged(table, np.concatenate([np.zeros(0, "S16"), *(np.frombuffer(p, "S16") for p in told.column("prints").to_pylist())]))
+
+    found = bodies.filter("salt < 0").groupBy("shard").applyInArrow(answer, _FOUND)
     if not hot.isEmpty():
-        found = found.unionByName(split.groupBy("anchor", "salt").cogroup(told.groupBy("anchor", "salt")).applyInPandas(with_told, _FOUND))
+        split = bodies.filter("salt >= 0")
+        told = split.groupBy("anchor", "salt").applyInArrow(ask, "anchor long, way int, salt int, prints binary").groupBy("anchor", "way").applyInArrow(tell, "anchor long, salt int, prints binary")
+        found = found.unionByName(split.groupBy("anchor", "salt").cogroup(told.groupBy("anchor", "salt")).applyInArrow(with_told, _FOUND))
 
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b")))
-    some = met.filter("differ").join(found, ["anchor", "fragment"])
-    runs_hit = met.filter("not differ").withColumn("spans", whole).select("k1", "k2", "first", "spans").unionByName(some.select("k1", "k2", "first", "spans"))
-    spans = runs_hit.select("k1", "k2", F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + width).alias("b"))).alias("s"))
+    # staged for the same reason as ``seen``
+    spans = met.join(staged(found, "found"), ["anchor", "fragment"])
+    spans = spans.select("k1", "k2", F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + width).alias("b"))).alias("s"))
     return keyed, spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Numbering, by_bytes, flat_bytes, raw_texts
-from .repeats import SHARD_RUNS, find_spans, merged
+from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing
+from .repeats import CHUNK, SHARD_RUNS, find_spans, merged, spans_of
 
 #: Words of a window, and of the grams that bring possible matches together.
 WIDTH, GRAM = 35, 8
-#: Bytes of documents that one automaton serves.
-SHARD_BYTES = 4 << 20
 
 
 def confirm(keys: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -25,39 +24,33 @@ def confirm(keys: np.ndarray, per: np.ndarray) -> np.ndarray:
     return n[back] > 1
 
 
-def locate(words: list[list[bytes]], passages: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """All places [a, b) in each text of all the passages, given by where they were confirmed.
+def locate(bodies: list[bytes], hit: np.ndarray, per: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
+    """Where the confirmed passages of a shard occur in its texts: runs [a, b] of windows of each text.
 
-    The passages, as sequences of word numbers, are compiled into one automaton,
-    through which every text streams.
+    The passages, the stretches of confirmed windows, are compiled as sequences of word
+    numbers into one automaton, through which every text of the shard streams; what it finds is the answer.
     """
-    sizes = [len(w) for w in words]
     number = Numbering()
-    codes = [number[x] for w in words for x in w]
+    texts = [tuple(map(number.__getitem__, b.split(b" "))) for b in bodies]
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    at, texts = 0, []
-    for n in sizes:
-        texts.append(tuple(codes[at : at + n]))
-        at += n
-    for text, found in zip(texts, passages):
+    for text, found in zip(texts, spans_of(hit, per)):
         for a, b in found:
-            auto.add_word(text[a:b])
+            auto.add_word(text[a : b + width])
     if not len(auto):
-        return [[] for _ in words]
+        return [[] for _ in texts]
     auto.make_automaton()
-    return [[(end + 1 - n, end + 1) for end, n in auto.iter(text)] for text in texts]
+    return [[(end + 1 - n, end + 1 - width) for end, n in auto.iter(text)] for text in texts]
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
     for batch in batches:
         data, offsets = flat_bytes(batch.column(1))
-        for a, b in by_bytes(offsets, SHARD_BYTES):
+        for a, b in by_bytes(offsets, CHUNK):
             part = batch.slice(a, b - a)
-            words = [t.split() for t in raw_texts(data, offsets[a : b + 1])]
-            places = locate(words, [merged(s.as_py()) for s in part.column(2)])
-            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
-            for w, found in zip(words, places):
-                cut = merged([{"a": x, "b": y} for x, y in found])
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
+            for raw, found in zip(raw_texts(data, offsets[a : b + 1]), part.column(2)):
+                w, cut = raw.split(), merged(found.as_py())
                 kept = w if not cut else [x for s, e in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(w)]) for x in w[s:e]]
                 text = b" ".join(kept)
                 out["n_words"].append(len(w))
@@ -65,22 +58,21 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
                 out["kept"].append(text.decode("utf-8", "replace"))
                 out["spans"].append([{"a": x, "b": y} for x, y in cut])
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types))], names=["doc_id", *out])
 
 
 def remove_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_runs: int = SHARD_RUNS) -> DataFrame:
     """Cuts every word covered by a window of ``width`` words that also starts anywhere else.
 
-    docs: doc_id, text, and any more columns, which are not used. Recurring
-    passages are confirmed corpus-wide; for each batch of documents those that it
-    holds make one automaton, through which all its documents stream. Returns one
+    docs: doc_id, text, and any more columns, which are not used. Passages are confirmed as
+    text in shards; each shard compiles its passages into an automaton of bounded size and streams
+    the candidate stretches of all documents through it, each distinct stretch once. Returns one
     row per document: doc_id, n_words, n_removed, kept_sha256, kept (words joined by
     one space) and spans (word positions). Null and empty texts have 0 words;
     texts shorter than ``width`` words are never cut; equal rows are copies of
-    each other and both go; an empty table gives no rows.
+    each other and both go; an empty table gives no rows; very long texts are searched whole, in slices.
     """
-    keyed, spans = find_spans(docs, "words", width, gram, confirm, shard_runs)
+    keyed, spans = find_spans(docs, "words", width, gram, confirm, partial(locate, width=width), shard_runs)
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(_clean, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<a:int,b:int>>")
+    return joined.mapInArrow(releasing(_clean), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<a:int,b:int>>")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import releasing
 from .repeats import SHARD_RUNS, find_spans, merged
 
 #: Bytes of a match, and of the grams that bring possible matches together.
@@ -18,15 +19,15 @@ BATCH = 8192
 
 
 class LogIndex:
-    """Suffix arrays whose sizes grow geometrically, as the digits of a binary counter.
+    """Suffix arrays, the largest first, each at least twice as long as the next.
 
     ``add`` sorts a new batch of suffixes (by the bytes that a match must have),
-    scans it against every level for suffixes that agree, and carries: a level of
-    the same size is merged with the new one until the place is free.
+    scans it against every level for suffixes that agree, and appends it as a level; levels
+    of a like size are then merged until sizes fall geometrically again.
     """
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
@@ -35,24 +36,19 @@ class LogIndex:
         hit[ids[1:][same]] = True
         hit[ids[:-1][same]] = True
         new = np.append(True, ~same)
-        for level in self.levels:
-            if level is not None:
-                held, of = level
-                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-                same = held[at] == keys
-                hit[ids[same]] = True
-                hit[of[at[same]]] = True
-                new &= ~same
-        carry, place = (keys[new], ids[new]), 0
-        while place < len(self.levels) and self.levels[place] is not None:
-            held, of = self.levels[place]
+        for held, of in self.levels:
+            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            same = held[at] == keys
+            hit[ids[same]] = True
+            hit[of[at[same]]] = True
+            new &= ~same
+        carry = keys[new], ids[new]
+        while self.levels and len(self.levels[-1][0]) < 2 * len(carry[0]):
+            held, of = self.levels.pop()
             at = np.searchsorted(held, carry[0])
             carry = np.insert(held, at, carry[0]), np.insert(of, at, carry[1])
-            self.levels[place] = None
-            place += 1
-        if place == len(self.levels):
-            self.levels.append(None)
-        self.levels[place] = carry
+        if len(carry[0]):
+            self.levels.append(carry)
 
 
 def confirm(keys: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -94,9 +90,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes
     left, which may break a character) and spans. Null and empty texts have 0
     bytes and spans; texts shorter than ``width`` are never cut; equal rows are
-    copies of each other and both go; an empty table gives no rows.
+    copies of each other and both go; an empty table gives no rows; very long texts are searched
+    whole, in slices. Candidate stretches meet in shards; each shard's index takes their suffixes in batches.
     """
-    keyed, spans = find_spans(docs, "bytes", width, gram, confirm, shard_runs)
+    keyed, spans = find_spans(docs, "bytes", width, gram, confirm, shard_runs=shard_runs)
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(_clean, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:int,b:int>>")
+    return joined.mapInArrow(releasing(_clean), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:int,b:int>>")
