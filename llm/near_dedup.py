@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import gram_hashes, mix
-from .common import by_bytes, flat_bytes, releasing, staged, text_of
+from .common import by_bytes, flat_bytes, one_row_each, releasing, staged, text_of
 from .graph import components
 from .repeats import word_units
 
@@ -242,15 +242,30 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["node", "words"])
 
 
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), similarity) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
+def _led(similarity: float):
+    """Which nodes of one block are similar to its leader, whose own row has no ``a``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, words = table.column("a").to_pylist(), [np.frombuffer(w, np.uint32) for w in table.column("words").to_pylist()]
+        first = words[node.index(None)]
+        found = [n for n, w in zip(node, words) if n is not None and similar(w, first, similarity)]
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([table.column("b")[0].as_py()] * len(found), pa.int64())})
 
     return run
 
 
+def _by_leaders(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, leader b, n_words of a) that are similar.
+
+    The nodes of a leader come in blocks of bounded size, and its words once to each block.
+    """
+    size = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.ceil(4 * F.sum("n_words") / BLOCK_BYTES)).alias("blocks"))
+    dealt = pairs.join(size.filter("blocks > 1"), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("blocks")), F.lit(0)).alias("salt"))
+    members = dealt.join(words.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "words")
+    leaders = dealt.select("b", "salt").distinct().join(words.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "words")
+    return members.unionByName(leaders).groupBy("b", "salt").applyInArrow(_led(similarity), "a long, b long")
+
+
 def _within(similarity: float):
     """Links of one block of a bucket, or between two, that join what is not joined yet."""
 
@@ -323,7 +338,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     similar to it go on to finer buckets. Then all pairs of a bucket that are not in
     one class yet are compared, so that no similar pair that shares a sketch stays apart. Classes are the
     connected components; class_id is the smallest doc_id in them (null last), and that
-    document is kept. Texts below ``shingle`` words, null ones too (as empty), are only
+    document is kept. Very long texts are compared whole; more columns are not used. Texts below ``shingle`` words, null ones too (as empty), are only
     near copies of equal texts; rows with equal doc_id and text are
     one document and fare alike; an empty table gives no rows.
     """
@@ -355,9 +370,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             break
         met = staged(rows.join(led, "key"), "met")
         fit = F.least("n_words", "leader_words") >= similarity * F.greatest("n_words", "leader_words") - 1e-9
-        pairs = met.filter(fit & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        sides = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-        judged = staged(sides.select("a", "b", "wa", "wb").mapInArrow(releasing(_verify(similarity)), "a long, b long, ok boolean").filter("ok").drop("ok"), "judged")
+        pairs = met.filter(fit & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), "n_words").distinct()
+        judged = staged(_by_leaders(staged(pairs, "pairs"), words, similarity), "judged")
         links = links.unionByName(judged)
         linked = judged.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         rest = met.filter(F.col("node") != F.col("leader")).join(linked, ["node", "leader"], "left_anti").select("key", "node", "n_words", "nth", "company")
@@ -376,7 +390,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that near-dedup keeps, all columns as they were; of equal rows one."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).distinct()
-    tagged = docs.withColumn("__digest", F.sha2(text_of().cast("binary"), 256))
-    return tagged.join(kept, (F.col("__digest") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """The documents that near-dedup keeps, all columns as they were; cases as in ``near_duplicates``.
+
+    Of rows that share text and doc_id, null too, one stays: that with the smallest hash of its columns.
+    """
+    kept = near_duplicates(docs, **options).filter("kept").groupBy("digest", "doc_id").agg((F.count("*") > 1).alias("__tied"))
+    kept = staged(kept.withColumnsRenamed({"doc_id": "__kept_id", "digest": "__of"}), "kept")
+    tagged = docs.select(F.struct(*docs.columns).alias("__row"), F.sha2(text_of().cast("binary"), 256).alias("__digest"), F.col("doc_id").alias("__id"))
+    here = tagged.join(kept, (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__kept_id")))
+    return one_row_each(here, ["__digest"], "__tied", "__row")
