@@ -19,7 +19,9 @@ TOP = 20
 PROJECTIONS, SEED = 128, 7
 #: Share of the projections in which a vector must collide, the windows' first half-width
 #: (in units of the largest norm) and growth, and the share of a block's vectors to verify.
-COLLISIONS, WIDTH, GROWTH, VERIFY = 0.7, 0.25, 1.25, 0.12
+COLLISIONS, WIDTH, GROWTH, VERIFY = 0.7, 0.25, 1.25, 0.08
+#: Vectors whose collisions are counted at a time.
+SLICE = 4096
 #: Vectors and queries in one block (on average).
 BLOCK, QUERIES = 16384, 4096
 
@@ -36,15 +38,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.filter(F.size("embedding") == sizes[0]["n"]) if sizes else good
 
 
+def scaled(x: np.ndarray, peak: float) -> np.ndarray:
+    """x over the power of two below peak: sums of squares of what is left neither overflow nor, where it matters, vanish."""
+    return x * 2.0 ** -np.floor(np.log2(peak))
+
+
 class Block:
-    """The vectors of one block with their single-projection sorted arrays."""
+    """The vectors of one block with their single-projection sorted arrays.
+
+    ``peak`` is the largest component and ``norm`` the largest norm, once scaled, of all blocks.
+    """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, projections: int, seed: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, peak: float, norm: float, projections: int, seed: int) -> None:
         self.ids, self.x, self.norm = ids, x, norm
+        self.near = scaled(x, peak)
         # one more component makes all norms equal, so that the largest product is the nearest
-        rest = np.sqrt(np.maximum(norm * norm - np.einsum("ij,ij->i", x, x), 0.0))
+        rest = np.sqrt(np.maximum(norm * norm - np.einsum("ij,ij->i", self.near, self.near), 0.0))
         self.directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
-        p = x @ self.directions[:-1] + rest[:, None] * self.directions[-1]
+        p = self.near @ self.directions[:-1] + rest[:, None] * self.directions[-1]
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
         # where each vector stands in each sorted array
@@ -53,13 +64,14 @@ class Block:
         np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=self.rank)[None, :], axis=1)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int, collisions: float, width: float, growth: float, verify: float):
-        """Yields (ids, scores) of each query: the narrowest level that brings enough vectors is verified."""
+        """Yields (ids, scores) of each query: a level that brings enough vectors, and less than twice as many if there is one, is verified."""
         n, m = len(self.ids), len(self.sorted)
         enough = top + 1 + int(np.ceil(verify * n))
         need = int(np.ceil(collisions * m))
-        centres = (queries * (self.norm / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]) @ self.directions[:-1]
+        asked = scaled(queries, np.abs(queries).max(axis=1)[:, None])
+        centres = (asked * (self.norm / np.sqrt(np.einsum("ij,ij->i", asked, asked)))[:, None]) @ self.directions[:-1]
         windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        shifted, inside = np.empty(self.place.shape, self.rank), np.empty(self.place.shape, bool)
+        counts = np.empty(n, np.uint8 if m < 256 else np.uint16)
 
         def level(k: int) -> tuple[np.ndarray, np.ndarray]:
             """Bounds of the windows of level k in the sorted arrays, for all queries."""
@@ -69,10 +81,11 @@ class Block:
             return windows[k]
 
         def collided(i: int, k: int) -> np.ndarray:
-            low, high = (x[i] for x in level(k))
-            np.subtract(self.place, low[:, None], out=shifted)
-            np.less(shifted, (high - low)[:, None], out=inside)
-            return np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint16) >= need)
+            low, high = (x[i][:, None] for x in level(k))
+            for a in range(0, n, SLICE):
+                inside = self.place[:, a : a + SLICE] - low < high - low
+                inside.view(np.uint8).sum(axis=0, dtype=counts.dtype, out=counts[a : a + SLICE])
+            return np.flatnonzero(counts >= need)
 
         k = 0
         for i, q in enumerate(queries):
@@ -80,18 +93,19 @@ class Block:
                 found = np.arange(n)
             else:
                 found = collided(i, k)
-                while len(found) >= enough and k > 0:
+                while len(found) >= 2 * enough and k > 0:
                     less = collided(i, k - 1)
                     if len(less) < enough:
                         break
                     found, k = less, k - 1
+                # the windows grow until they hold all, so this ends
                 while len(found) < enough:
                     k += 1
                     found = collided(i, k)
             found = found[self.ids[found] != query_ids[i]]
-            rough = self.x[found] @ q
+            rough = self.near[found] @ asked[i]
             if len(found) > top:
-                found = found[rough >= np.partition(rough, -top)[-top] - 1e-9 * self.norm * np.sqrt(q @ q)]
+                found = found[rough >= np.partition(rough, -top)[-top] - 1e-9 * self.norm * np.sqrt(asked[i] @ asked[i])]
             score = exact(self.x[found], q)
             best = np.lexsort((self.ids[found], -score))[:top]
             yield self.ids[found][best], score[best]
@@ -100,8 +114,9 @@ class Block:
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component to the last, as a loop would."""
     out = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        out += x[:, j] * q[j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            out += x[:, j] * q[j]
     return out
 
 
@@ -111,14 +126,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     vectors and queries: vec_id, embedding (as ``usable`` gives them). A query's own
     vec_id is no candidate. Blocks of vectors meet blocks of queries, each pair in a task of bounded
     size; the best of each block are ranked after a partial top-k. Ties go to the
-    smaller vec_id; queries without candidates give no rows, nor do empty tables.
+    smaller vec_id; scores that overflow are infinite and tie, those that are no number come last; rows that
+    share a vec_id are candidates and queries each; queries without candidates give no rows, nor do empty tables; more
+    columns are not used. A block of at most ``top + 1`` over ``1 - verify`` vectors is verified whole.
     """
-    n, n_queries = vectors.count(), queries.count()
-    norm = vectors.select(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    n_queries = queries.count()
+    n, peak = vectors.agg(F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
     if not n or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks, query_blocks = -(-n // block), -(-n_queries // query_block)
-    norm = float(norm) * (1 + 1e-12)
+    unit = F.lit(2.0 ** -np.floor(np.log2(peak)))
+    norm = vectors.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * unit * (x * unit))))).first()[0] * (1 + 1e-12)
 
     def dealt(df: DataFrame, own: str, k: int, other: str, other_k: int) -> DataFrame:
         # rows of an id that would fill a block are spread; such ids are fewer than blocks
@@ -132,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     def meet(key, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(asked):
-            here = Block(data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()), norm, projections, seed)
+            here = Block(data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()), peak, norm, projections, seed)
             ids = asked["vec_id"].to_numpy()
             found = here.search(ids, np.stack(asked["embedding"].to_numpy()), top, collisions, width, growth, verify)
             for i, (near, score) in zip(ids, found):
@@ -144,5 +162,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
     data = dealt(vectors, "block", blocks, "part", query_blocks)
     asked = dealt(queries, "part", query_blocks, "block", blocks)
     near = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(meet, _OUT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
