@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from llm import near_dedup, neighbours, quality
+from llm import mixing, near_dedup, neighbours, quality
 from llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,7 @@ def test_features_do_not_depend_on_the_batch():
     data = np.frombuffer(b"".join(texts), np.uint8)
     x, size, per = quality.line_features(data, np.append(0, np.cumsum([len(t) for t in texts])))
     assert per.tolist() == [t.count(b"\n") + 1 for t in texts] and size.sum() == sum(len(t) - t.count(b"\n") for t in texts)
+    assert quality.with_neighbours(x, size, per, 1, 4).tolist() == quality.with_neighbours(x, size, per, 0, len(x))[1:4].tolist()
     alone = [quality.line_features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
     assert np.allclose(x, np.concatenate(alone))
 
@@ -209,7 +210,8 @@ def test_neighbours(spark, block):
 def test_neighbours_in_a_large_block():
     """More vectors than 16 bits count."""
     x = np.random.default_rng(4).normal(size=(70_000, 4))
-    here = neighbours.Block(np.arange(len(x)), x, float(np.sqrt((x * x).sum(axis=1).max())), 8, 1)
+    peak = np.abs(x).max()
+    here = neighbours.Block(np.arange(len(x)), x, peak, float(np.sqrt((neighbours.scaled(x, peak) ** 2).sum(axis=1).max())), 8, 1)
     assert (np.sort(here.place, axis=1) == np.arange(len(x))).all()
     (near, score), = here.search(np.array([-1]), x[69_990:69_991], 5, 0.7, 0.25, 1.25, 0.12)
     want = np.sort(neighbours.exact(x, x[69_990]))[::-1][:5]
@@ -224,6 +226,69 @@ def test_neighbours_of_a_repeated_id(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 69_999.0 - i) for i in range(5)]
 
 
+def test_neighbours_of_extreme_length(spark):
+    """Norms whose squares overflow or vanish."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    x[0] *= 1e200
+    x[20] *= 1e-170
+    x[40] *= 1e200
+    x[60] = [1e200, -1e200, 0, 0, 0, 0, 0, 0]
+    vectors = neighbours.usable(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), block=100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 400, 20))
+    for q in (0, 20, 40, 60, 80):
+        s = neighbours.exact(x, x[q])
+        ids = np.array([i for i in range(400) if i != q])
+        want = ids[np.lexsort((ids, -s[ids]))][:20]
+        assert len(set(want.tolist()) & set(got[q])) >= 18, q
+
+
+ODD = [
+    (1, None, "en", None, 0, "x"), (2, "", None, "a", 0, "x"), (None, "good words here.", "en", "a", 1, None), (None, "good words here.", "en", "b", 1, None),
+    (3, "same row", "en", "a", 1, "x"), (3, "same row", "en", "a", 1, "x"), (3, "ab", "en", "a", 1, "x"), (3, "a          b", "en", "a", None, "y"),
+    (4, "a b", "en", "b", 1, "x"), (5, "line of words.\n" * 3000, "en", None, 1, "x"), (6, " \n\t", "en", "a", 1, "x"),
+]
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, "
+
+
+@pytest.mark.parametrize("clash", ["digest", "row"])
+def test_stages_on_odd_rows(spark, clash):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns."""
+    docs = spark.createDataFrame(ODD, ODD_COLUMNS + f"{clash} string")
+    none = docs.limit(0)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.dtypes == docs.dtypes and stage(spark, none, SF).count() == 0
+        out[name] = got.collect()
+        assert set(map(repr, out[name])) <= set(map(repr, docs.collect()))
+    # of equal texts the longest, of equal rows one
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out["exact dedup"]))) == sorted(map(repr, [(6, " \n\t"), (None, "good words here."), (3, "same row"), (3, "a          b"), (5, "line of words.\n" * 3000)]))
+    near = out["near dedup"]
+    assert len(near) == len({(r.doc_id, r.text) for r in near}) and {r.text for r in near} >= {"same row", "good words here."}
+    sized = {(r.doc_id, r.source): r.target for r in mixing.mix(docs).collect()}
+    assert all(sized[r.doc_id, r.source] > 0 for r in out["mixing"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.start + r.length == r.doc_tokens for r in packed) == len(ODD)
+
+
+def test_one_of_each_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (2, "other words entirely so")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs).collect()) == [1, 2]
+
+
+def test_very_long_text(spark):
+    """50 MB of text in one document."""
+    line = "it was said that the river ran to the sea and back. " * 20 + "\n"
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").selectExpr("doc_id", f"repeat('{line}', {50_000_000 // len(line)}) AS text")
+    field = quality.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    (r,) = quality.score(docs, field).collect()
+    assert 0 <= r.score <= 1 and r.n_lines == 50_000_000 // len(line) + 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

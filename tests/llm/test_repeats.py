@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from llm.substring_dedup import remove_phrases
-from llm.suffix_dedup import remove_repeats
+from llm import repeats
+from llm.substring_dedup import locate, remove_phrases
+from llm.suffix_dedup import LogIndex, remove_repeats
 
 
 def brute(seqs, width):
@@ -64,3 +66,40 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_phrases(df).count() == 0
     assert remove_repeats(df).count() == 0
+
+
+def test_the_automaton_gives_the_answer():
+    bodies, per = [b"a b c d e", b"x b c d y"], np.array([3, 3])
+    hit = np.array([False, True, False, False, False, False])  # b c d, confirmed at one place
+    assert locate(bodies, hit, per, width=3) == [[(1, 1)], [(1, 1)]]
+    assert locate(bodies, np.zeros(6, bool), per, width=3) == [[], []]
+
+
+def test_levels_fall_geometrically():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(97, 100, size=(3000, 6)).astype(np.uint8).view("S6").ravel()
+    hit, index = np.zeros(len(keys), bool), LogIndex()
+    for a in range(0, len(keys), 100):
+        ids = np.arange(a, a + 100)
+        index.add(keys[ids], ids, hit)
+        sizes = [len(k) for k, _ in index.levels]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:])) and all((np.sort(k) == k).all() for k, _ in index.levels)
+    n = Counter(keys.tolist())
+    assert hit.tolist() == [n[k] > 1 for k in keys.tolist()]
+
+
+def test_long_rows_in_slices(spark, monkeypatch):
+    """Texts cut into slices, as very long ones are, give the same answer."""
+    rng = random.Random(3)
+    rows = corpus(rng, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = [(t or "").encode() for _, t in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    whole, _ = repeats.word_units(data, offsets)
+    want = sorted(map(repr, remove_repeats(df).collect()))
+    monkeypatch.setattr(repeats, "CHUNK", 50)
+    assert (repeats.word_units(data, offsets)[0] == whole).all()
+    u, sizes = data[:900], np.array([900])
+    windows = [x for *_, first, last, _, _ in repeats._runs_of(u, sizes, 200, 40) for a, b in zip(first, last) for x in range(a, b + 1)]
+    assert sorted(windows) == list(range(701))
+    assert want == sorted(map(repr, remove_repeats(df).collect()))
