@@ -91,3 +91,21 @@ def tiered(score: Column, tiers: list) -> Column:
     for cut, name in reversed(tiers[:-1]):
         out = F.when(score >= cut, name).otherwise(out)
     return out
+
+
+def without_stub(c: Column) -> Column:
+    """Without a last word of three letters or fewer that is no known short word: names are often cut off."""
+    words = F.split(c, " ")
+    last = F.element_at(words, -1)
+    cut = (F.size(words) >= 2) & (F.length(last) <= 3) & ~last.isin(vocab.SHORT_WORDS)
+    return F.when(cut, F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).otherwise(c)
+
+
+def invite_text(flag: Column) -> Column:
+    """'' for an unknown flag."""
+    return F.when(flag, "Invite Only").when(~flag, "Not Invite Only").otherwise("")
+
+
+def reply_array(reply: Column) -> Column:
+    """From the first [ to the last ] of a reply that may hold more words; '' without both."""
+    return F.regexp_extract(reply, r"(?s)(\[.*\])", 1)

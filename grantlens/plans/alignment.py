@@ -18,13 +18,28 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def keyword_points(texts: DataFrame, clusters: dict[str, list[str]] = vocab.CLUSTERS) -> DataFrame:
-    """ein, keyword_points from texts (ein, text, weight): each keyword counts once, with its largest weight."""
+def joined_texts(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """key, text: all non-empty texts of a key in order, with a space between them, so that a phrase may run over rows."""
+    some = rows.filter(F.col(text) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("l"))
+    return some.select(key, F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+
+
+def keyword_hits_by_key(texts: DataFrame, clusters: dict[str, list[str]] = vocab.CLUSTERS) -> DataFrame:
+    """ein, k, w from texts (ein, text, weight): each keyword with its largest weight. Each distinct text is searched once."""
     words = [k for ks in clusters.values() for k in ks]
+    found = texts.select("text").distinct().select("text", F.explode(keyword_hits(F.col("text"), words)).alias("k"))
+    return texts.distinct().join(found, "text").groupBy("ein", "k").agg(F.max("weight").alias("w"))
+
+
+def keyword_points(texts: DataFrame, clusters: dict[str, list[str]] = vocab.CLUSTERS) -> DataFrame:
+    """ein, keyword_points, keyword_matches, keyword_match_count from texts (ein, text, weight): each keyword counts once, with its largest weight.
+
+    For phrases that run over rows give ``joined_texts``.
+    """
     cluster = F.create_map(*(F.lit(x) for c, ks in clusters.items() for k in ks for x in (k, c)))
-    hits = texts.select("ein", "weight", F.explode(keyword_hits(F.col("text"), words)).alias("k")).groupBy("ein", "k").agg(F.max("weight").alias("w"))
-    by = hits.groupBy("ein").agg(F.sum("w").alias("p"), F.count_distinct(F.element_at(cluster, F.col("k"))).alias("n"))
-    return by.select("ein", F.least(F.col("p") + F.when(F.col("n") >= 3, 5).when(F.col("n") == 2, 3).otherwise(0), F.lit(30)).cast("long").alias("keyword_points"))
+    by = keyword_hits_by_key(texts, clusters).groupBy("ein").agg(F.sum("w").alias("p"), F.count_distinct(F.element_at(cluster, F.col("k"))).alias("n"), F.array_sort(F.collect_set("k")).alias("found"))
+    points = F.least(F.col("p") + F.when(F.col("n") >= 3, 5).when(F.col("n") == 2, 3).otherwise(0), F.lit(30))
+    return by.select("ein", points.cast("long").alias("keyword_points"), F.array_join("found", "; ").alias("keyword_matches"), F.size("found").alias("keyword_match_count"))
 
 
 def international_points(grants: DataFrame) -> DataFrame:
@@ -33,17 +48,21 @@ def international_points(grants: DataFrame) -> DataFrame:
     return by.select("ein", points.cast("long").alias("international_points"))
 
 
-def focus_points(grants: DataFrame, faith: list[str], abroad: list[str]) -> DataFrame:
-    """Points for terms in all a giver's purposes together, and for the share of grants with any."""
-    text = F.lower(F.concat_ws(" ", F.coalesce("grantee_name", F.lit("")), F.coalesce("purpose", F.lit(""))))
-    def any_of(terms: list[str]) -> Column:
-        return F.greatest(*(text.contains(t).cast("int") for t in terms), F.lit(0))
+def _any_of(text: Column, terms: list[str]) -> Column:
+    return F.greatest(*(text.contains(t).cast("int") for t in terms), F.lit(0))
+
 
-    seen = [F.max(text.contains(t).cast("int")).alias(f"t{i}") for i, t in enumerate(faith + abroad)]
-    by = grants.groupBy("ein").agg(F.avg(any_of(faith + abroad)).alias("share"), *seen)
+def focus_points(grants: DataFrame, activities: DataFrame, faith: list[str] = vocab.FAITH_TERMS, abroad: list[str] = vocab.ABROAD_TERMS) -> DataFrame:
+    """ein, focus_points: terms in all a giver's activities (ein, text) together, and the share of its grants with any."""
+    done = F.lower("text")
+    terms = activities.groupBy("ein").agg(*(F.max(done.contains(t).cast("int")).alias(f"t{i}") for i, t in enumerate(faith + abroad)))
     total = lambda a, b: sum((F.col(f"t{i}") for i in range(a, b)), F.lit(0))
-    points = F.least(total(0, len(faith)), F.lit(4)) + F.least(total(len(faith), len(faith) + len(abroad)), F.lit(3)) + F.when(F.col("share") > 0.5, 3).otherwise(0)
-    return by.select("ein", points.cast("long").alias("focus_points"))
+    said = terms.select("ein", (F.least(total(0, len(faith)), F.lit(4)) + F.least(total(len(faith), len(faith) + len(abroad)), F.lit(3))).alias("said"))
+    text = F.lower(F.concat_ws(" ", F.coalesce("grantee_name", F.lit("")), F.coalesce("purpose", F.lit(""))))
+    shares = grants.groupBy("ein").agg(F.avg(_any_of(text, faith + abroad)).alias("share"))
+    both = said.join(shares, "ein", "full")
+    points = F.coalesce("said", F.lit(0)) + F.when(F.col("share") > 0.5, 3).otherwise(0)
+    return both.select("ein", F.least(points, F.lit(10)).cast("long").alias("focus_points"))
 
 
 def grantee_points(matched: DataFrame, recency: Column) -> DataFrame:
@@ -59,3 +78,29 @@ def opportunity(alignment: Column, grant: Column) -> Column:
     for cut, points in reversed(vocab.GRANT_SIZES):
         size = F.when(a >= cut, points).otherwise(size)
     return F.least(F.floor(alignment / 100 * 60 + size), F.lit(100)).cast("long")
+
+
+def alignment(eins: DataFrame, grantees: DataFrame, keywords: DataFrame, abroad: DataFrame, focus: DataFrame) -> DataFrame:
+    """ein, alignment_score of eins: the four kinds of points, 100 at most; keyword columns and gives_internationally with them."""
+    joined = eins.select("ein").distinct().join(grantees, "ein", "left").join(keywords, "ein", "left").join(abroad, "ein", "left").join(focus, "ein", "left")
+    points = [F.coalesce(c, F.lit(0)) for c in ("grantee_points", "keyword_points", "international_points", "focus_points")]
+    total = F.least(points[0] + points[1] + points[2] + points[3], F.lit(100))
+    return joined.select(
+        "ein", total.alias("alignment_score"), F.coalesce("keyword_matches", F.lit("")).alias("keyword_matches"), F.coalesce("keyword_match_count", F.lit(0)).alias("keyword_match_count"),
+        F.when(points[2] > 0, "Yes").otherwise("No").alias("gives_internationally"),
+    )
+
+
+def score_batch(rows: DataFrame, matched: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each row (name, city, state, grant_amount) with its entity's scores, the best opportunity first, then by name.
+
+    Rows without a match have no ein and alignment 0, but an opportunity from their amount.
+    """
+    place = [F.coalesce(c, F.lit("")).alias(c) for c in ("city", "state")]
+    found = rows.select("name", *place, "grant_amount").join(matched.select("name", "city", "state", "ein"), ["name", "city", "state"], "left").join(scores, "ein", "left")
+    score = F.coalesce("alignment_score", F.lit(0))
+    return found.select(
+        "name", "city", "state", F.coalesce("ein", F.lit("")).alias("ein"), F.col("ein").isNotNull().alias("data_found"), score.alias("alignment_score"),
+        opportunity(score.cast("double"), F.col("grant_amount")).alias("opportunity_score"), F.coalesce("keyword_matches", F.lit("")).alias("keyword_matches"),
+        F.coalesce("gives_internationally", F.lit("")).alias("gives_internationally"),
+    ).orderBy(F.desc("opportunity_score"), "name", "city", "state")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vocab
-from .functions.text import application_status, normalized, phone, website, year
-from .operators.matching import fuzzy_pairs, match_targets
-from .operators.relational import covered, fixed_sample, latest, missing, upsert
-from .plans import alignment, faith
-from .sources import testbed as T
+from .. import vocab
+from ..functions.text import application_status, normalized, phone, website, year
+from ..operators.matching import fuzzy_pairs, match_targets
+from ..operators.relational import covered, fixed_sample, latest, missing, upsert
+from ..plans import alignment, faith
+from ..sources import testbed as T
+from ..sources.scratch import staged
+from .catalog import query
 
 EIN = "lpad(CAST({} AS VARCHAR), CAST(greatest(9, length(CAST({} AS VARCHAR))) AS INT), '0')"
 GRANTS = f"""g AS (SELECT l_orderkey * 10 + l_linenumber AS id, {EIN.format('o_custkey', 'o_custkey')} AS ein, p_name AS grantee_name, n_name AS state, r_name AS country,
@@ -19,53 +21,42 @@ GRANTS = f"""g AS (SELECT l_orderkey * 10 + l_linenumber AS id, {EIN.format('o_c
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def _sql_list(xs: list[str]) -> str:
+def sql_list(xs: list[str]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-def _sql_norm(c: str) -> str:
+def sql_norm(c: str) -> str:
     cut = f"regexp_replace(lower({c}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
     for_each = "CASE " + " ".join(f"WHEN instr(x0, '{m}') > 1 THEN regexp_replace(substr(x0, 1, instr(x0, '{m}') - 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')" for m in vocab.FORMER_NAMES) + " ELSE x0 END"
     full = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.ABBREVIATIONS.items()) + " ELSE t END"
     tokens = f"list_filter(string_split_regex(regexp_replace({for_each.replace('x0', f'({cut})')}, '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', '', 'g'), '[\\s\\p{{Z}}]+'), lambda t: t <> '')"
-    return f"array_to_string(list_filter(list_transform({tokens}, lambda t: {full}), lambda t: NOT list_contains({_sql_list(vocab.STOP_WORDS)}, t)), ' ')"
+    return f"array_to_string(list_filter(list_transform({tokens}, lambda t: {full}), lambda t: NOT list_contains({sql_list(vocab.STOP_WORDS)}, t)), ' ')"
 
 
-def _sql_rules(c: str) -> str:
-    hits = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{r}') THEN {_sql_list(t)} ELSE CAST([] AS VARCHAR[]) END" for r, t in T.RULES)
+def sql_rules(c: str) -> str:
+    hits = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{r}') THEN {sql_list(t)} ELSE CAST([] AS VARCHAR[]) END" for r, t in T.RULES)
     return f"flatten([{hits}])"
 
 
-def _sql_tier(tiers: list) -> str:
+def sql_tier(tiers: list) -> str:
     return "CASE " + " ".join(f"WHEN faith_alignment_score >= {cut} THEN '{name}'" for cut, name in tiers[:-1]) + f" ELSE '{tiers[-1][1]}' END"
 
 
-TAGGED = f"""{GRANTS}, n AS (SELECT grantee_name, max(amount) AS m, {_sql_norm('grantee_name')} AS name_norm FROM g WHERE grantee_name <> '' GROUP BY grantee_name),
-  kb AS (SELECT name_norm, display_name, max_grant, {_sql_rules('display_name')} AS tags FROM (SELECT name_norm, grantee_name AS display_name, m AS max_grant, row_number() OVER (PARTITION BY name_norm ORDER BY m DESC, grantee_name) AS k FROM n WHERE name_norm <> '') WHERE k = 1),
+TAGGED = f"""{GRANTS}, n AS (SELECT grantee_name, max(amount) AS m, {sql_norm('grantee_name')} AS name_norm FROM g WHERE grantee_name <> '' GROUP BY grantee_name),
+  kb AS (SELECT name_norm, display_name, max_grant, {sql_rules('display_name')} AS tags FROM (SELECT name_norm, grantee_name AS display_name, m AS max_grant, row_number() OVER (PARTITION BY name_norm ORDER BY m DESC, grantee_name) AS k FROM n WHERE name_norm <> '') WHERE k = 1),
   t AS (SELECT g.*, coalesce(kb.tags, CAST([] AS VARCHAR[])) AS tags FROM g LEFT JOIN n USING (grantee_name) LEFT JOIN kb ON n.name_norm = kb.name_norm)"""
-_C = [f"list_has_any(tags, {_sql_list(t)})" for _, t in vocab.COMPONENTS]
+_C = [f"list_has_any(tags, {sql_list(t)})" for _, t in vocab.COMPONENTS]
 SCORES = f"""{TAGGED}, b AS (SELECT ein, CAST(sum(amount) AS BIGINT) AS total_giving, CAST(sum(CASE WHEN {_C[0]} THEN amount ELSE 0 END) AS BIGINT) AS faith_giving, count(DISTINCT tax_year) AS years_of_giving,
   count(DISTINCT CASE WHEN {_C[0]} THEN tax_year END) AS years_of_faith_giving, {', '.join(f'CAST(sum(CASE WHEN {c} THEN amount ELSE 0 END) AS DOUBLE) AS c{i}' for i, c in enumerate(_C))} FROM t GROUP BY ein HAVING sum(amount) > 0),
   s AS (SELECT *, CAST(least(round_even({' + '.join(f'{w}::DOUBLE * (c{i} / total_giving::DOUBLE)' for i, (w, _) in enumerate(vocab.COMPONENTS))} + 10.0::DOUBLE * (years_of_faith_giving::DOUBLE / years_of_giving::DOUBLE), 0), 100.0::DOUBLE) AS INT) AS faith_alignment_score FROM b)"""
-_SCORE_COLUMNS = f"""ein, faith_alignment_score, {_sql_tier(vocab.TIERS)} AS faith_tier, {_sql_tier(vocab.STARS)} AS faith_stars, round_even(100.0::DOUBLE * faith_giving::DOUBLE / total_giving::DOUBLE, 1) AS christian_giving_pct,
+_SCORE_COLUMNS = f"""ein, faith_alignment_score, {sql_tier(vocab.TIERS)} AS faith_tier, {sql_tier(vocab.STARS)} AS faith_stars, round_even(100.0::DOUBLE * faith_giving::DOUBLE / total_giving::DOUBLE, 1) AS christian_giving_pct,
   years_of_faith_giving, years_of_giving, total_giving, faith_giving"""
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = T.grants(spark, sf_dir)
-    return faith.tagged_grants(g, faith.knowledge_base(g, T.RULES))
+def grants_and_names(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The grants, joined once and staged, and the tags of their distinct names."""
+    g = staged(T.grants(spark, sf_dir).select("ein", "grantee_name", "amount", "tax_year", *more), "grants")
+    names = staged(faith.largest_by_name(g), "names")
+    return g, faith.tags_of_names(names, faith.knowledge_base_of(names, T.RULES))
 
 
 @query(f"SELECT ein, name, state, ntee FROM (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, c_name AS name, n_name AS state, c_mktsegment AS ntee FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE ntee IN ('BUILDING', 'MACHINERY')")
@@ -83,10 +74,10 @@ def covered_entities(spark, sf_dir):
     return covered(T.universe(spark, sf_dir).select("ein"), T.filings(spark, sf_dir).filter("tax_year = 1996"), "ein")
 
 
-_FILINGS = f"f AS (SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, CAST(year(o_orderdate) AS INT) AS tax_year, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS assets, count(*) AS n_orders FROM orders GROUP BY 1, 2)"
+FILINGS = f"f AS (SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, CAST(year(o_orderdate) AS INT) AS tax_year, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS assets, count(*) AS n_orders FROM orders GROUP BY 1, 2)"
 
 
-@query(f"WITH {_FILINGS} SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1")
+@query(f"WITH {FILINGS} SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1")
 def latest_filing(spark, sf_dir):
     return latest(T.filings(spark, sf_dir), ["ein"], "tax_year")
 
@@ -99,13 +90,17 @@ def latest_flag(spark, sf_dir):
 
 @query(f"WITH {GRANTS} SELECT ein, string_agg(DISTINCT state, '; ' ORDER BY state) AS states_given FROM g WHERE is_foreign = 0 AND state <> '' GROUP BY ein")
 def states_given(spark, sf_dir):
-    return T.grants(spark, sf_dir).filter("is_foreign = 0 AND state <> ''").groupBy("ein").agg(F.array_join(F.array_sort(F.collect_set("state")), "; ").alias("states_given"))
+    return states_of(T.grants(spark, sf_dir))
+
+
+def states_of(grants: DataFrame) -> DataFrame:
+    return grants.filter("is_foreign = 0 AND state <> ''").groupBy("ein").agg(F.array_join(F.array_sort(F.collect_set("state")), "; ").alias("states_given"))
 
 
 _NAMES = "(SELECT p_partkey AS k, p_name || ' Fdn, Inc. dba The ' || p_brand AS name FROM part UNION ALL SELECT c_custkey + 1000000000, 'The Char Tr of ' || c_name || ' & fam' FROM customer)"
 
 
-@query(f"SELECT k, name, {_sql_norm('name')} AS norm FROM {_NAMES}")
+@query(f"SELECT k, name, {sql_norm('name')} AS norm FROM {_NAMES}")
 def normalize_names(spark, sf_dir):
     p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" Fdn, Inc. dba The "), "p_brand").alias("name"))
     c = T.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000000).alias("k"), F.concat(F.lit("The Char Tr of "), "c_name", F.lit(" & fam")).alias("name"))
@@ -119,27 +114,28 @@ def recipient_kb(spark, sf_dir):
 
 @query(f"WITH {TAGGED} SELECT id, array_to_string(tags, '|') AS tags FROM t")
 def tag_inheritance(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("id", F.array_join("tags", "|").alias("tags"))
+    g, named = grants_and_names(spark, sf_dir, "id")
+    return faith.tagged_grants(g, named).select("id", F.array_join("tags", "|").alias("tags"))
 
 
 @query(f"WITH {SCORES} SELECT {_SCORE_COLUMNS} FROM s")
 def faith_score(spark, sf_dir):
-    return faith.faith_scores(_tagged(spark, sf_dir))
+    return faith.faith_scores(*grants_and_names(spark, sf_dir))
 
 
 @query(f"WITH {SCORES} SELECT {_SCORE_COLUMNS} FROM s ORDER BY faith_alignment_score DESC, ein LIMIT 50")
 def faith_score_top(spark, sf_dir):
-    return faith.faith_scores(_tagged(spark, sf_dir)).orderBy(F.desc("faith_alignment_score"), "ein").limit(50)
+    return faith.faith_scores(*grants_and_names(spark, sf_dir)).orderBy(F.desc("faith_alignment_score"), "ein").limit(50)
 
 
-@query(f"WITH {TAGGED}, x AS (SELECT ein, tag, sum(amount) AS s FROM (SELECT ein, amount, unnest(list_distinct(list_intersect(tags, {_sql_list(vocab.FAITH_TAGS)}))) AS tag FROM t) GROUP BY 1, 2) SELECT ein, string_agg(tag, '; ' ORDER BY s DESC, tag) AS faith_categories FROM x GROUP BY ein")
+@query(f"WITH {TAGGED}, x AS (SELECT ein, tag, sum(amount) AS s FROM (SELECT ein, amount, unnest(list_distinct(list_intersect(tags, {sql_list(vocab.FAITH_TAGS)}))) AS tag FROM t) GROUP BY 1, 2) SELECT ein, string_agg(tag, '; ' ORDER BY s DESC, tag) AS faith_categories FROM x GROUP BY ein")
 def faith_categories(spark, sf_dir):
-    return faith.faith_categories(_tagged(spark, sf_dir))
+    return faith.faith_categories(faith.tagged_grants(*grants_and_names(spark, sf_dir)))
 
 
-@query(f"WITH {SCORES} SELECT faith_tier, count(*) AS n FROM (SELECT {_sql_tier(vocab.TIERS)} AS faith_tier FROM s) GROUP BY 1")
+@query(f"WITH {SCORES} SELECT faith_tier, count(*) AS n FROM (SELECT {sql_tier(vocab.TIERS)} AS faith_tier FROM s) GROUP BY 1")
 def tier_distribution(spark, sf_dir):
-    return faith.faith_scores(_tagged(spark, sf_dir)).groupBy("faith_tier").agg(F.count("*").alias("n"))
+    return faith.faith_scores(*grants_and_names(spark, sf_dir)).groupBy("faith_tier").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {GRANTS}, b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE is_foreign = 1) AS f, count(DISTINCT CASE WHEN is_foreign = 1 AND country <> '' THEN country END) AS c FROM g GROUP BY ein)
@@ -148,23 +144,28 @@ def international_points(spark, sf_dir):
     return alignment.international_points(T.grants(spark, sf_dir))
 
 
-_FAITH, _ABROAD = ["widget", "gear", "hot", "plate", "small"], ["steel", "brass", "copper", "tin"]
+_FAITH, _ABROAD = ["widget", "gear", "hot", "economy", "small"], ["standard", "promo", "copper", "tin"]
 
 
-@query(f"""WITH {GRANTS}, x AS (SELECT ein, lower(grantee_name || ' ' || purpose) AS t FROM g), b AS (SELECT ein, {', '.join(f"max(CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END) AS t{i}" for i, w in enumerate(_FAITH + _ABROAD))},
+@query(f"""WITH {GRANTS}, x AS (SELECT ein, lower(grantee_name || ' ' || purpose) AS t, lower(purpose) AS a FROM g),
+b AS (SELECT ein, {', '.join(f"max(CASE WHEN contains(a, '{w}') THEN 1 ELSE 0 END) AS t{i}" for i, w in enumerate(_FAITH + _ABROAD))},
 avg(CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _FAITH + _ABROAD)} THEN 1 ELSE 0 END) AS share FROM x GROUP BY ein)
-SELECT ein, CAST(least(t0 + t1 + t2 + t3 + t4, 4) + least(t5 + t6 + t7 + t8, 3) + (CASE WHEN share > 0.5 THEN 3 ELSE 0 END) AS BIGINT) AS focus_points FROM b""")
+SELECT ein, CAST(least({' + '.join(f't{i}' for i in range(len(_FAITH)))}, 4) + least({' + '.join(f't{i}' for i in range(len(_FAITH), len(_FAITH + _ABROAD)))}, 3)
+  + (CASE WHEN share > 0.5 THEN 3 ELSE 0 END) AS BIGINT) AS focus_points FROM b""")
 def focus_points(spark, sf_dir):
-    return alignment.focus_points(T.grants(spark, sf_dir), _FAITH, _ABROAD)
+    g = T.grants(spark, sf_dir)
+    return alignment.focus_points(g, g.select("ein", F.col("purpose").alias("text")), _FAITH, _ABROAD)
 
 
 _WORDS = {"a": ["Widget", "Gear"], "b": ["Plate", "Bolt", "Ring"], "c": ["Red", "Hot"]}
 
 
-@query(f"""WITH {GRANTS}, x AS (SELECT ein, lower(grantee_name) AS t, 1 AS w FROM g UNION ALL SELECT ein, lower(purpose), 2 FROM g),
-k AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{w.lower()}')" for c, ws in _WORDS.items() for w in ws)}) AS v(c, k)),
-h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN k ON regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || k || '(s|es|ing|al)?($|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1, 2, 3)
-SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points FROM h GROUP BY ein""")
+@query(f"""WITH {GRANTS}, x AS (SELECT DISTINCT ein, grantee_name AS t, 1 AS w FROM g UNION ALL SELECT DISTINCT ein, purpose, 2 FROM g),
+k AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{w}')" for c, ws in _WORDS.items() for w in ws)}) AS v(c, k)),
+d AS (SELECT t, c, k FROM (SELECT DISTINCT t FROM x) JOIN k ON regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])' || lower(k) || '(s|es|ing|al)?($|[^\\p{{L}}\\p{{N}}_])')),
+h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN d USING (t) GROUP BY 1, 2, 3)
+SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points,
+  string_agg(DISTINCT k, '; ' ORDER BY k) AS keyword_matches, CAST(count(*) AS INT) AS keyword_match_count FROM h GROUP BY ein""")
 def keyword_points(spark, sf_dir):
     g = T.grants(spark, sf_dir)
     texts = g.select("ein", F.col("grantee_name").alias("text"), F.lit(1).alias("weight")).unionAll(g.select("ein", "purpose", F.lit(2)))
@@ -206,14 +207,15 @@ def fill_rate_profile(spark, sf_dir):
     return T.grants(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("state") != "").alias("with_state"), F.count_if(F.col("amount").isNotNull()).alias("with_amount"), F.count_if(F.col("is_foreign") == 1).alias("abroad"))
 
 
-@query(f"""WITH {SCORES}, {_FILINGS}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1), st AS (SELECT ein, string_agg(DISTINCT state, '; ' ORDER BY state) AS states FROM g WHERE is_foreign = 0 AND state <> '' GROUP BY ein)
+@query(f"""WITH {SCORES}, {FILINGS}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1), st AS (SELECT ein, string_agg(DISTINCT state, '; ' ORDER BY state) AS states FROM g WHERE is_foreign = 0 AND state <> '' GROUP BY ein)
 SELECT u.ein, u.name, 'https://example.org/organizations/' || u.ein AS link, l.assets, l.ein IS NOT NULL AS data_found, coalesce(st.states, '') AS states_given, s.faith_alignment_score
 FROM (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, c_name AS name FROM customer) u LEFT JOIN l USING (ein) LEFT JOIN s USING (ein) LEFT JOIN st USING (ein)""")
 def export_ranked(spark, sf_dir):
     u = T.universe(spark, sf_dir).select("ein", "name")
     l = latest_filing(spark, sf_dir).select("ein", "assets", F.lit(True).alias("hit"))  # noqa: E741
-    s = faith_score(spark, sf_dir).select("ein", "faith_alignment_score")
-    joined = u.join(l, "ein", "left").join(s, "ein", "left").join(states_given(spark, sf_dir), "ein", "left")
+    g, named = grants_and_names(spark, sf_dir, "state", "is_foreign")
+    s = faith.faith_scores(g, named).select("ein", "faith_alignment_score")
+    joined = u.join(l, "ein", "left").join(s, "ein", "left").join(states_of(g), "ein", "left")
     out = joined.select("ein", "name", F.concat(F.lit("https://example.org/organizations/"), "ein").alias("link"), "assets", F.coalesce("hit", F.lit(False)).alias("data_found"), F.coalesce("states_given", F.lit("")).alias("states_given"), "faith_alignment_score")
     return out.orderBy(F.desc_nulls_last("faith_alignment_score"), "ein")
 
@@ -228,7 +230,7 @@ def json_tags(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query(f"WITH {_FILINGS} SELECT ein, tax_year, CASE WHEN tax_year >= 1998 THEN assets + 1 ELSE assets END AS assets FROM f")
+@query(f"WITH {FILINGS} SELECT ein, tax_year, CASE WHEN tax_year >= 1998 THEN assets + 1 ELSE assets END AS assets FROM f")
 def upsert_latest(spark, sf_dir):
     f = T.filings(spark, sf_dir).select("ein", "tax_year", "assets")
     return upsert(f, f.filter("tax_year >= 1998").withColumn("assets", F.col("assets") + 1), ["ein", "tax_year"])

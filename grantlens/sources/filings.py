@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import object_id, phone, website, whole_number, year
 
-SCHEMA = """object_id string, ein string, name string, city string, state string, year string, assets string, site string, phone string, revenue string, invite string, contact string, email string,
+SCHEMA = """object_id string, ein string, name string, city string, state string, year string, assets string, total_assets string, distributions string,
+site string, phone string, revenue string, invite string, has_application int, contact string, contact_address string, contact_phone string, email string,
+application_format string, deadlines string, restrictions string,
 grants array<struct<kind:string,name:string,city:string,state:string,country:string,is_foreign:int,amount:string,purpose:string>>,
 activities array<struct<description:string,expenses:string>>"""
+_COLUMNS = [c.split(" ")[0] for c in SCHEMA.replace("\n", " ").split("grants array")[0].replace(", ", ",").strip(", ").split(",")] + ["grants", "activities"]
 
 # Element names of the filings, in the order in which they are tried.
 GRANT_GROUPS = [("paid", "GrantOrContributionPdDurYrGrp"), ("legacy", "GrantOrContriPaidDuringYear"), ("future", "GrantOrContriApprvForFutGrp")]
 PREPARERS = {"PreparerPersonGrp", "PreparerFirmGrp", "PaidPreparerInformationGrp"}
 ACTIVITY_TEXTS = ["DescriptionOfActivity", "ActivityOrProgramDescription", "Desc"]
 PROGRAM_GROUPS = ["ProgramSrvcAccomplishmentGrp", "ProgramServiceAccomplishment"]
+APPLICATION = dict(
+    contact="RecipientPersonNm", contact_phone="RecipientPhoneNum", email="RecipientEmailAddressTxt", application_format="FormAndInfoAndMaterialsTxt",
+    deadlines="SubmissionDeadlinesTxt", restrictions="RestrictionsOnAwardsTxt",
+)
+ADDRESSES = ["RecipientUSAddress", "RecipientForeignAddress"]
+ADDRESS_PARTS = [["AddressLine1Txt"], ["AddressLine2Txt"], ["CityNm"], ["StateAbbreviationCd", "ProvinceOrStateNm"], ["ZIPCd", "ForeignPostalCd"], ["CountryCd"]]
 # End of fixed values.
 
 
@@ -54,7 +66,17 @@ def parse(data: bytes) -> dict | None:
             stack.extend((c, theirs) for c in reversed(node))
         return ""
 
-    ein = text(root, "Filer/EIN", "EIN")
+    def child(node, *names: str) -> str:
+        hits = (node.find(ns + n) for n in names) if node is not None else ()
+        return next((t for h in hits if h is not None and (t := (h.text or "").strip())), "")
+
+    def address(node) -> str:
+        """Of the first block that is there, even if it is empty."""
+        blocks = (node.find(ns + a) for a in ADDRESSES) if node is not None else ()
+        block = next((b for b in blocks if b is not None), None)
+        return ", ".join(t for names in ADDRESS_PARTS if (t := child(block, *names)))
+
+    ein = text(root, "Filer/EIN", "EIN") or (root.findtext(".//EIN") or "").strip()
     if not ein:
         return None
     grants = []
@@ -69,15 +91,17 @@ def parse(data: bytes) -> dict | None:
     activities += [dict(description=t, expenses=text(n, "ExpenseAmt")) for a in PROGRAM_GROUPS for n in root.iter(ns + a) if (t := text(n, "DescriptionProgramSrvcAccomTxt", "ActivityOrMissionDesc"))]
     form = next(find(root, "ApplicationSubmissionInfoGrp"), None)
     return dict(
-        ein=ein, name=text(root, "Filer/BusinessName/BusinessNameLine1Txt", "Filer/BusinessName/BusinessNameLine1", "BusinessNameLine1Txt"), city=text(root, "Filer/USAddress/CityNm", "Filer/USAddress/City"),
-        state=text(root, "Filer/USAddress/StateAbbreviationCd", "Filer/USAddress/State"), year=text(root, "TaxYr", "TaxYear"), assets=text(root, "FMVAssetsEOYAmt", "TotalAssetsEOYAmt"), site=text(root, "WebsiteAddressTxt"),
+        ein=ein, name=text(root, "Filer/BusinessName/BusinessNameLine1Txt", "Filer/BusinessName/BusinessNameLine1", "BusinessName/BusinessNameLine1Txt"),
+        city=text(root, "Filer/USAddress/CityNm", "Filer/USAddress/City"), state=text(root, "Filer/USAddress/StateAbbreviationCd", "Filer/USAddress/State"),
+        year=text(root, "TaxYr", "TaxYear"), assets=text(root, "FMVAssetsEOYAmt"), total_assets=text(root, "TotalAssetsEOYAmt"),
+        distributions=text(root, "TotDistriAndExpensesRevAndExpnssAmt"), site=text(root, "WebsiteAddressTxt"),
         phone=text(root, "Filer/PhoneNum", "BusinessOfficerGrp/PhoneNum") or own_phone(), revenue=text(root, "TotalRevAndExpnssAmt"), invite=text(root, "OnlyContriToPreselectedInd"),
-        contact=text(form, "RecipientPersonNm"), email=text(form, "RecipientEmailAddressTxt"), grants=grants, activities=activities,
+        has_application=int(form is not None), contact_address=address(form), grants=grants, activities=activities, **{k: child(form, v) for k, v in APPLICATION.items()},
     )
 
 
 def _rows(pairs) -> pd.DataFrame:
-    return pd.DataFrame([{"object_id": i} | row for i, data in pairs if (row := parse(data))], columns=[c.strip().split(" ")[0] for c in ("object_id,ein,name,city,state,year,assets,site,phone,revenue,invite,contact,email,grants,activities").split(",")])
+    return pd.DataFrame([{"object_id": i} | row for i, data in pairs if (row := parse(data))], columns=_COLUMNS)
 
 
 def shred(files: DataFrame) -> DataFrame:
@@ -93,20 +117,50 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return shred(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path))
 
 
-def unzip(archives: DataFrame) -> DataFrame:
-    """path, content of the XML members of zip archives (path, content); a broken archive gives none."""
+def _open(path: str) -> zipfile.ZipFile | None:
+    """An archive, read from its store in parts; None if it is broken."""
+    store, at = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
+    try:
+        return zipfile.ZipFile(store.open_input_file(at))
+    except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter for what is too short to hold an archive's end
+        return None
+
+
+def list_members(archives: DataFrame) -> DataFrame:
+    """archive, member, object_id, size of the XML members of zip archives (path); a broken archive has none."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path in f["path"]:
+                with _open(path) or nullcontext() as z:
+                    found = [(path, i.filename, i.file_size) for i in z.infolist() if i.filename.endswith(".xml")] if z else []
+                    yield pd.DataFrame(found, columns=["archive", "member", "size"])
+
+    listed = archives.select("path").mapInPandas(run, "archive string, member string, size long")
+    return listed.withColumn("object_id", object_id(F.concat(F.lit("/"), "member")))
+
+
+def wanted_members(members: DataFrame, wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """Members whose object_id is wanted; ``skip`` marks those that are there already."""
+    mine = members.join(wanted.select("object_id").distinct(), "object_id", "left_semi")
+    return mine.join(have.select("object_id", F.lit(True).alias("skip")).distinct(), "object_id", "left").withColumn("skip", F.coalesce("skip", F.lit(False)))
+
+
+def member_counts(chosen: DataFrame) -> DataFrame:
+    """extracted, skipped, bytes of ``wanted_members``."""
+    taken = F.sum(F.when(~F.col("skip"), F.col("size")).otherwise(0))
+    return chosen.agg(F.count_if(~F.col("skip")).alias("extracted"), F.count_if(F.col("skip")).alias("skipped"), F.coalesce(taken, F.lit(0)).alias("bytes"))
+
+
+def read_members(members: DataFrame) -> DataFrame:
+    """path, content of members (archive, member): each batch opens an archive once."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            if name.endswith(".xml"):
-                                yield pd.DataFrame({"path": ["/" + name], "content": [z.read(name)]})
-                except zipfile.BadZipFile:
-                    continue
+            for path, group in f.groupby("archive"):
+                with _open(path) as z:
+                    for name in group["member"]:
+                        yield pd.DataFrame({"path": ["/" + name], "content": [z.read(name)]})
 
-    return archives.select("content").mapInPandas(run, "path string, content binary")
+    return members.select("archive", "member").mapInPandas(run, "path string, content binary")
 
 
 def winners(filings: DataFrame) -> DataFrame:
@@ -116,9 +170,35 @@ def winners(filings: DataFrame) -> DataFrame:
     return latest(filings.withColumn("tax_year", year(F.col("year"))), ["ein", "tax_year"], "object_id")
 
 
+def _profile() -> list[Column]:
+    """What a filing says about how to apply, and its revenue."""
+    return [
+        website(F.col("site")).alias("website"), phone(F.col("phone")).alias("phone"), F.when(F.col("revenue") != "", whole_number(F.col("revenue"))).alias("revenue"),
+        (F.upper("invite") == "X").cast("int").alias("invite_only"), F.col("has_application").alias("has_application_info"), F.col("contact").alias("contact_person"), "contact_address",
+        phone(F.col("contact_phone")).alias("contact_phone"), F.col("email").alias("contact_email"), "application_format", "deadlines", "restrictions",
+    ]
+
+
 def foundations(filings: DataFrame) -> DataFrame:
-    revenue = F.when(F.col("revenue") != "", whole_number(F.col("revenue")))
-    return winners(filings).select("ein", "tax_year", F.col("name").alias("organization_name"), "city", "state", whole_number(F.col("assets")).alias("assets"), (F.size("grants") > 0).cast("int").alias("has_grants"), website(F.col("site")).alias("website"), phone(F.col("phone")).alias("phone"), revenue.alias("revenue"), (F.upper("invite") == "X").cast("int").alias("invite_only"), "contact", "email")
+    """One row for each EIN and year. Assets at market value, unless they are 0 or missing: then the book value."""
+    market, book = whole_number(F.col("assets")), whole_number(F.col("total_assets"))
+    return winners(filings).select(
+        "ein", "tax_year", F.col("name").alias("organization_name"), "city", "state", F.lit("US").alias("country"), F.when(market != 0, market).otherwise(book).alias("assets"),
+        whole_number(F.col("distributions")).alias("distributions"), (F.size("grants") > 0).cast("int").alias("has_grants"), *_profile(),
+    )
+
+
+def backfill(filings: DataFrame) -> DataFrame:
+    """ein, tax_year and the profile's fields of filings whose year is a number."""
+    return winners(filings.filter(F.col("year").rlike(r"^\d+$"))).select("ein", "tax_year", *_profile())
+
+
+def invite_flags(filings: DataFrame) -> DataFrame:
+    """ein, tax_year, invite_only of the latest filing of each EIN; of equal years the greatest object id."""
+    from ..operators.relational import latest
+
+    flags = filings.select(F.trim("ein").alias("ein"), year(F.col("year")).alias("tax_year"), (F.upper("invite") == "X").alias("invite_only"), "object_id")
+    return latest(flags, ["ein"], "tax_year", "object_id").drop("object_id")
 
 
 def grants(filings: DataFrame) -> DataFrame:

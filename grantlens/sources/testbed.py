@@ -1,8 +1,8 @@
-"""The domain's tables made from the driver's star schema."""
+"""The domain's tables, and filings as XML, made from the driver's star schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import zero_padded
@@ -41,3 +41,53 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(zero_padded(F.col("c_custkey").cast("string")).alias("ein"), F.col("c_name").alias("name"), F.col("n_name").alias("state"), F.col("c_mktsegment").alias("ntee"))
+
+
+def _element(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), F.coalesce(value.cast("string"), F.lit("")), F.lit(f"</{name}>"))
+
+
+def _if(condition: Column, value: Column) -> Column:
+    return F.when(condition, value).otherwise("")
+
+
+def filings_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: one XML document for each customer and year, with the line items as grants."""
+    k = F.col("k")
+    paid = lambda g: F.concat(
+        F.when(g["id"] % 3 == 0, "<f:GrantOrContriApprvForFutGrp>").otherwise("<f:GrantOrContributionPdDurYrGrp>"),
+        F.lit("<f:RecipientBusinessName>"), _element("f:BusinessNameLine1Txt", g["grantee_name"]), F.lit("</f:RecipientBusinessName>"),
+        F.when(g["is_foreign"] == 1, F.concat(F.lit("<f:RecipientForeignAddress>"), _element("f:CountryCd", g["country"]), F.lit("</f:RecipientForeignAddress>")))
+        .otherwise(F.concat(F.lit("<f:RecipientUSAddress>"), _element("f:StateAbbreviationCd", g["state"]), F.lit("</f:RecipientUSAddress>"))),
+        _element("f:Amt", F.concat(g["amount"].cast("string"), F.lit(".75"))), _element("f:GrantOrContributionPurposeTxt", g["purpose"]),
+        F.when(g["id"] % 3 == 0, "</f:GrantOrContriApprvForFutGrp>").otherwise("</f:GrantOrContributionPdDurYrGrp>"),
+    )
+    given = grants(spark, sf_dir).groupBy("ein", "tax_year").agg(F.sort_array(F.collect_list(F.struct("id", "grantee_name", "state", "country", "is_foreign", "amount", "purpose"))).alias("g"))
+    u = universe(spark, sf_dir).select("ein", "name", F.col("state").alias("home"), "ntee")
+    f = filings(spark, sf_dir).join(u, "ein").join(given, ["ein", "tax_year"], "left").withColumn("k", F.col("ein").cast("long"))
+    number = F.concat(F.lit("555123"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    address = F.concat(_element("f:AddressLine1Txt", F.concat(k.cast("string"), F.lit(" Main St"))), _element("f:CityNm", F.col("ntee")))
+    form = F.concat(
+        F.lit("<f:ApplicationSubmissionInfoGrp>"), _element("f:RecipientPersonNm", F.concat(F.lit("Person "), k.cast("string"))),
+        F.when(k % 4 == 1, F.concat(F.lit("<f:RecipientUSAddress>"), address, _element("f:ZIPCd", F.lit("00501")), F.lit("</f:RecipientUSAddress>")))
+        .otherwise(F.concat(F.lit("<f:RecipientForeignAddress>"), address, _element("f:CountryCd", F.lit("CA")), F.lit("</f:RecipientForeignAddress>"))),
+        _element("f:RecipientPhoneNum", number), _element("f:RecipientEmailAddressTxt", F.lit("a@example.org")), _element("f:SubmissionDeadlinesTxt", F.lit("NONE")), F.lit("</f:ApplicationSubmissionInfoGrp>"),
+    )
+    text = F.concat(
+        F.lit('<f:Return xmlns:f="urn:filing"><f:PreparerPersonGrp><f:PhoneNum>9999999999</f:PhoneNum></f:PreparerPersonGrp><f:Filer>'), _element("f:EIN", F.col("ein")),
+        F.lit("<f:BusinessName>"), _element("f:BusinessNameLine1Txt", F.col("name")), F.lit("</f:BusinessName><f:USAddress>"), _element("f:CityNm", F.col("ntee")), _element("f:StateAbbreviationCd", F.col("home")), F.lit("</f:USAddress>"),
+        _if(k % 3 == 0, _element("f:PhoneNum", number)), F.lit("</f:Filer>"), _if(k % 3 == 1, F.concat(F.lit("<f:BusinessOfficerGrp>"), _element("f:PhoneNum", F.lit(" 12 ")), F.lit("</f:BusinessOfficerGrp>"))),
+        _element("f:TaxYr", F.col("tax_year")), _element("f:FMVAssetsEOYAmt", F.when(k % 4 == 0, "0").otherwise(F.concat(F.col("assets").cast("string"), F.lit(".9")))), _element("f:TotalAssetsEOYAmt", F.col("assets") + 5),
+        _element("f:TotDistriAndExpensesRevAndExpnssAmt", F.col("n_orders") * 10), _element("f:WebsiteAddressTxt", F.when(k % 5 == 0, " n/a ").otherwise(F.concat(F.lit("www."), k.cast("string"), F.lit(".org")))),
+        _if(k % 2 == 0, _element("f:TotalRevAndExpnssAmt", F.col("assets") * 2)), _if(k % 3 < 2, _element("f:OnlyContriToPreselectedInd", F.when(k % 3 == 0, "x").otherwise("1"))), _if(k % 2 == 1, form),
+        _element("f:DescriptionOfActivity", F.concat(F.lit("Supports "), F.col("ntee"))), F.lit("<f:ProgramSrvcAccomplishmentGrp>"), _element("f:DescriptionProgramSrvcAccomTxt", F.lit("Program")), _element("f:ExpenseAmt", F.col("n_orders")),
+        F.lit("</f:ProgramSrvcAccomplishmentGrp>"), F.coalesce(F.array_join(F.transform("g", paid), ""), F.lit("")), F.lit("</f:Return>"),
+    )
+    return f.select(F.concat(F.lit("/raw/"), "ein", F.lit("_"), F.col("tax_year").cast("string"), F.lit("_public.xml")).alias("path"), text.cast("binary").alias("content"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ein (as it is, not padded), object_id, sub_date, name, row: the filings as an index lists them."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf_dir, "orders").join(names, F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("o_custkey").cast("string").alias("ein"), F.col("o_orderkey").cast("string").alias("object_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("sub_date"), F.col("c_name").alias("name"), F.col("o_orderkey").alias("row"))

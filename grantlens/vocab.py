@@ -71,7 +71,81 @@ RULES = [
     (r"\bsalvation army\b", ["Christian Ministry", "Homelessness", "Disaster Relief"]),
     (r"\bchristian\b", ["Christian Ministry"]),
 ]
-CONFIDENCE_MIN, CLASSIFY_MIN_GRANT = 70, 5000
+CONFIDENCE_MIN, CLASSIFY_MIN_GRANT, CLASSIFY_BATCH = 70, 5000, 20
+SEEDS = {
+    "Samaritan's Purse": ["Christian Ministry", "Disaster Relief", "International Missions"],
+    "Billy Graham Evangelistic Association": ["Evangelism", "Christian Ministry"],
+    "Wycliffe Bible Translators": ["Bible Translation", "International Missions"],
+    "SIL International": ["Bible Translation", "International Missions"],
+    "Fellowship of Christian Athletes": ["Youth Ministry", "Evangelism"],
+    "Compassion International": ["Child Sponsorship", "Christian Ministry", "Poverty"],
+    "World Vision": ["Christian Ministry", "Disaster Relief", "International Missions"],
+    "Catholic Charities": ["Christian Ministry", "Human Services"],
+    "Young Life": ["Youth Ministry"],
+    "Prison Fellowship": ["Evangelism", "Prison Ministry"],
+    "Salvation Army": ["Christian Ministry", "Homelessness", "Disaster Relief"],
+    "CRU": ["Evangelism", "Youth Ministry"],
+    "OM": ["International Missions"],
+    "Send Relief": ["Disaster Relief", "International Missions"],
+    "YWAM": ["International Missions", "Evangelism"],
+    "Youth with a Mission": ["International Missions", "Evangelism"],
+    "World Gospel Mission": ["International Missions"],
+    "Joshua Fund": ["Israel", "Christian Ministry", "Humanitarian Aid"],
+    "Medical Ambassadors International": ["Medical Missions", "Community Development", "Christian Ministry"],
+    "Equipping Farmers International": ["Agriculture", "Christian Ministry", "International Missions"],
+    "Christian Aid Mission": ["International Missions", "Church Planting"],
+    "WorldVentures": ["International Missions", "Church Planting"],
+    "Hope International": ["Christian Ministry", "Poverty"],
+    "International Justice Mission": ["Christian Ministry", "Human Trafficking"],
+    "Doctors without Borders": ["Medical", "Humanitarian Aid"],
+    "Plant with Purpose": ["Christian Ministry", "Agriculture"],
+    "World Relief": ["Christian Ministry", "Disaster Relief"],
+    "SIM International": ["International Missions"],
+    "Frontiers": ["International Missions"],
+    "Lifewater International": ["Christian Ministry", "Community Development"],
+    "Voice of the Martyrs": ["Christian Ministry", "International Missions"],
+    "International Fellowship of Christian and Jews": ["Jewish Ministry", "Israel"],
+    "Operation Blessing International": ["Christian Ministry", "Disaster Relief"],
+    "Church World Service": ["Christian Ministry", "Disaster Relief"],
+    "Hope Walks": ["Medical Missions", "Christian Ministry"],
+    "Feed the Children": ["Food Security", "Poverty"],
+    "Tearfund": ["Christian Ministry", "Disaster Relief"],
+    "MAP International": ["Medical Missions", "Christian Ministry"],
+    "Convoy of Hope": ["Christian Ministry", "Disaster Relief", "Food Security"],
+    "Living Water International": ["Christian Ministry", "Community Development"],
+    "Heifer International": ["Agriculture", "Poverty"],
+    "CURE": ["Medical Missions", "Christian Ministry"],
+    "Trans World Radio": ["Evangelism", "International Missions"],
+    "Global Disciples": ["Evangelism", "Church Planting"],
+    "Christ for All Nations": ["Evangelism"],
+    "Pioneers": ["International Missions", "Church Planting"],
+    "Jesus Film Project": ["Evangelism", "International Missions"],
+    "Biblica": ["Bible Translation", "Christian Ministry"],
+    "GO Movement": ["Evangelism"],
+    "Faith Comes by Hearing": ["Bible Translation", "Evangelism"],
+    "Luis Palau Association": ["Evangelism"],
+    "Alpha International": ["Evangelism", "Christian Ministry"],
+    "Joshua Project": ["International Missions"],
+    "Ethnos360": ["International Missions", "Church Planting", "Bible Translation"],
+    "Every Home for Christ": ["Evangelism"],
+    "Open Doors": ["Christian Ministry", "International Missions"],
+    "Christian Solidarity International": ["Christian Ministry", "Human Trafficking"],
+    "Release International": ["Christian Ministry", "International Missions"],
+    "Navigators": ["Evangelism", "Christian Ministry"],
+    "InterVarsity Christian Fellowship": ["Youth Ministry", "Evangelism"],
+    "American Bible Society": ["Bible Translation", "Christian Ministry"],
+    "Gideons International": ["Evangelism", "Christian Ministry"],
+    "Awana": ["Youth Ministry", "Evangelism"],
+    "Child Evangelism Fellowship": ["Youth Ministry", "Evangelism"],
+    "Focus on the Family": ["Christian Ministry"],
+    "OMF International": ["International Missions"],
+    "Campus Crusade for Christ": ["Evangelism", "Youth Ministry"],
+    "Billy Graham": ["Evangelism", "Christian Ministry"],
+}
+FAITH_TERMS = ["religion", "religious", "faith", "christian", "church", "ministry", "gospel", "bible", "missionary"]
+ABROAD_TERMS = ["international", "global", "foreign", "overseas", "developing countries", "humanitarian"]
+FIELD_WEIGHTS = {"activities": 3, "purposes": 2, "name": 1}
+SHORT_WORDS = ["inc", "llc", "ltd", "co", "jr", "sr", "ii", "iii", "iv", "us", "ny", "ca", "tx", "fl", "pa", "oh", "il"]
 NO_WEBSITE = ["N/A", "NA", "NONE", "NOT APPLICABLE", "N.A."]
 GRANT_SIZES = [(100000, 40), (50000, 33), (25000, 26), (10000, 20), (5000, 13), (1000, 7)]
 # End of fixed values.
