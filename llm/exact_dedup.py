@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, one_row_each, staged, text_of
 
-#: Buckets of an index. A table of 100 TB of documents wants some thousands.
-BUCKETS = 16
+
+def default_buckets(spark: SparkSession) -> int:
+    """As many as the session's shuffles have partitions, so that a batch is written with one file a bucket."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def normalised(column: str = "text") -> Column:
@@ -28,10 +30,10 @@ def digests(docs: DataFrame) -> DataFrame:
     return staged(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
-def create_index(spark: SparkSession, name: str | None = None, buckets: int = BUCKETS) -> str:
+def create_index(spark: SparkSession, name: str | None = None, buckets: int | None = None) -> str:
     """An empty index, a table of the warehouse, bucketed and sorted by digest: digest, keep_id, chars, batch."""
     name = name or f"digest_index_{uuid.uuid4().hex}"
-    _write(spark.createDataFrame([], "digest string, keep_id long, chars long, batch string"), name, buckets, "error")
+    _write(spark.createDataFrame([], "digest string, keep_id long, chars long, batch string"), name, buckets or default_buckets(spark), "error")
     return name
 
 
@@ -51,13 +53,13 @@ def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def compact(spark: SparkSession, index: str, buckets: int = BUCKETS) -> str:
+def compact(spark: SparkSession, index: str, buckets: int | None = None) -> str:
     """The index with one sorted file a bucket, under a new name; the old table goes.
 
     Buckets are read as they lie, so no rows are shuffled.
     """
     name = f"digest_index_{uuid.uuid4().hex}"
-    _write(spark.table(index), name, buckets, "error")
+    _write(spark.table(index), name, buckets or default_buckets(spark), "error")
     spark.sql(f"DROP TABLE {index}")
     return name
 
@@ -87,7 +89,7 @@ def _decided(rows: DataFrame, groups: DataFrame, index: str, batches: list[str])
     return rows.join(held, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "chars", "row")
 
 
-def append_new(docs: DataFrame, index: str, batch: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def append_new(docs: DataFrame, index: str, batch: str | None = None, buckets: int | None = None) -> DataFrame:
     """Deduplicates docs against the index and within themselves, and appends what is new.
 
     One row of each digest that the index lacks is appended: of the most code points,
@@ -102,17 +104,18 @@ def append_new(docs: DataFrame, index: str, batch: str | None = None, buckets: i
     batch = batch or uuid.uuid4().hex
     rows = digests(docs)
     groups = staged(_groups(rows), "groups")
-    _append(groups, index, batch, buckets)
+    _append(groups, index, batch, buckets or default_buckets(docs.sparkSession))
     return _decided(rows, groups, index, [batch])
 
 
-def exact_dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """All docs through an index of their own, in two batches; columns and cases as in ``append_new``.
 
     Texts of at least the mean length come first. So of equal texts the longest is
     always in the batch that the index takes up, and the second batch meets a filled index.
     """
     spark = docs.sparkSession
+    buckets = buckets or default_buckets(spark)
     rows = digests(docs)
     groups = staged(_groups(rows), "groups")
     mean = groups.agg(F.sum(F.col("best.chars") * F.col("n")) / F.sum("n")).first()[0] or 0.0
