@@ -33,9 +33,10 @@ def sql_norm(c: str) -> str:
     return f"array_to_string(list_filter(list_transform({tokens}, lambda t: {full}), lambda t: NOT list_contains({sql_list(vocab.STOP_WORDS)}, t)), ' ')"
 
 
-def sql_rules(c: str) -> str:
-    hits = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{r}') THEN {sql_list(t)} ELSE CAST([] AS VARCHAR[]) END" for r, t in T.RULES)
-    return f"flatten([{hits}])"
+def sql_rules(c: str, rules: list = T.RULES) -> str:
+    """Tags of all rules that fit, each once, in the order of the rules."""
+    hits = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{r}') THEN {sql_list(t)} ELSE CAST([] AS VARCHAR[]) END" for r, t in rules)
+    return f"list_reduce(flatten([{hits}]), lambda a, t: CASE WHEN list_contains(a, t) THEN a ELSE list_append(a, t) END, CAST([] AS VARCHAR[]))" if rules is not T.RULES else f"flatten([{hits}])"
 
 
 def sql_tier(tiers: list) -> str:
@@ -236,9 +237,20 @@ def upsert_latest(spark, sf_dir):
     return upsert(f, f.filter("tax_year >= 1998").withColumn("assets", F.col("assets") + 1), ["ein", "tax_year"])
 
 
-@query()
+@query(f"SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, c_name AS name FROM customer ORDER BY md5({EIN.format('c_custkey', 'c_custkey')} || ':42'), ein LIMIT 60")
 def sample_fixed(spark, sf_dir):
-    return fixed_sample(T.universe(spark, sf_dir), "ein", 60)
+    return fixed_sample(T.universe(spark, sf_dir), "ein", 60).select("ein", "name")
+
+
+_TAG_WORDS = ["Church", "Churches", "Cathedral", "Ministries", "Baptist", "Bible Translation", "Bible", "Seminary", "Christian School", "Rescue Mission", "Missionary", "Gospel", "Evangelistic", "Church Plant", "Pregnancy Resource Center", "Young Life", "Chabad", "Salvation Army", "Christian", "Churchill", "Parishes", "Museum"]
+
+
+@query(f"SELECT p_partkey, array_to_string({sql_rules('name', vocab.RULES)}, '|') AS tags FROM (SELECT p_partkey, p_name || ' ' || ({sql_list(_TAG_WORDS)})[p_partkey % {len(_TAG_WORDS)} + 1] AS name FROM part)")
+def rule_tagged_names(spark, sf_dir):
+    """All rules, on raw names in lower case."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, _TAG_WORDS)), (k % len(_TAG_WORDS) + 1).cast("int")))
+    return T.table(spark, sf_dir, "part").select("p_partkey", F.array_join(faith.rule_tags(name), "|").alias("tags"))
 
 
 @query()
