@@ -15,7 +15,7 @@ from .repeats import SHARD_RUNS, find_spans, merged
 #: Bytes of a match, and of the grams that bring possible matches together.
 WIDTH, GRAM = 200, 40
 #: Suffixes that enter a shard's index as one batch.
-BATCH = 8192
+BATCH = 32768
 
 
 class LogIndex:
