@@ -24,6 +24,13 @@ def joined_texts(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return some.select(key, F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
 
 
+def field_texts(names: DataFrame, purposes: DataFrame, activities: DataFrame) -> DataFrame:
+    """ein, text, weight: an entity's name, and all its purposes and all its activities (ein, text each), by what a keyword in them counts."""
+    parts = {"name": names, "purposes": purposes, "activities": activities}
+    texts = [df.select("ein", "text", F.lit(vocab.FIELD_WEIGHTS[f]).alias("weight")) for f, df in parts.items()]
+    return texts[0].unionAll(texts[1]).unionAll(texts[2])
+
+
 def keyword_hits_by_key(texts: DataFrame, clusters: dict[str, list[str]] = vocab.CLUSTERS) -> DataFrame:
     """ein, k, w from texts (ein, text, weight): each keyword with its largest weight. Each distinct text is searched once."""
     words = [k for ks in clusters.values() for k in ks]
@@ -66,11 +73,16 @@ def focus_points(grants: DataFrame, activities: DataFrame, faith: list[str] = vo
 
 
 def grantee_points(matched: DataFrame, recency: Column) -> DataFrame:
-    """ein, grantee_points from matched grants (ein, canonical, amount): many orgs give diminishing points, large ones a bonus."""
-    best = matched.groupBy("ein", "canonical").agg(F.max(F.col("amount") * recency).alias("m"))
-    by = best.groupBy("ein").agg(F.count("*").alias("n"), F.count_if(F.col("m") > 25000).alias("large"))
+    """ein, grantee_points, grantee_matches, grantee_match_count from matched grants (id, ein, canonical, amount).
+
+    Many orgs give diminishing points, large ones a bonus. Orgs are listed in the order of their first grant.
+    """
+    best = matched.groupBy("ein", "canonical").agg(F.max(F.col("amount") * recency).alias("m"), F.min("id").alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "canonical")))
+    by = best.groupBy("ein").agg(F.count("*").alias("n"), F.count_if(F.col("m") > 25000).alias("large"), listed.alias("l"))
     base = F.when(F.col("n") == 1, 12).when(F.col("n") == 2, 20).when(F.col("n") == 3, 26).otherwise(30 + 2 * (F.col("n") - 4))
-    return by.select("ein", F.least(base + F.least(2 * F.col("large"), F.lit(5)), F.lit(35)).cast("long").alias("grantee_points"))
+    points = F.least(base + F.least(2 * F.col("large"), F.lit(5)), F.lit(35)).cast("long")
+    return by.select("ein", points.alias("grantee_points"), F.array_join(F.transform("l", lambda x: x["canonical"]), "; ").alias("grantee_matches"), F.col("n").alias("grantee_match_count"))
 
 
 def opportunity(alignment: Column, grant: Column) -> Column:
@@ -86,7 +98,7 @@ def alignment(eins: DataFrame, grantees: DataFrame, keywords: DataFrame, abroad:
     points = [F.coalesce(c, F.lit(0)) for c in ("grantee_points", "keyword_points", "international_points", "focus_points")]
     total = F.least(points[0] + points[1] + points[2] + points[3], F.lit(100))
     return joined.select(
-        "ein", total.alias("alignment_score"), F.coalesce("keyword_matches", F.lit("")).alias("keyword_matches"), F.coalesce("keyword_match_count", F.lit(0)).alias("keyword_match_count"),
+        "ein", total.alias("alignment_score"), F.coalesce("grantee_matches", F.lit("")).alias("grantee_matches"), F.coalesce("grantee_match_count", F.lit(0)).alias("grantee_match_count"), F.coalesce("keyword_matches", F.lit("")).alias("keyword_matches"), F.coalesce("keyword_match_count", F.lit(0)).alias("keyword_match_count"),
         F.when(points[2] > 0, "Yes").otherwise("No").alias("gives_internationally"),
     )
 
@@ -101,6 +113,5 @@ def score_batch(rows: DataFrame, matched: DataFrame, scores: DataFrame) -> DataF
     score = F.coalesce("alignment_score", F.lit(0))
     return found.select(
         "name", "city", "state", F.coalesce("ein", F.lit("")).alias("ein"), F.col("ein").isNotNull().alias("data_found"), score.alias("alignment_score"),
-        opportunity(score.cast("double"), F.col("grant_amount")).alias("opportunity_score"), F.coalesce("keyword_matches", F.lit("")).alias("keyword_matches"),
-        F.coalesce("gives_internationally", F.lit("")).alias("gives_internationally"),
+        opportunity(score.cast("double"), F.col("grant_amount")).alias("opportunity_score"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("grantee_matches", "keyword_matches", "gives_internationally")),
     ).orderBy(F.desc("opportunity_score"), "name", "city", "state")

@@ -39,6 +39,13 @@ def sql_rules(c: str, rules: list = T.RULES) -> str:
     return f"list_reduce(flatten([{hits}]), lambda a, t: CASE WHEN list_contains(a, t) THEN a ELSE list_append(a, t) END, CAST([] AS VARCHAR[]))" if rules is not T.RULES else f"flatten([{hits}])"
 
 
+def sql_keywords(c: str, words: list[str]) -> str:
+    """The keywords that a text in lower case holds; with constant patterns, which are compiled once."""
+    edge = "[^\\p{L}\\p{N}_]"
+    one = lambda k: f"regexp_matches({c}, '(^|{edge}){k.lower()}(s|es|ing|al)?($|{edge})')" + (f" OR contains({c}, '{k.lower()}')" if k in vocab.COMPOUNDS else "")
+    return "list_filter([" + ", ".join(f"CASE WHEN {one(k)} THEN '{k}' END" for k in words) + "], lambda k: k IS NOT NULL)"
+
+
 def sql_tier(tiers: list) -> str:
     return "CASE " + " ".join(f"WHEN faith_alignment_score >= {cut} THEN '{name}'" for cut, name in tiers[:-1]) + f" ELSE '{tiers[-1][1]}' END"
 
@@ -163,7 +170,7 @@ _WORDS = {"a": ["Widget", "Gear"], "b": ["Plate", "Bolt", "Ring"], "c": ["Red",
 
 @query(f"""WITH {GRANTS}, x AS (SELECT DISTINCT ein, grantee_name AS t, 1 AS w FROM g UNION ALL SELECT DISTINCT ein, purpose, 2 FROM g),
 k AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{w}')" for c, ws in _WORDS.items() for w in ws)}) AS v(c, k)),
-d AS (SELECT t, c, k FROM (SELECT DISTINCT t FROM x) JOIN k ON regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])' || lower(k) || '(s|es|ing|al)?($|[^\\p{{L}}\\p{{N}}_])')),
+d AS (SELECT t, c, k FROM (SELECT t, unnest({sql_keywords('lower(t)', [w for ws in _WORDS.values() for w in ws])}) AS k FROM (SELECT DISTINCT t FROM x)) JOIN k USING (k)),
 h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN d USING (t) GROUP BY 1, 2, 3)
 SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points,
   string_agg(DISTINCT k, '; ' ORDER BY k) AS keyword_matches, CAST(count(*) AS INT) AS keyword_match_count FROM h GROUP BY ein""")
@@ -173,8 +180,9 @@ def keyword_points(spark, sf_dir):
     return alignment.keyword_points(texts.distinct(), _WORDS)
 
 
-@query(f"""WITH {GRANTS}, m AS (SELECT ein, grantee_name, max(amount * CASE WHEN tax_year >= 2000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS m FROM g WHERE contains(grantee_name, 'widget') GROUP BY 1, 2), b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE m > 25000) AS l FROM m GROUP BY ein)
-SELECT ein, CAST(least((CASE n WHEN 1 THEN 12 WHEN 2 THEN 20 WHEN 3 THEN 26 ELSE 30 + 2 * (n - 4) END) + least(2 * l, 5), 35) AS BIGINT) AS grantee_points FROM b""")
+@query(f"""WITH {GRANTS}, m AS (SELECT ein, grantee_name, min(id) AS first, max(amount * CASE WHEN tax_year >= 2000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS m FROM g WHERE contains(grantee_name, 'widget') GROUP BY 1, 2),
+b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE m > 25000) AS l, string_agg(grantee_name, '; ' ORDER BY first, grantee_name) AS grantee_matches FROM m GROUP BY ein)
+SELECT ein, CAST(least((CASE n WHEN 1 THEN 12 WHEN 2 THEN 20 WHEN 3 THEN 26 ELSE 30 + 2 * (n - 4) END) + least(2 * l, 5), 35) AS BIGINT) AS grantee_points, grantee_matches, n AS grantee_match_count FROM b""")
 def grantee_points(spark, sf_dir):
     g = T.grants(spark, sf_dir).filter(F.col("grantee_name").contains("widget")).withColumnRenamed("grantee_name", "canonical")
     return alignment.grantee_points(g, F.when(F.col("tax_year") >= 2000, 1.2).otherwise(1.0))

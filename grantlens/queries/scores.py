@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions.text import application_status, first_truthy, object_id, reply_array, whole_number
 from ..operators.entity_match import match_entities
 from ..plans import alignment, counters
@@ -11,10 +12,10 @@ from ..sources import testbed as T
 from ..sources.scratch import staged
 from . import core
 from .catalog import SQL, query
-from .core import EIN, FILINGS, GRANTS
+from .core import EIN, FILINGS, GRANTS, sql_keywords
 
 _TOTAL = f"""a AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein FROM customer), al AS (SELECT a.ein, CAST(least(coalesce(grantee_points, 0) + coalesce(keyword_points, 0) + coalesce(international_points, 0) + coalesce(focus_points, 0), 100) AS BIGINT) AS alignment_score,
-  coalesce(keyword_matches, '') AS keyword_matches, coalesce(keyword_match_count, 0) AS keyword_match_count, CASE WHEN coalesce(international_points, 0) > 0 THEN 'Yes' ELSE 'No' END AS gives_internationally
+  coalesce(grantee_matches, '') AS grantee_matches, coalesce(grantee_match_count, 0) AS grantee_match_count, coalesce(keyword_matches, '') AS keyword_matches, coalesce(keyword_match_count, 0) AS keyword_match_count, CASE WHEN coalesce(international_points, 0) > 0 THEN 'Yes' ELSE 'No' END AS gives_internationally
   FROM a LEFT JOIN ({SQL['grantee_points']}) USING (ein) LEFT JOIN ({SQL['keyword_points']}) USING (ein) LEFT JOIN ({SQL['international_points']}) USING (ein) LEFT JOIN ({SQL['focus_points']}) USING (ein))"""
 
 
@@ -24,11 +25,31 @@ def alignment_score(spark, sf_dir):
     return alignment.alignment(T.universe(spark, sf_dir).select("ein"), *points)
 
 
+_WORDS = ", ".join(f"('{k}', '{c}')" for c, ks in vocab.CLUSTERS.items() for k in ks)
+
+
+@query(f"""WITH {GRANTS}, x AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein, c_name || ' Church Fund' AS text, 1 AS w FROM customer
+  UNION ALL SELECT ein, string_agg(DISTINCT purpose || ' for Refugees', ' ' ORDER BY purpose || ' for Refugees'), 2 FROM g GROUP BY ein
+  UNION ALL SELECT lpad(c_custkey::VARCHAR, 9, '0'), 'Missions in Africa of ' || c_mktsegment || ' Faith Based evangelists', 3 FROM customer WHERE c_custkey % 2 = 0),
+k AS (SELECT * FROM (VALUES {_WORDS}) v(k, c)),
+d AS (SELECT text, c, k FROM (SELECT text, unnest({sql_keywords('lower(text)', [k for ks in vocab.CLUSTERS.values() for k in ks])}) AS k FROM (SELECT DISTINCT text FROM x)) JOIN k USING (k)),
+h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN d USING (text) GROUP BY 1, 2, 3)
+SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points,
+  string_agg(DISTINCT k, '; ' ORDER BY k) AS keyword_matches, CAST(count(*) AS INT) AS keyword_match_count FROM h GROUP BY ein""")
+def field_keyword_points(spark, sf_dir):
+    """All keywords in three fields of different weight; a phrase runs over two rows of activities."""
+    u = T.universe(spark, sf_dir)
+    purposes = T.grants(spark, sf_dir).select("ein", F.concat("purpose", F.lit(" for Refugees")).alias("text")).distinct()
+    rows = u.filter(F.col("ein").cast("long") % 2 == 0).select("ein", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.concat(F.lit("Missions in Africa of "), "ntee", F.lit(" Faith")).alias("text")), F.struct(F.lit(2).alias("n"), F.lit("Based evangelists").alias("text")))).alias("r")).select("ein", "r.*")
+    texts = alignment.field_texts(u.select("ein", F.concat("name", F.lit(" Church Fund")).alias("text")), alignment.joined_texts(purposes, "ein", "text", "text"), alignment.joined_texts(rows, "ein", "text", "n"))
+    return alignment.keyword_points(texts)
+
+
 _AMOUNT = "CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'n/a' ELSE CAST(c_custkey * 997 % 120000 AS VARCHAR) END"
 _TIER = "CASE WHEN m >= 100000 THEN 40 WHEN m >= 50000 THEN 33 WHEN m >= 25000 THEN 26 WHEN m >= 10000 THEN 20 WHEN m >= 5000 THEN 13 WHEN m >= 1000 THEN 7 ELSE 0 END"
 _BATCH = f"""{_TOTAL}, w AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'qqqq zzzz ' || c_custkey ELSE c_name || ' Inc' END AS name, c_custkey % 4 <> 0 AS hit, lpad(c_custkey::VARCHAR, 9, '0') AS e, coalesce(TRY_CAST({_AMOUNT} AS DOUBLE), 0) AS m FROM customer),
 b AS (SELECT name, '' AS city, '' AS state, CASE WHEN hit THEN e ELSE '' END AS ein, hit AS data_found, CASE WHEN hit THEN alignment_score ELSE 0 END AS alignment_score,
-  CAST(least(floor((CASE WHEN hit THEN alignment_score ELSE 0 END)::DOUBLE / 100 * 60 + {_TIER}), 100) AS BIGINT) AS opportunity_score, CASE WHEN hit THEN keyword_matches ELSE '' END AS keyword_matches,
+  CAST(least(floor((CASE WHEN hit THEN alignment_score ELSE 0 END)::DOUBLE / 100 * 60 + {_TIER}), 100) AS BIGINT) AS opportunity_score, CASE WHEN hit THEN grantee_matches ELSE '' END AS grantee_matches, CASE WHEN hit THEN keyword_matches ELSE '' END AS keyword_matches,
   CASE WHEN hit THEN gives_internationally ELSE '' END AS gives_internationally FROM w JOIN al ON al.ein = w.e)"""
 
 
