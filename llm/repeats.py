@@ -75,8 +75,8 @@ def _runs_of(u: np.ndarray, sizes: np.ndarray, width: int, k: int) -> Iterator[t
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(u))
     for at in range(0, max(len(u) - width + 1, 0), CHUNK):
-        part = slice(at, at + CHUNK + width - 1)
-        first, last, anchor, fragment = owned_runs(u[part], left[part], width, k)
+        part = u[at : at + CHUNK + width - 1]
+        first, last, anchor, fragment = owned_runs(part, np.minimum(left[at : at + len(part)], np.arange(len(part), 0, -1)), width, k)
         if len(first):
             first, last = first + at, last + at
             row = np.searchsorted(ends, first, "right")
