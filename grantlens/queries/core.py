@@ -51,12 +51,17 @@ def sql_tier(tiers: list) -> str:
 
 
 TAGGED = f"""{GRANTS}, n AS (SELECT grantee_name, max(amount) AS m, {sql_norm('grantee_name')} AS name_norm FROM g WHERE grantee_name <> '' GROUP BY grantee_name),
-  kb AS (SELECT name_norm, display_name, max_grant, {sql_rules('display_name')} AS tags FROM (SELECT name_norm, grantee_name AS display_name, m AS max_grant, row_number() OVER (PARTITION BY name_norm ORDER BY m DESC, grantee_name) AS k FROM n WHERE name_norm <> '') WHERE k = 1),
+  kb AS (SELECT name_norm, display_name, max_grant, {sql_rules('display_name')} AS tags
+    FROM (SELECT name_norm, grantee_name AS display_name, m AS max_grant, row_number() OVER (PARTITION BY name_norm ORDER BY m DESC, grantee_name) AS k
+    FROM n
+    WHERE name_norm <> '')
+    WHERE k = 1),
   t AS (SELECT g.*, coalesce(kb.tags, CAST([] AS VARCHAR[])) AS tags FROM g LEFT JOIN n USING (grantee_name) LEFT JOIN kb ON n.name_norm = kb.name_norm)"""
 _C = [f"list_has_any(tags, {sql_list(t)})" for _, t in vocab.COMPONENTS]
 SCORES = f"""{TAGGED}, b AS (SELECT ein, CAST(sum(amount) AS BIGINT) AS total_giving, CAST(sum(CASE WHEN {_C[0]} THEN amount ELSE 0 END) AS BIGINT) AS faith_giving, count(DISTINCT tax_year) AS years_of_giving,
   count(DISTINCT CASE WHEN {_C[0]} THEN tax_year END) AS years_of_faith_giving, {', '.join(f'CAST(sum(CASE WHEN {c} THEN amount ELSE 0 END) AS DOUBLE) AS c{i}' for i, c in enumerate(_C))} FROM t GROUP BY ein HAVING sum(amount) > 0),
-  s AS (SELECT *, CAST(least(round_even({' + '.join(f'{w}::DOUBLE * (c{i} / total_giving::DOUBLE)' for i, (w, _) in enumerate(vocab.COMPONENTS))} + 10.0::DOUBLE * (years_of_faith_giving::DOUBLE / years_of_giving::DOUBLE), 0), 100.0::DOUBLE) AS INT) AS faith_alignment_score FROM b)"""
+  s AS (SELECT *, CAST(least(round_even({' + '.join(f'{w}::DOUBLE * (c{i} / total_giving::DOUBLE)' for i, (w, _) in enumerate(vocab.COMPONENTS))} + 10.0::DOUBLE * (years_of_faith_giving::DOUBLE / years_of_giving::DOUBLE), 0), 100.0::DOUBLE) AS INT) AS faith_alignment_score
+    FROM b)"""
 _SCORE_COLUMNS = f"""ein, faith_alignment_score, {sql_tier(vocab.TIERS)} AS faith_tier, {sql_tier(vocab.STARS)} AS faith_stars, round_even(100.0::DOUBLE * faith_giving::DOUBLE / total_giving::DOUBLE, 1) AS christian_giving_pct,
   years_of_faith_giving, years_of_giving, total_giving, faith_giving"""
 
@@ -67,22 +72,39 @@ def grants_and_names(spark: SparkSession, sf_dir: str, *more: str) -> tuple[Data
     return g, faith.tags_of_names(names, faith.knowledge_base_of(names, T.RULES))
 
 
-@query(f"SELECT ein, name, state, ntee FROM (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, c_name AS name, n_name AS state, c_mktsegment AS ntee FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE ntee IN ('BUILDING', 'MACHINERY')")
+@query(f"""SELECT ein, name, state, ntee
+  FROM (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, c_name AS name, n_name AS state, c_mktsegment AS ntee
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  WHERE ntee IN ('BUILDING', 'MACHINERY')""")
 def universe_filter(spark, sf_dir):
     return T.universe(spark, sf_dir).filter(F.col("ntee").isin("BUILDING", "MACHINERY"))
 
 
-@query(f"WITH f AS (SELECT DISTINCT {EIN.format('o_custkey', 'o_custkey')} AS ein FROM orders WHERE year(o_orderdate) = 1996), u AS (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein FROM customer) SELECT ein FROM u WHERE ein NOT IN (SELECT ein FROM f)")
+@query(f"""WITH f AS (SELECT DISTINCT {EIN.format('o_custkey', 'o_custkey')} AS ein
+  FROM orders
+  WHERE year(o_orderdate) = 1996), u AS (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein
+  FROM customer) SELECT ein
+  FROM u
+  WHERE ein NOT IN (SELECT ein
+  FROM f)""")
 def missing_entities(spark, sf_dir):
     return missing(T.universe(spark, sf_dir).select("ein"), T.filings(spark, sf_dir).filter("tax_year = 1996"), "ein")
 
 
-@query(f"WITH f AS (SELECT DISTINCT {EIN.format('o_custkey', 'o_custkey')} AS ein FROM orders WHERE year(o_orderdate) = 1996), u AS (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein FROM customer) SELECT ein FROM u WHERE ein IN (SELECT ein FROM f)")
+@query(f"""WITH f AS (SELECT DISTINCT {EIN.format('o_custkey', 'o_custkey')} AS ein
+  FROM orders
+  WHERE year(o_orderdate) = 1996), u AS (SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein
+  FROM customer) SELECT ein
+  FROM u
+  WHERE ein IN (SELECT ein
+  FROM f)""")
 def covered_entities(spark, sf_dir):
     return covered(T.universe(spark, sf_dir).select("ein"), T.filings(spark, sf_dir).filter("tax_year = 1996"), "ein")
 
 
-FILINGS = f"f AS (SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, CAST(year(o_orderdate) AS INT) AS tax_year, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS assets, count(*) AS n_orders FROM orders GROUP BY 1, 2)"
+FILINGS = f"""f AS (SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, CAST(year(o_orderdate) AS INT) AS tax_year, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS assets, count(*) AS n_orders
+  FROM orders
+  GROUP BY 1, 2)"""
 
 
 @query(f"WITH {FILINGS} SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1")
@@ -90,7 +112,10 @@ def latest_filing(spark, sf_dir):
     return latest(T.filings(spark, sf_dir), ["ein"], "tax_year")
 
 
-@query("SELECT user_id, CASE WHEN event_type = 'error' THEN 'Invite Only' ELSE 'Not Invite Only' END AS flag FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+@query("""SELECT user_id,
+    CASE WHEN event_type = 'error' THEN 'Invite Only' ELSE 'Not Invite Only' END AS flag
+  FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def latest_flag(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     return latest(e, ["user_id"], "ts", "event_id").select("user_id", F.when(F.col("event_type") == "error", "Invite Only").otherwise("Not Invite Only").alias("flag"))
@@ -105,7 +130,10 @@ def states_of(grants: DataFrame) -> DataFrame:
     return grants.filter("is_foreign = 0 AND state <> ''").groupBy("ein").agg(F.array_join(F.array_sort(F.collect_set("state")), "; ").alias("states_given"))
 
 
-_NAMES = "(SELECT p_partkey AS k, p_name || ' Fdn, Inc. dba The ' || p_brand AS name FROM part UNION ALL SELECT c_custkey + 1000000000, 'The Char Tr of ' || c_name || ' & fam' FROM customer)"
+_NAMES = """(SELECT p_partkey AS k, p_name || ' Fdn, Inc. dba The ' || p_brand AS name
+  FROM part
+  UNION ALL SELECT c_custkey + 1000000000, 'The Char Tr of ' || c_name || ' & fam'
+  FROM customer)"""
 
 
 @query(f"SELECT k, name, {sql_norm('name')} AS norm FROM {_NAMES}")
@@ -136,7 +164,12 @@ def faith_score_top(spark, sf_dir):
     return faith.faith_scores(*grants_and_names(spark, sf_dir)).orderBy(F.desc("faith_alignment_score"), "ein").limit(50)
 
 
-@query(f"WITH {TAGGED}, x AS (SELECT ein, tag, sum(amount) AS s FROM (SELECT ein, amount, unnest(list_distinct(list_intersect(tags, {sql_list(vocab.FAITH_TAGS)}))) AS tag FROM t) GROUP BY 1, 2) SELECT ein, string_agg(tag, '; ' ORDER BY s DESC, tag) AS faith_categories FROM x GROUP BY ein")
+@query(f"""WITH {TAGGED}, x AS (SELECT ein, tag, sum(amount) AS s
+  FROM (SELECT ein, amount, unnest(list_distinct(list_intersect(tags, {sql_list(vocab.FAITH_TAGS)}))) AS tag
+  FROM t)
+  GROUP BY 1, 2) SELECT ein, string_agg(tag, '; ' ORDER BY s DESC, tag) AS faith_categories
+  FROM x
+  GROUP BY ein""")
 def faith_categories(spark, sf_dir):
     return faith.faith_categories(faith.tagged_grants(*grants_and_names(spark, sf_dir)))
 
@@ -147,7 +180,8 @@ def tier_distribution(spark, sf_dir):
 
 
 @query(f"""WITH {GRANTS}, b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE is_foreign = 1) AS f, count(DISTINCT CASE WHEN is_foreign = 1 AND country <> '' THEN country END) AS c FROM g GROUP BY ein)
-SELECT ein, CAST((CASE WHEN f > 0 THEN 10 ELSE 0 END) + (CASE WHEN f / n > 0.25 THEN 8 ELSE 0 END) + (CASE WHEN c >= 2 THEN 7 ELSE 0 END) AS BIGINT) AS international_points FROM b""")
+SELECT ein, CAST((CASE WHEN f > 0 THEN 10 ELSE 0 END) + (CASE WHEN f / n > 0.25 THEN 8 ELSE 0 END) + (CASE WHEN c >= 2 THEN 7 ELSE 0 END) AS BIGINT) AS international_points
+    FROM b""")
 def international_points(spark, sf_dir):
     return alignment.international_points(T.grants(spark, sf_dir))
 
@@ -182,36 +216,55 @@ def keyword_points(spark, sf_dir):
 
 @query(f"""WITH {GRANTS}, m AS (SELECT ein, grantee_name, min(id) AS first, max(amount * CASE WHEN tax_year >= 2000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS m FROM g WHERE contains(grantee_name, 'widget') GROUP BY 1, 2),
 b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE m > 25000) AS l, string_agg(grantee_name, '; ' ORDER BY first, grantee_name) AS grantee_matches FROM m GROUP BY ein)
-SELECT ein, CAST(least((CASE n WHEN 1 THEN 12 WHEN 2 THEN 20 WHEN 3 THEN 26 ELSE 30 + 2 * (n - 4) END) + least(2 * l, 5), 35) AS BIGINT) AS grantee_points, grantee_matches, n AS grantee_match_count FROM b""")
+SELECT ein, CAST(least((CASE n WHEN 1 THEN 12 WHEN 2 THEN 20 WHEN 3 THEN 26 ELSE 30 + 2 * (n - 4) END) + least(2 * l, 5), 35) AS BIGINT) AS grantee_points, grantee_matches, n AS grantee_match_count
+    FROM b""")
 def grantee_points(spark, sf_dir):
     g = T.grants(spark, sf_dir).filter(F.col("grantee_name").contains("widget")).withColumnRenamed("grantee_name", "canonical")
     return alignment.grantee_points(g, F.when(F.col("tax_year") >= 2000, 1.2).otherwise(1.0))
 
 
-@query("SELECT o_orderkey, CAST(least(floor((o_orderkey % 101) / 100.0::DOUBLE * 60 + CASE WHEN o_totalprice >= 100000 THEN 40 WHEN o_totalprice >= 50000 THEN 33 WHEN o_totalprice >= 25000 THEN 26 WHEN o_totalprice >= 10000 THEN 20 WHEN o_totalprice >= 5000 THEN 13 WHEN o_totalprice >= 1000 THEN 7 ELSE 0 END), 100) AS BIGINT) AS opportunity FROM orders")
+@query("""SELECT o_orderkey, CAST(least(floor((o_orderkey % 101) / 100.0::DOUBLE * 60 + CASE WHEN o_totalprice >= 100000 THEN 40 WHEN o_totalprice >= 50000 THEN 33 WHEN o_totalprice >= 25000 THEN 26 WHEN o_totalprice >= 10000 THEN 20 WHEN o_totalprice >= 5000 THEN 13 WHEN o_totalprice >= 1000 THEN 7 ELSE 0 END), 100) AS BIGINT) AS opportunity
+  FROM orders""")
 def opportunity_score(spark, sf_dir):
     return T.table(spark, sf_dir, "orders").select("o_orderkey", alignment.opportunity((F.col("o_orderkey") % 101).cast("double"), F.col("o_totalprice").cast("string")).alias("opportunity"))
 
 
-@query("SELECT c_custkey, CASE WHEN length(d) = 10 THEN '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 4) ELSE p END AS phone FROM (SELECT c_custkey, p, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '555-' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') ELSE '+1 ' || CAST(c_custkey AS VARCHAR) END AS p FROM customer))")
+@query("""SELECT c_custkey,
+    CASE WHEN length(d) = 10 THEN '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 4) ELSE p END AS phone
+  FROM (SELECT c_custkey, p, regexp_replace(p, '[^0-9]', '', 'g') AS d
+  FROM (SELECT c_custkey,
+    CASE WHEN c_custkey % 2 = 0 THEN '555-' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') ELSE '+1 ' || CAST(c_custkey AS VARCHAR) END AS p
+  FROM customer))""")
 def phone_format(spark, sf_dir):
     k = F.col("c_custkey")
     raw = F.when(k % 2 == 0, F.concat(F.lit("555-"), F.lpad((k % 10000000).cast("string"), 7, "0"))).otherwise(F.concat(F.lit("+1 "), k.cast("string")))
     return T.table(spark, sf_dir, "customer").select("c_custkey", phone(raw).alias("phone"))
 
 
-@query("SELECT page_id, CASE WHEN upper(trim(w)) IN ('N/A', 'NA', 'NONE', 'NOT APPLICABLE', 'N.A.') THEN '' ELSE trim(w) END AS website FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN ' n/a ' ELSE url END AS w FROM pages)")
+@query("""SELECT page_id,
+    CASE WHEN upper(trim(w)) IN ('N/A', 'NA', 'NONE', 'NOT APPLICABLE', 'N.A.') THEN '' ELSE trim(w) END AS website
+  FROM (SELECT page_id,
+    CASE WHEN page_id % 5 = 0 THEN ' n/a ' ELSE url END AS w
+  FROM pages)""")
 def website_clean(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", website(F.when(F.col("page_id") % 5 == 0, " n/a ").otherwise(F.col("url"))).alias("website"))
 
 
-@query("SELECT event_id, CASE WHEN regexp_full_match(y, '[0-9]+') THEN CAST(y AS INT) ELSE 0 END AS tax_year FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '20x4' ELSE CAST(2000 + event_id % 25 AS VARCHAR) END AS y FROM events)")
+@query("""SELECT event_id,
+    CASE WHEN regexp_full_match(y, '[0-9]+') THEN CAST(y AS INT) ELSE 0 END AS tax_year
+  FROM (SELECT event_id,
+    CASE WHEN event_id % 3 = 0 THEN '20x4' ELSE CAST(2000 + event_id % 25 AS VARCHAR) END AS y
+  FROM events)""")
 def year_parse(spark, sf_dir):
     raw = F.when(F.col("event_id") % 3 == 0, "20x4").otherwise((2000 + F.col("event_id") % 25).cast("string"))
     return T.table(spark, sf_dir, "events").select("event_id", year(raw).alias("tax_year"))
 
 
-@query(f"WITH {GRANTS} SELECT count(*) AS n, count(*) FILTER (WHERE state <> '') AS with_state, count(*) FILTER (WHERE amount IS NOT NULL) AS with_amount, count(*) FILTER (WHERE is_foreign = 1) AS abroad FROM g")
+@query(f"""WITH {GRANTS} SELECT count(*) AS n,
+    count(*) FILTER (WHERE state <> '') AS with_state,
+    count(*) FILTER (WHERE amount IS NOT NULL) AS with_amount,
+    count(*) FILTER (WHERE is_foreign = 1) AS abroad
+  FROM g""")
 def fill_rate_profile(spark, sf_dir):
     return T.grants(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("state") != "").alias("with_state"), F.count_if(F.col("amount").isNotNull()).alias("with_amount"), F.count_if(F.col("is_foreign") == 1).alias("abroad"))
 
@@ -253,7 +306,9 @@ def sample_fixed(spark, sf_dir):
 _TAG_WORDS = ["Church", "Churches", "Cathedral", "Ministries", "Baptist", "Bible Translation", "Bible", "Seminary", "Christian School", "Rescue Mission", "Missionary", "Gospel", "Evangelistic", "Church Plant", "Pregnancy Resource Center", "Young Life", "Chabad", "Salvation Army", "Christian", "Churchill", "Parishes", "Museum"]
 
 
-@query(f"SELECT p_partkey, array_to_string({sql_rules('name', vocab.RULES)}, '|') AS tags FROM (SELECT p_partkey, p_name || ' ' || ({sql_list(_TAG_WORDS)})[p_partkey % {len(_TAG_WORDS)} + 1] AS name FROM part)")
+@query(f"""SELECT p_partkey, array_to_string({sql_rules('name', vocab.RULES)}, '|') AS tags
+  FROM (SELECT p_partkey, p_name || ' ' || ({sql_list(_TAG_WORDS)})[p_partkey % {len(_TAG_WORDS)} + 1] AS name
+  FROM part)""")
 def rule_tagged_names(spark, sf_dir):
     """All rules, on raw names in lower case."""
     k = F.col("p_partkey")
@@ -274,7 +329,9 @@ def fuzzy_match(spark, sf_dir):
     return fuzzy_pairs(p.select(F.concat("p_name", F.lit("s")).alias("name")), p.select(F.col("p_name").alias("candidate")))
 
 
-@query(f"SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein, CASE WHEN c_custkey % 3 = 0 THEN 'Invite Only' WHEN c_custkey % 2 = 0 THEN 'Accepting Applications' ELSE '' END AS status FROM customer")
+@query(f"""SELECT {EIN.format('c_custkey', 'c_custkey')} AS ein,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Invite Only' WHEN c_custkey % 2 = 0 THEN 'Accepting Applications' ELSE '' END AS status
+  FROM customer""")
 def status(spark, sf_dir):
     k = F.col("ein").cast("long")
     return T.universe(spark, sf_dir).select("ein", application_status((k % 3 == 0).cast("int"), (k % 2 == 0).cast("int")).alias("status"))

@@ -16,8 +16,12 @@ from .core import EIN
 
 _CODE = "CASE c_custkey % 6 WHEN 0 THEN '02' WHEN 1 THEN '3' WHEN 2 THEN '4.0' WHEN 3 THEN '15' WHEN 4 THEN 'x' END"
 _NTEE = "CASE WHEN c_custkey % 4 = 0 THEN 'T20' WHEN c_custkey % 4 = 1 THEN '' ELSE c_mktsegment END"
-_ORGS = f"o AS (SELECT CAST(c_custkey AS VARCHAR) AS EIN, c_name AS NAME, {_CODE} AS FOUNDATION, CASE WHEN c_custkey % 5 = 0 THEN '1' WHEN c_custkey % 5 = 1 THEN '01.0' ELSE '0' END AS PF_FILING_REQ_CD, {_NTEE} AS NTEE_CD, c_custkey FROM customer)"
-_PRIVATE = f"{_ORGS}, p AS (SELECT lpad(EIN, 9, '0') AS ein, NAME AS name, FOUNDATION AS foundation, NTEE_CD AS ntee FROM o WHERE coalesce(TRY_CAST(FOUNDATION AS DOUBLE) IN (2, 3, 4), false) OR coalesce(TRY_CAST(PF_FILING_REQ_CD AS DOUBLE) = 1, false))"
+_ORGS = f"""o AS (SELECT CAST(c_custkey AS VARCHAR) AS EIN, c_name AS NAME, {_CODE} AS FOUNDATION,
+    CASE WHEN c_custkey % 5 = 0 THEN '1' WHEN c_custkey % 5 = 1 THEN '01.0' ELSE '0' END AS PF_FILING_REQ_CD, {_NTEE} AS NTEE_CD, c_custkey
+  FROM customer)"""
+_PRIVATE = f"""{_ORGS}, p AS (SELECT lpad(EIN, 9, '0') AS ein, NAME AS name, FOUNDATION AS foundation, NTEE_CD AS ntee
+  FROM o
+  WHERE coalesce(TRY_CAST(FOUNDATION AS DOUBLE) IN (2, 3, 4), false) OR coalesce(TRY_CAST(PF_FILING_REQ_CD AS DOUBLE) = 1, false))"""
 
 
 def _organisations(spark, sf_dir):
@@ -53,12 +57,18 @@ def foundation_codes(spark, sf_dir):
     return _private(spark, sf_dir).groupBy("foundation").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_PRIVATE} SELECT count(*) FILTER (WHERE ntee LIKE 'T%') AS t, count(*) FILTER (WHERE ntee <> '' AND ntee NOT LIKE 'T%') AS other, count(*) FILTER (WHERE ntee = '') AS blank FROM p")
+@query(f"""WITH {_PRIVATE} SELECT count(*) FILTER (WHERE ntee LIKE 'T%') AS t,
+    count(*) FILTER (WHERE ntee <> '' AND ntee NOT LIKE 'T%') AS other,
+    count(*) FILTER (WHERE ntee = '') AS blank
+  FROM p""")
 def class_split(spark, sf_dir):
     return counters.class_split(_private(spark, sf_dir))
 
 
-@query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name || ', \"' || c_mktsegment || '\"' END AS name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' x ' END AS note FROM customer")
+@query("""SELECT c_custkey::VARCHAR AS id,
+    CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name || ', \"' || c_mktsegment || '\"' END AS name,
+    CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' x ' END AS note
+  FROM customer""")
 def quoted_csv(spark, sf_dir):
     """Every value in quotes, nulls as empty ones; read with '' for what is missing."""
     k = F.col("c_custkey")
@@ -76,7 +86,10 @@ def renamed_csv(spark, sf_dir):
     return D.scan(spark, path, ["ein", "foundation_name", "city"])
 
 
-@query(f"SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, o_orderkey::VARCHAR AS object_id, CAST(year(o_orderdate) AS INT) AS index_year, '990PF' AS return_type FROM orders WHERE o_orderkey % 3 = 0 AND year(o_orderdate) IN (1996, 1997) QUALIFY row_number() OVER (PARTITION BY o_orderkey) = 1")
+@query(f"""SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, o_orderkey::VARCHAR AS object_id, CAST(year(o_orderdate) AS INT) AS index_year, '990PF' AS return_type
+  FROM orders
+  WHERE o_orderkey % 3 = 0 AND year(o_orderdate) IN (1996, 1997)
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey) = 1""")
 def index_scan(spark, sf_dir):
     """Index files of several years, one of them empty: a return type, padded ids, the first of each object."""
     index = T.index(spark, sf_dir).withColumn("RETURN_TYPE", F.when(F.col("row") % 3 == 0, "990PF").otherwise("990"))
@@ -92,7 +105,8 @@ def index_scan(spark, sf_dir):
 _FLAG = "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Invite Only' ELSE 'Not Invite Only' END"
 
 
-@query(f"SELECT CASE WHEN c_custkey % 9 = 0 THEN 'short,' || c_custkey || ',' ELSE 'a,\"b,b\",,,,,,,' || c_custkey || ',' || c_mktsegment || ',' || coalesce({_FLAG}, '') END AS line FROM customer")
+@query(f"""SELECT CASE WHEN c_custkey % 9 = 0 THEN 'short,' || c_custkey || ',' ELSE 'a,\"b,b\",,,,,,,' || c_custkey || ',' || c_mktsegment || ',' || coalesce({_FLAG}, '') END AS line
+  FROM customer""")
 def appended_flags(spark, sf_dir):
     """Rows of any length keep what they hold and get one more field, looked up by the ninth in two ways."""
     k = F.col("c_custkey").cast("string")
@@ -105,7 +119,12 @@ def appended_flags(spark, sf_dir):
     return tables.with_field(found, invite_text(F.col("invite"))).select("line")
 
 
-@query(f"WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996) SELECT {EIN.format('c_custkey', 'c_custkey')} AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM f)")
+@query(f"""WITH f AS (SELECT DISTINCT o_custkey
+  FROM orders
+  WHERE year(o_orderdate) = 1996) SELECT {EIN.format('c_custkey', 'c_custkey')} AS value
+  FROM customer
+  WHERE c_custkey NOT IN (SELECT o_custkey
+  FROM f)""")
 def missing_list(spark, sf_dir):
     """Entities without a filing of a year, as a sorted list of lines, read back."""
     path = scratch(spark, "missing")
@@ -114,7 +133,7 @@ def missing_list(spark, sf_dir):
     return D.scan_lines(spark, path)
 
 
-_HTML = "'<a href=\"/xml/1996/f' || c_custkey || '.zip\">x</a> <a href=\"https://h.org/xml/1996/g' || c_custkey % 3 || '.zip\"> \"https://h.org/xml/1996/Index.zip\" <a HREF=\"/xml/1996/my_INDEX_' || c_custkey || '.csv\"> <a href=\"/xml/1997/n.zip\">'"
+_HTML = """'<a href=\"/xml/1996/f' || c_custkey || '.zip\">x</a> <a href=\"https://h.org/xml/1996/g' || c_custkey % 3 || '.zip\"> \"https://h.org/xml/1996/Index.zip\" <a HREF=\"/xml/1996/my_INDEX_' || c_custkey || '.csv\"> <a href=\"/xml/1997/n.zip\">'"""
 
 
 @query("SELECT c_custkey, unnest(['https://h.org/xml/1996/g' || c_custkey % 3 || '.zip', 'https://h.org/xml/1996/f' || c_custkey || '.zip']) AS link FROM customer")

@@ -25,7 +25,8 @@ _SITE = f"CASE WHEN {_K} % 5 = 0 THEN '' ELSE 'www.' || {_K} || '.org' END"
 _REVENUE = f"CASE WHEN {_K} % 2 = 0 THEN assets * 2 END"
 _ODD = lambda v: f"CASE WHEN {_K} % 2 = 1 THEN {v} ELSE '' END"
 _ADDRESS = _ODD(f"{_K} || ' Main St, ' || ntee || CASE WHEN {_K} % 4 = 1 THEN ', 00501' ELSE ', CA' END")
-_ALL = f"{FILINGS}, u AS (SELECT f.*, c_name AS name, c_mktsegment AS ntee, n_name AS home FROM f JOIN customer ON CAST(f.ein AS BIGINT) = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_ALL = f"""{FILINGS}, u AS (SELECT f.*, c_name AS name, c_mktsegment AS ntee, n_name AS home
+  FROM f JOIN customer ON CAST(f.ein AS BIGINT) = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 _PROFILE = f"""{_SITE} AS website, {_PHONE} AS phone, {_REVENUE} AS revenue, CAST({_K} % 3 = 0 AS INT) AS invite_only, CAST({_K} % 2 AS INT) AS has_application_info, {_ODD(f"'Person ' || {_K}")} AS contact_person,
   {_ADDRESS} AS contact_address, {_ODD(_NUMBER)} AS contact_phone, {_ODD("'a@example.org'")} AS contact_email, '' AS application_format, {_ODD("'NONE'")} AS deadlines, '' AS restrictions"""
 
@@ -35,18 +36,26 @@ def _shredded(spark, sf_dir):
 
 
 @query(f"""WITH {_ALL}, n AS (SELECT {EIN.format('o_custkey', 'o_custkey')} AS ein, year(o_orderdate) AS y, count(*) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
-SELECT u.ein, tax_year, name AS organization_name, ntee AS city, home AS state, 'US' AS country, CASE WHEN {_K.replace('ein', 'u.ein')} % 4 = 0 THEN assets + 5 ELSE assets END AS assets, n_orders * 10 AS distributions,
+SELECT u.ein, tax_year, name AS organization_name, ntee AS city, home AS state, 'US' AS country,
+    CASE WHEN {_K.replace('ein', 'u.ein')} % 4 = 0 THEN assets + 5 ELSE assets END AS assets, n_orders * 10 AS distributions,
   CAST(coalesce(lines, 0) > 0 AS INT) AS has_grants, {_PROFILE.replace('CAST(ein', 'CAST(u.ein')} FROM u LEFT JOIN n ON u.ein = n.ein AND tax_year = y""")
 def xml_foundations(spark, sf_dir):
     return X.foundations(_shredded(spark, sf_dir))
 
 
-@query(f"WITH {GRANTS} SELECT ein, tax_year, CASE WHEN id % 3 = 0 THEN 'future' ELSE 'paid' END AS grant_kind, grantee_name, CASE WHEN is_foreign = 1 THEN '' ELSE state END AS state, CASE WHEN is_foreign = 1 THEN country ELSE 'US' END AS country, is_foreign, amount, purpose FROM g")
+@query(f"""WITH {GRANTS} SELECT ein, tax_year,
+    CASE WHEN id % 3 = 0 THEN 'future' ELSE 'paid' END AS grant_kind, grantee_name,
+    CASE WHEN is_foreign = 1 THEN '' ELSE state END AS state,
+    CASE WHEN is_foreign = 1 THEN country ELSE 'US' END AS country, is_foreign, amount, purpose
+  FROM g""")
 def xml_grants(spark, sf_dir):
     return X.grants(_shredded(spark, sf_dir)).select("ein", "tax_year", "grant_kind", "grantee_name", "state", "country", "is_foreign", "amount", "purpose")
 
 
-@query(f"WITH {_ALL} SELECT ein, tax_year, 0 AS id, 'Supports ' || ntee AS description, CAST(0 AS BIGINT) AS expenses FROM u UNION ALL SELECT ein, tax_year, 1, 'Program', n_orders FROM u")
+@query(f"""WITH {_ALL} SELECT ein, tax_year, 0 AS id, 'Supports ' || ntee AS description, CAST(0 AS BIGINT) AS expenses
+  FROM u
+  UNION ALL SELECT ein, tax_year, 1, 'Program', n_orders
+  FROM u""")
 def xml_activities(spark, sf_dir):
     return X.activities(_shredded(spark, sf_dir))
 
@@ -61,7 +70,8 @@ def xml_invite_flags(spark, sf_dir):
     return X.invite_flags(_shredded(spark, sf_dir))
 
 
-@query(f"WITH {_ALL} SELECT ein || '_' || tax_year AS object_id, ein, tax_year, {_SITE} AS website, {_PHONE} AS phone, {_REVENUE} AS revenue, CAST({_K} % 3 = 0 AS INT) AS invite_only, {_ODD(f"'Person ' || {_K}")} AS contact_person FROM u")
+@query(f"""WITH {_ALL} SELECT ein || '_' || tax_year AS object_id, ein, tax_year, {_SITE} AS website, {_PHONE} AS phone, {_REVENUE} AS revenue, CAST({_K} % 3 = 0 AS INT) AS invite_only, {_ODD(f"'Person ' || {_K}")} AS contact_person
+  FROM u""")
 def pattern_profile(spark, sf_dir):
     return V.second_profile(T.filings_xml(spark, sf_dir))
 
@@ -76,7 +86,10 @@ def latest_pattern_flags(spark, sf_dir):
     return V.latest_flags(T.filings_xml(spark, sf_dir))
 
 
-@query(f"WITH {_ALL} SELECT count(*) FILTER (WHERE tax_year % 5 <> 0 AND {_K} % 7 <> 0) AS matched, count(*) FILTER (WHERE tax_year % 5 <> 0 AND {_K} % 7 = 0) AS mismatched, count(*) FILTER (WHERE tax_year % 5 = 0) AS missing FROM u")
+@query(f"""WITH {_ALL} SELECT count(*) FILTER (WHERE tax_year % 5 <> 0 AND {_K} % 7 <> 0) AS matched,
+    count(*) FILTER (WHERE tax_year % 5 <> 0 AND {_K} % 7 = 0) AS mismatched,
+    count(*) FILTER (WHERE tax_year % 5 = 0) AS missing
+  FROM u""")
 def verify_profiles(spark, sf_dir):
     """The parser's table, with some rows changed and a year left out, against the patterns' reading."""
     parsed = X.foundations(_shredded(spark, sf_dir)).filter("tax_year % 5 <> 0")
@@ -84,7 +97,12 @@ def verify_profiles(spark, sf_dir):
     return V.diff_counts(V.field_diff(V.second_profile(T.filings_xml(spark, sf_dir)), changed))
 
 
-@query(f"WITH {_ALL}, e AS (SELECT DISTINCT ein FROM u) SELECT count(*) FILTER (WHERE c_custkey % 6 <> 3 AND e.ein IS NOT NULL) AS matched, count(*) FILTER (WHERE c_custkey % 6 = 3 AND e.ein IS NOT NULL) AS mismatched, count(*) FILTER (WHERE e.ein IS NULL) AS missing FROM customer LEFT JOIN e ON CAST(e.ein AS BIGINT) = c_custkey")
+@query(f"""WITH {_ALL}, e AS (SELECT DISTINCT ein
+  FROM u) SELECT count(*) FILTER (WHERE c_custkey % 6 <> 3 AND e.ein IS NOT NULL) AS matched,
+    count(*) FILTER (WHERE c_custkey % 6 = 3 AND e.ein IS NOT NULL) AS mismatched,
+    count(*) FILTER (WHERE e.ein IS NULL) AS missing
+  FROM customer
+  LEFT JOIN e ON CAST(e.ein AS BIGINT) = c_custkey""")
 def verify_flags(spark, sf_dir):
     """Unpadded ids with flags, some of them wrong, against the latest flags of the patterns."""
     k = F.col("c_custkey")
@@ -141,7 +159,9 @@ def archive_filings(spark, sf_dir):
     return X.foundations(X.shred(X.read_members(members))).select("ein", "tax_year", "organization_name")
 
 
-@query(f"WITH {_ALL} SELECT ein, tax_year, CASE WHEN {_K} % 3 = 0 THEN NULL WHEN {_K} % 3 = 1 THEN '' ELSE name END AS name, CAST(assets AS BIGINT) AS assets, '' AS website FROM u")
+@query(f"""WITH {_ALL} SELECT ein, tax_year,
+    CASE WHEN {_K} % 3 = 0 THEN NULL WHEN {_K} % 3 = 1 THEN '' ELSE name END AS name, CAST(assets AS BIGINT) AS assets, '' AS website
+  FROM u""")
 def conditional_update(spark, sf_dir):
     """Rows found take the new values, nulls and '' too; a column that was missing is added with its default."""
     u = T.filings(spark, sf_dir).join(T.universe(spark, sf_dir).select("ein", "name"), "ein").select("ein", "tax_year", "name", "assets")
@@ -156,7 +176,14 @@ def update_count(spark, sf_dir):
     return update_counts(f.filter(F.col("ein").cast("long") % 3 < 2), f, ["ein", "tax_year"])
 
 
-@query(f"WITH {GRANTS} SELECT ein, tax_year, sum(amount)::BIGINT AS amount, count(*) AS n FROM (SELECT ein, tax_year, 1 AS amount FROM g WHERE tax_year = 1996 UNION ALL SELECT ein, tax_year, amount FROM g WHERE tax_year <> 1996) GROUP BY 1, 2")
+@query(f"""WITH {GRANTS} SELECT ein, tax_year, sum(amount)::BIGINT AS amount, count(*) AS n
+  FROM (SELECT ein, tax_year, 1 AS amount
+  FROM g
+  WHERE tax_year = 1996
+  UNION ALL SELECT ein, tax_year, amount
+  FROM g
+  WHERE tax_year <> 1996)
+  GROUP BY 1, 2""")
 def replaced_children(spark, sf_dir):
     """The grants of a year, written once more, take the place of the old ones; other years stay."""
     path = scratch(spark, "grants")

@@ -46,7 +46,8 @@ def _reply(names: list[str]) -> str:
     return "Here you are: " + json.dumps([{"name": n, "tags": tags(n)} for n in names]) + " Done."
 
 
-_CLASSIFIED = f"""{TAGGED}, c AS (SELECT name_norm, display_name, max_grant, CASE WHEN len(tags) = 0 AND max_grant >= 5000 THEN CASE WHEN contains(display_name, 'ring') THEN ['Church'] WHEN contains(display_name, 'anvil') THEN ['Arts'] ELSE CAST([] AS VARCHAR[]) END ELSE tags END AS tags,
+_CLASSIFIED = f"""{TAGGED}, c AS (SELECT name_norm, display_name, max_grant,
+    CASE WHEN len(tags) = 0 AND max_grant >= 5000 THEN CASE WHEN contains(display_name, 'ring') THEN ['Church'] WHEN contains(display_name, 'anvil') THEN ['Arts'] ELSE CAST([] AS VARCHAR[]) END ELSE tags END AS tags,
   CASE WHEN len(tags) > 0 THEN 'rule' WHEN max_grant >= 5000 THEN 'llm' ELSE 'pending' END AS source FROM kb)"""
 
 
@@ -72,7 +73,9 @@ def source_counts(spark, sf_dir):
     return pending.source_counts(_classified(spark, sf_dir))
 
 
-@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type) FILTER (WHERE value >= 20)), '|') AS tags FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE value >= 20) > 0")
+@query("""SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type) FILTER (WHERE value >= 20)), '|') AS tags
+  FROM events
+  GROUP BY user_id HAVING count(*) FILTER (WHERE value >= 20) > 0""")
 def confident_tags(spark, sf_dir):
     """Names of nested tags that are sure enough; empty sets go. The value is the confidence, 20 the least."""
     tags = F.sort_array(F.collect_list(F.struct(F.col("event_type").alias("name"), F.col("value").alias("confidence"))))
@@ -87,7 +90,10 @@ def distinct_places(spark, sf_dir):
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS p, CAST(floor(o_totalprice) AS BIGINT) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
 l AS (SELECT * FROM o WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY p DESC, place) = 1)
-SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein, CASE WHEN c_custkey % 5 = 0 THEN 'No' ELSE 'Yes' END AS found, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name, '' AS city, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS state, '' AS ntee_code,
+SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein,
+    CASE WHEN c_custkey % 5 = 0 THEN 'No' ELSE 'Yes' END AS found,
+    CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name, '' AS city,
+    CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS state, '' AS ntee_code,
   CASE WHEN c_custkey % 5 = 0 THEN '' ELSE coalesce(p::VARCHAR, '') END AS latest_filing, CASE WHEN c_custkey % 5 = 0 OR r % 10 = 0 THEN '' ELSE coalesce(r::VARCHAR, '') END AS latest_revenue FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
 def organisation_summary(spark, sf_dir):
     """Replies of a service: none for some, other forms among the filings, no revenue."""

@@ -14,7 +14,8 @@ from . import core
 from .catalog import SQL, query
 from .core import EIN, FILINGS, GRANTS, sql_keywords
 
-_TOTAL = f"""a AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein FROM customer), al AS (SELECT a.ein, CAST(least(coalesce(grantee_points, 0) + coalesce(keyword_points, 0) + coalesce(international_points, 0) + coalesce(focus_points, 0), 100) AS BIGINT) AS alignment_score,
+_TOTAL = f"""a AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein
+    FROM customer), al AS (SELECT a.ein, CAST(least(coalesce(grantee_points, 0) + coalesce(keyword_points, 0) + coalesce(international_points, 0) + coalesce(focus_points, 0), 100) AS BIGINT) AS alignment_score,
   coalesce(grantee_matches, '') AS grantee_matches, coalesce(grantee_match_count, 0) AS grantee_match_count, coalesce(keyword_matches, '') AS keyword_matches, coalesce(keyword_match_count, 0) AS keyword_match_count, CASE WHEN coalesce(international_points, 0) > 0 THEN 'Yes' ELSE 'No' END AS gives_internationally
   FROM a LEFT JOIN ({SQL['grantee_points']}) USING (ein) LEFT JOIN ({SQL['keyword_points']}) USING (ein) LEFT JOIN ({SQL['international_points']}) USING (ein) LEFT JOIN ({SQL['focus_points']}) USING (ein))"""
 
@@ -32,7 +33,10 @@ _WORDS = ", ".join(f"('{k}', '{c}')" for c, ks in vocab.CLUSTERS.items() for k i
   UNION ALL SELECT ein, string_agg(DISTINCT purpose || ' for Refugees', ' ' ORDER BY purpose || ' for Refugees'), 2 FROM g GROUP BY ein
   UNION ALL SELECT lpad(c_custkey::VARCHAR, 9, '0'), 'Missions in Africa of ' || c_mktsegment || ' Faith Based evangelists', 3 FROM customer WHERE c_custkey % 2 = 0),
 k AS (SELECT * FROM (VALUES {_WORDS}) v(k, c)),
-d AS (SELECT text, c, k FROM (SELECT text, unnest({sql_keywords('lower(text)', [k for ks in vocab.CLUSTERS.values() for k in ks])}) AS k FROM (SELECT DISTINCT text FROM x)) JOIN k USING (k)),
+d AS (SELECT text, c, k
+    FROM (SELECT text, unnest({sql_keywords('lower(text)', [k for ks in vocab.CLUSTERS.values() for k in ks])}) AS k
+    FROM (SELECT DISTINCT text
+    FROM x)) JOIN k USING (k)),
 h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN d USING (text) GROUP BY 1, 2, 3)
 SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points,
   string_agg(DISTINCT k, '; ' ORDER BY k) AS keyword_matches, CAST(count(*) AS INT) AS keyword_match_count FROM h GROUP BY ein""")
@@ -47,7 +51,8 @@ def field_keyword_points(spark, sf_dir):
 
 _AMOUNT = "CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'n/a' ELSE CAST(c_custkey * 997 % 120000 AS VARCHAR) END"
 _TIER = "CASE WHEN m >= 100000 THEN 40 WHEN m >= 50000 THEN 33 WHEN m >= 25000 THEN 26 WHEN m >= 10000 THEN 20 WHEN m >= 5000 THEN 13 WHEN m >= 1000 THEN 7 ELSE 0 END"
-_BATCH = f"""{_TOTAL}, w AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'qqqq zzzz ' || c_custkey ELSE c_name || ' Inc' END AS name, c_custkey % 4 <> 0 AS hit, lpad(c_custkey::VARCHAR, 9, '0') AS e, coalesce(TRY_CAST({_AMOUNT} AS DOUBLE), 0) AS m FROM customer),
+_BATCH = f"""{_TOTAL}, w AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'qqqq zzzz ' || c_custkey ELSE c_name || ' Inc' END AS name, c_custkey % 4 <> 0 AS hit, lpad(c_custkey::VARCHAR, 9, '0') AS e, coalesce(TRY_CAST({_AMOUNT} AS DOUBLE), 0) AS m
+    FROM customer),
 b AS (SELECT name, '' AS city, '' AS state, CASE WHEN hit THEN e ELSE '' END AS ein, hit AS data_found, CASE WHEN hit THEN alignment_score ELSE 0 END AS alignment_score,
   CAST(least(floor((CASE WHEN hit THEN alignment_score ELSE 0 END)::DOUBLE / 100 * 60 + {_TIER}), 100) AS BIGINT) AS opportunity_score, CASE WHEN hit THEN grantee_matches ELSE '' END AS grantee_matches, CASE WHEN hit THEN keyword_matches ELSE '' END AS keyword_matches,
   CASE WHEN hit THEN gives_internationally ELSE '' END AS gives_internationally FROM w JOIN al ON al.ein = w.e)"""
@@ -76,7 +81,8 @@ def run_summary(spark, sf_dir):
 
 
 _EXPORT = f"""{FILINGS}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ein ORDER BY tax_year DESC) = 1),
-x AS (SELECT u.ein, CASE WHEN l.ein IS NOT NULL AND k % 3 <> 0 THEN 'Filed ' || c_name ELSE c_name END AS foundation_name, 'https://example.org/organizations/' || u.ein AS link, l.ein IS NOT NULL AS data_found,
+x AS (SELECT u.ein,
+    CASE WHEN l.ein IS NOT NULL AND k % 3 <> 0 THEN 'Filed ' || c_name ELSE c_name END AS foundation_name, 'https://example.org/organizations/' || u.ein AS link, l.ein IS NOT NULL AS data_found,
   CASE WHEN l.ein IS NULL THEN '' WHEN k % 4 = 0 THEN 'Invite Only' WHEN k % 2 = 0 THEN 'Accepting Applications' ELSE '' END AS application_status, CASE WHEN l.ein IS NULL THEN '' WHEN k % 2 = 0 THEN 'c' || k ELSE 'p' || k END AS phone
   FROM (SELECT c_custkey AS k, c_name, {EIN.format('c_custkey', 'c_custkey')} AS ein FROM customer) u LEFT JOIN l USING (ein))"""
 
@@ -99,7 +105,11 @@ def export_rows(spark, sf_dir):
     return _export(spark, sf_dir)
 
 
-@query(f"WITH {_EXPORT} SELECT count(*) AS n, count(*) FILTER (WHERE data_found) AS data_found, count(*) FILTER (WHERE application_status = 'Accepting Applications') AS accepting, count(*) FILTER (WHERE application_status = 'Invite Only') AS invite_only FROM x")
+@query(f"""WITH {_EXPORT} SELECT count(*) AS n,
+    count(*) FILTER (WHERE data_found) AS data_found,
+    count(*) FILTER (WHERE application_status = 'Accepting Applications') AS accepting,
+    count(*) FILTER (WHERE application_status = 'Invite Only') AS invite_only
+  FROM x""")
 def export_counts(spark, sf_dir):
     return counters.export_counts(_export(spark, sf_dir))
 
@@ -109,7 +119,10 @@ def joined_purposes(spark, sf_dir):
     return alignment.joined_texts(T.grants(spark, sf_dir), "ein", "purpose", "id")
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS ein, arg_min(name, sub_date) AS name FROM (SELECT o_custkey, strftime(o_orderdate, '%Y') AS sub_date, 'n' || strftime(o_orderdate, '%Y') AS name FROM orders) GROUP BY 1")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS ein, arg_min(name, sub_date) AS name
+  FROM (SELECT o_custkey, strftime(o_orderdate, '%Y') AS sub_date, 'n' || strftime(o_orderdate, '%Y') AS name
+  FROM orders)
+  GROUP BY 1""")
 def one_name(spark, sf_dir):
     """Of all names of an entity that of its first year."""
     year = F.substring("sub_date", 1, 4)
@@ -131,7 +144,10 @@ def object_ids(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", object_id(path).alias("object_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[' || props || ', [1]]' ELSE '' END AS reply, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("""SELECT event_id,
+    CASE WHEN event_id % 2 = 0 THEN '[' || props || ', [1]]' ELSE '' END AS reply,
+    CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
+  FROM events""")
 def reply_arrays(spark, sf_dir):
     """The array inside a reply of more words, and a value in it."""
     said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure:\n["), "props", F.lit(", [1]]\nBye"))).otherwise("no array")
