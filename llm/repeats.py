@@ -168,38 +168,55 @@ def _by_spans(bodies: list[bytes], hit: np.ndarray, per: np.ndarray) -> list[lis
     return spans_of(hit, per)
 
 
-def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable, locate: Callable = _by_spans, shard_runs: int = SHARD_RUNS) -> tuple[DataFrame, DataFrame]:
+def find_runs(keyed: DataFrame, unit: str, width: int, k: int) -> DataFrame:
+    """The runs of all documents, staged: k1, k2, anchor, fragment, first, last."""
+    units = word_units if unit == "words" else byte_units
+    return staged(keyed.select("k1", "k2", "text").mapInArrow(releasing(_cut(units, width, k)), _RUNS), "runs")
+
+
+def run_texts(keyed: DataFrame, placed: DataFrame, unit: str, width: int) -> DataFrame:
+    """shard, salt, anchor, fragment, ways, body: the text of runs (k1, k2, run)."""
+    wanted = placed.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
+    # equal rows of documents share k1 and k2; one of them is enough
+    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    return texts.select("text", "runs").mapInArrow(releasing(_bodies(unit, width)), _SIZED)
+
+
+def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable, locate: Callable = _by_spans, shard_runs: int = SHARD_RUNS, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans k1, k2, spans array<struct<a, b>>): units [a, b) of a document are covered.
 
     ``confirm(keys, per)`` gets the windows of one shard and says which occur twice
     there; ``locate(bodies, hit, per)`` gives for each body the runs [a, b] of windows
     that confirmed ones cover. Spans of one document may overlap. Null texts count as empty.
+    ``held`` (anchor, fragment, body) are runs of other documents, which count as occurrences too.
     """
     keyed = _keyed(docs)
-    units = word_units if unit == "words" else byte_units
-    runs = staged(keyed.select("k1", "k2", "text").mapInArrow(releasing(_cut(units, width, k)), _RUNS), "runs")
+    runs = find_runs(keyed, unit, width, k)
     # staged, so that both sides of the join are plain exchanges and Spark can split a hot anchor
-    seen = staged(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "seen")
+    seen = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    if held is not None:
+        seen = seen.union(held.select("anchor").join(runs.select("anchor").distinct(), "anchor", "left_semi")).distinct()
+    seen = staged(seen, "seen")
     met = staged(runs.join(seen, "anchor"), "met")
 
     # one place of each distinct run, and a second one (perhaps of an equal row) of those that occur again
     at = F.struct("k1", "k2", "first", "last")
     distinct = staged(met.groupBy("anchor", "fragment").agg(F.count("*").alias("copies"), F.min(at).alias("one"), F.max(at).alias("other")), "distinct")
-    shards = max(1, -(-distinct.count() // shard_runs))
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_runs)
+    every = distinct.select("anchor")
+    if held is not None:
+        held = staged(held.select("anchor", "fragment", "body").join(seen, "anchor", "left_semi"), "held")
+        every = every.unionAll(held.select("anchor"))
+    shards = max(1, -(-every.count() // shard_runs))
+    hot = every.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_runs)
     hot = staged(hot.select("anchor", F.ceil(F.col("n") / shard_runs).cast("int").alias("ways")), "hot")
     dealt = distinct.join(hot, "anchor", "left").withColumn("at", F.explode(F.when(F.col("copies") > 1, F.array("one", "other")).otherwise(F.array("one"))))
-    placed = dealt.select(
-        "at.k1", "at.k2", F.struct(
-            F.when(F.col("ways").isNull(), F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor")).alias("shard"),
-            F.when(F.col("ways").isNull(), F.lit(-1)).otherwise(F.pmod("fragment", F.col("ways"))).cast("int").alias("salt"),
-            "anchor", "fragment", F.coalesce("ways", F.lit(1)).alias("ways"), "at.first", "at.last",
-        ).alias("run"),
-    )
-    wanted = placed.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    # equal rows of documents share k1 and k2; one of them is enough
-    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
-    bodies = staged(texts.select("text", "runs").mapInArrow(releasing(_bodies(unit, width)), _SIZED), "bodies")
+    shard = F.when(F.col("ways").isNull(), F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor")).alias("shard")
+    salt = F.when(F.col("ways").isNull(), F.lit(-1)).otherwise(F.pmod("fragment", F.col("ways"))).cast("int").alias("salt")
+    place = [shard, salt, "anchor", "fragment", F.coalesce("ways", F.lit(1)).alias("ways")]
+    bodies = run_texts(keyed, dealt.select("at.k1", "at.k2", F.struct(*place, "at.first", "at.last").alias("run")), unit, width)
+    if held is not None:
+        bodies = bodies.unionByName(held.join(hot, "anchor", "left").select(*place, "body"))
+    bodies = staged(bodies, "bodies")
 
     def answer(table: pa.Table) -> pa.Table:
         return judged(table, np.zeros(0, "S16"))

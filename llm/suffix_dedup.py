@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import releasing
-from .repeats import SHARD_RUNS, find_spans, merged
+from .common import releasing, staged
+from .repeats import SHARD_RUNS, _keyed, find_runs, find_spans, merged, run_texts
 
 #: Bytes of a match, and of the grams that bring possible matches together.
 WIDTH, GRAM = 200, 40
@@ -93,7 +94,62 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     copies of each other and both go; an empty table gives no rows; very long texts are searched
     whole, in slices. Candidate stretches meet in shards; each shard's index takes their suffixes in batches.
     """
-    keyed, spans = find_spans(docs, "bytes", width, gram, confirm, shard_runs=shard_runs)
+    return _cut_out(docs, width, gram, shard_runs, None)
+
+
+def _cut_out(docs: DataFrame, width: int, gram: int, shard_runs: int, held: DataFrame | None) -> DataFrame:
+    keyed, spans = find_spans(docs, "bytes", width, gram, confirm, shard_runs=shard_runs, held=held)
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(releasing(_clean), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:int,b:int>>")
+
+
+def levels(spark: SparkSession, index: str) -> list[str]:
+    """The tables of an index, the largest first."""
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{index}_level_")]
+    return sorted(names, key=lambda n: (-spark.table(n).count(), n))
+
+
+def _write_level(runs: DataFrame, index: str, n: int) -> None:
+    spark = runs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs.write.format("parquet").bucketBy(buckets, "anchor").sortBy("anchor").saveAsTable(f"{index}_level_{n}")
+
+
+def _merge(spark: SparkSession, index: str) -> None:
+    """Merges the two smallest levels until each is at least twice as large as the next."""
+    while len(names := levels(spark, index)) > 1:
+        large, small = names[-2:]
+        if spark.table(large).count() >= 2 * spark.table(small).count():
+            break
+        number = 1 + max(int(n.rsplit("_", 1)[1]) for n in names)
+        _write_level(spark.table(large).unionByName(spark.table(small)), index, number)
+        for n in (large, small):
+            spark.sql(f"DROP TABLE {n}")
+
+
+def remove_known(docs: DataFrame, index: str, batch: str, width: int = WIDTH, gram: int = GRAM, shard_runs: int = SHARD_RUNS) -> DataFrame:
+    """As ``remove_repeats`` for a new batch of documents: what earlier batches hold counts as occurring elsewhere too.
+
+    The index is a family of tables in the warehouse, each a level: the distinct stretches of its batches with
+    their anchors, bucketed and sorted by them. The new batch is scanned against all levels: stretches that
+    share an anchor meet in shards, where suffix arrays compare them as bytes. Then the batch
+    becomes a level, and levels of a like size are merged, so that there are few. A batch that
+    comes again, after a failure say, gets the same answer and is not added twice. Cases as in ``remove_repeats``.
+    """
+    spark = docs.sparkSession
+    held = None
+    for name in levels(spark, index):
+        table = spark.table(name)
+        held = table if held is None else held.unionByName(table)
+    there = held is not None and not held.filter(F.col("batch") == batch).isEmpty()
+    out = staged(_cut_out(docs, width, gram, shard_runs, held.filter(F.col("batch") != batch) if held is not None else None), "cut")
+    if not there:
+        keyed = _keyed(docs)
+        runs = find_runs(keyed, "bytes", width, gram).groupBy("anchor", "fragment").agg(F.min(F.struct("k1", "k2", "first", "last")).alias("at"))
+        place = [F.lit(0).cast("long").alias("shard"), F.lit(0).alias("salt"), "anchor", "fragment", F.lit(1).alias("ways")]
+        texts = run_texts(keyed, runs.select("at.k1", "at.k2", F.struct(*place, "at.first", "at.last").alias("run")), "bytes", width)
+        numbers = [int(n.rsplit("_", 1)[1]) for n in levels(spark, index)]
+        _write_level(texts.select("anchor", "fragment", "body", F.lit(batch).alias("batch")), index, 1 + max(numbers, default=-1))
+        _merge(spark, index)
+    return out

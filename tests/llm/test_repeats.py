@@ -9,7 +9,7 @@ import pytest
 
 from llm import repeats
 from llm.substring_dedup import locate, remove_phrases
-from llm.suffix_dedup import LogIndex, remove_repeats
+from llm.suffix_dedup import LogIndex, levels, remove_known, remove_repeats
 
 
 def brute(seqs, width):
@@ -103,3 +103,24 @@ def test_long_rows_in_slices(spark, monkeypatch):
     windows = [x for *_, first, last, _, _ in repeats._runs_of(u, sizes, 200, 40) for a, b in zip(first, last) for x in range(a, b + 1)]
     assert sorted(windows) == list(range(701))
     assert want == sorted(map(repr, remove_repeats(df).collect()))
+
+
+def test_batches_against_a_family_of_levels(spark):
+    """Each batch against all before it; levels fall geometrically; a batch that comes again changes nothing."""
+    rows = corpus(random.Random(4), 40)
+    raw = [(t or "").encode() for _, t in rows]
+    parts = [list(range(i, len(rows), 4)) for i in range(4)]
+    index, before = "family_under_test", []
+    for n, part in enumerate(parts):
+        df = spark.createDataFrame([rows[i] for i in part], "doc_id long, text string")
+        seqs = [raw[i] for i in part]
+        want = sorted((len(s), sum(g), hashlib.sha256(bytes(w for w, x in zip(s, g) if not x)).hexdigest()) for s, g in zip(seqs, brute(seqs + before, 200)))
+        for _ in range(2 if n == 2 else 1):
+            got = remove_known(df, index, f"b{n}").select("n_bytes", "n_removed", "kept_sha256").collect()
+            assert sorted(map(tuple, got)) == want
+        before += seqs
+        sizes = [spark.table(t).count() for t in levels(spark, index)]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:]))
+        assert sum(spark.table(t).select("batch").distinct().count() for t in levels(spark, index)) == n + 1
+    for t in levels(spark, index):
+        spark.sql(f"DROP TABLE {t}")
