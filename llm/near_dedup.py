@@ -29,6 +29,8 @@ SHINGLE, SIMILARITY = 2, 0.8
 SKETCHES, ORDERED = 48, 3
 #: Order of comparing only: who is not similar to a leader meets further leaders in finer buckets, those of one more sketch, so far on, so often.
 FURTHER, DEPTH = (1, 3), 8
+#: Share of a round's pairs that must be links for another round to follow; what leaders leave is compared anyway.
+FRUITFUL = 0.1
 #: Nodes and bytes of words in one block of a bucket (on average); bins of the counts that bound a pair's edits.
 BLOCK, BLOCK_BYTES, BINS = 128, 4 << 20, 128
 #: Longer texts are aligned by diagonals, shorter ones by bits.
@@ -254,6 +256,16 @@ def _led(similarity: float):
     return run
 
 
+def _stars(judged: DataFrame) -> DataFrame:
+    """The same classes by fewer links: each node to its first leader, and that leader, once for all nodes, to their others.
+
+    A node has at most as many leaders as sketches.
+    """
+    leaders = judged.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("bs"))
+    others = leaders.select(F.col("bs")[0].alias("a"), F.explode(F.slice("bs", 2, F.size("bs"))).alias("b")).distinct()
+    return leaders.select("a", F.col("bs")[0].alias("b")).unionByName(others)
+
+
 def _by_leaders(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, leader b, n_words of a) that are similar.
 
@@ -267,10 +279,10 @@ def _by_leaders(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFr
 
 
 def _within(similarity: float):
-    """Links of one block of a bucket, or between two, that join what is not joined yet."""
+    """Links, between classes, of one block of a bucket, or between two, that join what is not joined yet."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_words"))
+        root, size = (table.column(c).to_numpy() for c in ("root", "n_words"))
         salt, guest, nth = (table.column(c).to_numpy() for c in ("salt", "guest", "nth"))
         one, other = table.column("one")[0].as_py(), table.column("other")[0].as_py()
         sketch = np.array(table.column("sketch").to_pylist(), np.int64)
@@ -302,15 +314,15 @@ def _within(similarity: float):
                 x, y = top(int(root[i])), top(int(root[k]))
                 if x != y and similar(words[i], words[k], similarity):
                     into[x] = y
-                    a.append(node[i])
-                    b.append(node[k])
+                    a.append(root[i])
+                    b.append(root[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Links between nodes that share a bucket and are in different classes so far: every such pair is compared.
+    """Links between the roots of nodes that share a bucket and are in different classes so far: every such pair is compared.
 
     Buckets are split by bands of length (a node is a guest in the band below its own,
     so that all pairs of fitting length meet once), and those into blocks that meet in pairs.
@@ -371,8 +383,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         met = staged(rows.join(led, "key"), "met")
         fit = F.least("n_words", "leader_words") >= similarity * F.greatest("n_words", "leader_words") - 1e-9
         pairs = met.filter(fit & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), "n_words").distinct()
-        judged = staged(_by_leaders(staged(pairs, "pairs"), words, similarity), "judged")
-        links = links.unionByName(judged)
+        pairs = staged(pairs, "pairs")
+        judged = staged(_by_leaders(pairs, words, similarity), "judged")
+        links = links.unionByName(staged(_stars(judged), "stars"))
+        if judged.count() < FRUITFUL * pairs.count():
+            break
         linked = judged.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         rest = met.filter(F.col("node") != F.col("leader")).join(linked, ["node", "leader"], "left_anti").select("key", "node", "n_words", "nth", "company")
         depth += 1
@@ -381,11 +396,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         rows = staged(rest, "rest")
 
     roots = components(links)
-    links = links.unionByName(_across(coarse, roots, nodes, words, similarity))
-    roots = components(links)
-    labelled = nodes.select("node", "digest", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    further = components(_across(coarse, roots, nodes, words, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = nodes.select("node", "digest", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(further, "root", "left")
+    # both staged, so that the sides of their join are plain exchanges and Spark can split a large class
+    labelled = staged(rooted.withColumn("root", F.coalesce("top", "root")).drop("top"), "labelled")
     classes = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).getField("node").alias("first"))
-    of = staged(labelled.join(classes, "root").select("digest", "class_id", "class_size", (F.col("node") == F.col("first")).alias("holds")), "classes")
+    of = staged(labelled.join(staged(classes, "class_rows"), "root").select("digest", "class_id", "class_size", (F.col("node") == F.col("first")).alias("holds")), "classes")
     return drawn.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "class_size", (F.col("holds") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), "digest")
 
 
