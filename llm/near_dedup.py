@@ -29,8 +29,6 @@ SHINGLE, SIMILARITY = 2, 0.8
 SKETCHES, ORDERED = 48, 3
 #: Order of comparing only: who is not similar to a leader meets further leaders in finer buckets, those of one more sketch, so far on, so often.
 FURTHER, DEPTH = (1, 3), 8
-#: Share of a round's pairs that must be links for another round to follow; what leaders leave is compared anyway.
-FRUITFUL = 0.1
 #: Nodes and bytes of words in one block of a bucket (on average); bins of the counts that bound a pair's edits.
 BLOCK, BLOCK_BYTES, BINS = 128, 4 << 20, 128
 #: Longer texts are aligned by diagonals, shorter ones by bits.
@@ -386,8 +384,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         pairs = staged(pairs, "pairs")
         judged = staged(_by_leaders(pairs, words, similarity), "judged")
         links = links.unionByName(staged(_stars(judged), "stars"))
-        if judged.count() < FRUITFUL * pairs.count():
-            break
         linked = judged.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         rest = met.filter(F.col("node") != F.col("leader")).join(linked, ["node", "leader"], "left_anti").select("key", "node", "n_words", "nth", "company")
         depth += 1
