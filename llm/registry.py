@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, neighbours, quality, url_filter
+from pyspark.sql import functions as F
+
+from . import exact_dedup, manifest, mixing, near_dedup, neighbours, quality, sharding, url_filter, whitening
 from .common import read_table
 from .packing import pack
 from .substring_dedup import remove_phrases
@@ -58,5 +60,19 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_url_filter, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_neighbours)}
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op2_mixing": mixing.SQL, "op4_url_filter": url_filter.SQL}
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_manifest(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(*manifest.COLUMNS)
+    return manifest.proofs(manifest.manifest(docs, {"text": manifest.tampered_text()}))
+
+
+def op13_sharding(spark, sf_dir):
+    found = sharding.assign(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_url_filter, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_neighbours, op11_whitening, op12_manifest, op13_sharding)}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op2_mixing": mixing.SQL, "op4_url_filter": url_filter.SQL, "op12_manifest": manifest.SQL, "op13_sharding": sharding.SQL}
