@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.similarity import ratio, token_set, token_sort
 from ..functions.text import core_tokens, name_tokens, normalized, with_alias
 from ..sources.scratch import staged
-from .similar_pairs import similar_pairs
+from .nearest_text import nearest_texts
+from .similar_pairs import salted_join, sharing_chunks, similar_pairs
 
 # The least score of each pass, and the shortest core.
 RATIO, TOKEN_SORT, TOKEN_SET, CORE, CORE_LETTERS = 90, 90, 95, 80, 4
@@ -57,8 +58,22 @@ def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
     b = right.select("to_norm").distinct().join(table.withColumnRenamed("norm", "to_norm"), "to_norm")
     every = lambda df, c: df.select(c, F.explode("tokens.token").alias("token"))
     first = lambda df, c: df.select(c, F.explode(F.transform(_first_tokens(F.col("tokens")), lambda t: t["token"])).alias("token"))
-    pairs = first(a, "norm").join(every(b, "to_norm"), "token").union(every(a, "norm").join(first(b, "to_norm"), "token").select("token", "norm", "to_norm"))
-    return pairs.select("norm", "to_norm").distinct()
+    one, other = salted_join(first(a, "norm"), every(b, "to_norm"), "token"), salted_join(every(a, "norm"), first(b, "to_norm"), "token")
+    return one.select("norm", "to_norm").union(other.select("norm", "to_norm")).distinct()
+
+
+def token_set_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """norm, to_norm: all pairs that reach TOKEN_SET by the ratio of token sets, and few others.
+
+    They do by common tokens that make nearly all of one name, or all: then one of that name's rarest tokens, by a bound on
+    letters, is common (``_sharing``). Or common tokens and what is left of both differ in few letters: then a
+    chunk of a token is in a token of the other, wherever a misspelt one sorts (``sharing_chunks``).
+    """
+    def as_sets(df: DataFrame, c: str) -> DataFrame:
+        return df.select(c).filter(F.col(c) != "").distinct().withColumn("tokens", F.array_distinct(F.split(c, " ")))
+
+    spelt = sharing_chunks(as_sets(left, "norm"), as_sets(right, "to_norm"), "norm", "to_norm", (TOKEN_SET - 0.5) / 100, True)
+    return _sharing(left, right).union(spelt).distinct()
 
 
 def match_entities(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,9 +82,8 @@ def match_entities(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, Da
     names: name, city, state (null as ''); entities: ein, name, city, state. Passes:
     1 equal normal forms (after aliases); 3 the ratio; 4 the ratio of sorted tokens; 5 the ratio
     of token sets; 6 equal first two tokens, where the score counts only after the nearest was chosen.
-    Several entities are told apart by place (``best_near``). All pairs of passes 1, 3, 4
-    and 6 are found, and of pass 5 those in which the shared tokens make the score or whose sorted tokens
-    are similar. best_candidate is the one of highest ratio among those that were compared; '' if none was.
+    Several entities are told apart by place (``best_near``). All pairs of every pass are found.
+    best_candidate is the entity of the highest ratio of all (of equal ones the smallest ein); '' if no entity has a letter in common.
     """
     left = names.select("name", F.coalesce("city", F.lit("")).alias("raw_city"), F.coalesce("state", F.lit("")).alias("raw_state")).distinct()
     left = left.withColumns({"norm": normalized(with_alias(F.col("name"))), "core": core_tokens(F.col("name"), 2), "city": _place(F.col("raw_city")), "state": _place(F.col("raw_state"))})
@@ -94,14 +108,12 @@ def match_entities(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, Da
     found.append(chosen(of(rest, close, "norm", "to_norm"), 3, RATIO))
     rest = rest.join(found[-1], "id", "left_anti")
 
-    ordered = staged(similar_pairs(rest, right, "order", "to_order", _LEAST), "ordered")
-    close = ordered.withColumn("score", token_sort("order", "to_order")).filter(F.col("score") >= TOKEN_SORT)
+    close = similar_pairs(rest, right, "order", "to_order", _LEAST).withColumn("score", token_sort("order", "to_order")).filter(F.col("score") >= TOKEN_SORT)
     found.append(chosen(of(rest, close, "order", "to_order"), 4, TOKEN_SORT))
     rest = staged(rest.join(found[-1], "id", "left_anti"), "rest")
 
-    alike = ordered.join(rest.select("norm", "order").distinct(), "order").join(right.select("to_norm", "to_order").distinct(), "to_order").select("norm", "to_norm")
-    met = staged(_sharing(rest, right).union(alike).distinct().withColumns({"score": token_set("norm", "to_norm"), "plain": ratio("norm", "to_norm")}), "met")
-    found.append(chosen(of(rest, met.filter(F.col("score") >= TOKEN_SET).drop("plain"), "norm", "to_norm"), 5, TOKEN_SET))
+    met = staged(token_set_pairs(rest, right).withColumn("score", token_set("norm", "to_norm")).filter(F.col("score") >= TOKEN_SET), "met")
+    found.append(chosen(of(rest, met, "norm", "to_norm"), 5, TOKEN_SET))
     left_over = rest.join(found[-1], "id", "left_anti")
 
     cores = left_over.filter(F.length("core") >= CORE_LETTERS).join(right, left_over["core"] == right["to_core"])
@@ -113,8 +125,11 @@ def match_entities(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, Da
     for f in found[1:]:
         matched = matched.unionByName(f)
     shown = ["name", F.col("raw_city").alias("city"), F.col("raw_state").alias("state")]
-    best = of(left_over, met.select("norm", "to_norm", F.col("plain").alias("score")), "norm", "to_norm").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "ein", "entity")).alias("b"))
-    report = left_over.join(best, "id", "left").select(*shown, F.coalesce("b.entity", F.lit("")).alias("best_candidate"), F.coalesce(-F.col("b.neg"), F.lit(0)).alias("best_score"))
+    left_over = staged(left_over, "left_over")
+    first = right.groupBy("to_norm").agg(F.min(F.struct("ein", "entity")).alias("e"))
+    best = nearest_texts(left_over.select(F.col("norm").alias("query")), first.select(F.col("to_norm").alias("text"), F.col("e.ein").alias("rank"))).filter("score > 0")
+    best = best.join(first, best["text"] == first["to_norm"]).select("query", "score", F.col("e.entity").alias("candidate"))
+    report = left_over.join(best, left_over["norm"] == best["query"], "left").select(*shown, F.coalesce("candidate", F.lit("")).alias("best_candidate"), F.coalesce("score", F.lit(0)).alias("best_score"))
     return left.join(matched, "id").select(*shown, "ein", "entity", "score", "pass"), report
 
 

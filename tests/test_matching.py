@@ -7,15 +7,17 @@ import pytest
 from grantlens import vocab
 from grantlens.functions.similarity import ratio_of, token_set_of, token_sort_of
 from grantlens.functions.text import core_tokens, normalized, with_alias
-from grantlens.operators.entity_match import match_entities
+from grantlens.operators import nearest_text
+from grantlens.operators.entity_match import match_entities, token_set_pairs
 from grantlens.operators.matching import fuzzy_pairs, match_targets
+from grantlens.operators.similar_pairs import chunks, grams, salted_join, sharing_chunks, similar_pairs
 from pyspark.sql import functions as F
 
 WORDS = "hope river grace valley north south family smith jones harbor light youth community global trust fund legacy".split()
 
 
 def spoiled(rng, name):
-    kind = rng.randrange(7)
+    kind = rng.randrange(10)
     words = name.split()
     if kind == 0:
         at = rng.randrange(len(name))
@@ -30,6 +32,15 @@ def spoiled(rng, name):
         return f"The {name}, Inc. dba other"
     elif kind == 5:
         words[-1] = "zzzz" + words[-1][:2]
+    elif kind == 6:  # a misspelt token that sorts to another place
+        i = max(range(len(words)), key=lambda i: len(words[i]))
+        words[i] = rng.choice("az") + words[i][1:]
+    elif kind == 7:
+        at = rng.randrange(len(words))
+        words[at : at + 2] = ["".join(words[at : at + 2])]
+    elif kind == 8:
+        words[rng.randrange(len(words))] += "s"
+        rng.shuffle(words)
     return " ".join(words)
 
 
@@ -77,7 +88,12 @@ def test_entity_match(spark, seed):
     assert len({p for *_, p in want.values()}) >= 4
     assert got == want
     missed = {(n, c or "", s or "") for n, c, s in names} - set(want)
-    assert {(r.name, r.city, r.state) for r in report.collect()} == missed
+    best = {}
+    for n, c, t in missed:
+        norm = next(v for (a, b, d), (v, _) in norms.items() if (a, b or "", d or "") == (n, c, t))
+        score, ein = min((-ratio_of(norm, e["norm"]), e["ein"]) for e in known)
+        best[n, c, t] = (dict((e[0], e[1]) for e in entities)[ein] if score else "", -score)
+    assert {(r.name, r.city, r.state): (r.best_candidate, r.best_score) for r in report.collect()} == best
     empty = match_entities(df, to.limit(0))
     assert empty[0].count() == 0 and empty[1].count() == len({(n, c or "", s or "") for n, c, s in names}) and match_entities(df.limit(0), to)[0].count() == 0
 
@@ -135,3 +151,83 @@ def test_similarities():
             both, p, q = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
             want = 100 if both and not (p and q) else max(brute_ratio(f"{both} {p}".strip(), f"{both} {q}".strip()), *((brute_ratio(both, f"{both} {o}") for o in (p, q)) if both else (0,)))
             assert token_set_of(a, b) == want
+
+
+LONG = "international northern presbyterian mission fellowship outreach education westminster evangelical".split()
+
+
+def misspelt(rng, name):
+    """One to three letters put in, left out or replaced, sometimes a space, and tokens in another order."""
+    for _ in range(rng.randrange(1, 4)):
+        at = rng.randrange(len(name))
+        name = name[:at] + rng.choice(["", "q", "e", " "]) + name[at + rng.randrange(2) :]
+    words = name.split()
+    if rng.random() < 0.5:
+        rng.shuffle(words)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_token_set_pairs_are_all_there(spark, seed):
+    rng = random.Random(seed)
+    right = sorted({" ".join(rng.choices(WORDS + LONG, k=rng.randrange(1, 8))) for _ in range(150)})
+    left = sorted({misspelt(rng, rng.choice(right)) for _ in range(200)} | set(rng.sample(right, 9)) - {""})
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = {(r.norm, r.to_norm) for r in token_set_pairs(one(left, "norm"), one(right, "to_norm")).collect()}
+    want = {(a, b) for a in left for b in right if token_set_of(a, b) >= 95}
+    assert want <= got and len(want) > 60
+    far = {(a, b) for a, b in want if token_sort_of(a, b) < 90 and not (set(a.split()) <= set(b.split()) or set(b.split()) <= set(a.split()))}
+    assert far, "no pair tests what sorting hides"
+
+
+@pytest.mark.parametrize("least", [0.7, 0.8, 0.895, 0.945])
+def test_similar_pairs_are_all_there(spark, least):
+    rng = random.Random(int(least * 1000))
+    right = sorted({" ".join(rng.choices(WORDS + LONG, k=rng.randrange(1, 7))) for _ in range(120)} | {"a", "ab", "abc"})
+    left = sorted({misspelt(rng, rng.choice(right)) for _ in range(150)} | {"a", "b", "bc"} - {""})
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = {(r.a, r.b) for r in similar_pairs(one(left, "a"), one(right, "b"), "a", "b", least).collect()}
+    within = lambda a, b: brute_common(a, b) * 2 >= least * (len(a) + len(b)) - 1e-9
+    assert {(a, b) for a in left for b in right if abs(len(a) - len(b)) <= (1 - least) * (len(a) + len(b)) + 1e-9 and within(a, b)} <= got
+
+
+def brute_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_keys_grow_with_length_only(spark):
+    """A 75-letter text has 18 chunks to look up and 75 grams, a 33-letter one 8 and 33; candidates stay few."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n)).strip().ljust(n, "x")
+    for n, most in ((33, 8), (75, 18)):
+        df = spark.createDataFrame([(text(n),)], "t string").select(F.array("t").alias("tokens"))
+        r = df.select(F.size(grams(F.col("tokens"), 4)).alias("g"), F.size(chunks(F.col("tokens"), 4)).alias("c")).first()
+        assert r.g <= n and r.c <= most + 1
+    names = sorted({" ".join(rng.choices(WORDS + LONG, k=4)) for _ in range(600)})
+    left, right = (spark.createDataFrame([(x,) for x in names], f"{c} string").withColumn("tokens", F.array(c)) for c in "ab")
+    assert sharing_chunks(left, right, "a", "b", 0.895, False).count() < 0.5 * len(names) ** 2
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i) for i in range(90)], "key string, i int")
+    right = spark.createDataFrame([("hot" if i % 2 else f"k{i % 5}", i) for i in range(70)], "key string, j int")
+    want = sorted(map(tuple, left.join(right, "key").collect()))
+    for most in (1, 7, 1000):
+        assert sorted(map(tuple, salted_join(left, right, "key", most).select("key", "i", "j").collect())) == want
+
+
+def test_nearest_texts(spark, monkeypatch):
+    monkeypatch.setattr(nearest_text, "BLOCK", 60)
+    monkeypatch.setattr(nearest_text, "QUERIES", 40)
+    rng = random.Random(6)
+    texts = sorted({" ".join(rng.choices(WORDS + LONG, k=rng.randrange(1, 9))) for _ in range(300)} | {"", "é ü"})
+    queries = sorted({misspelt(rng, rng.choice(texts[1:])) for _ in range(100)} | {"", "q", "é", "w" * 70, "x y " * 30, "zz top"})
+    got = nearest_text.nearest_texts(spark.createDataFrame([(q,) for q in queries + queries[:9]] + [(None,)], "query string"), spark.createDataFrame([(t, f"{i:04d}") for i, t in enumerate(texts)], "text string, rank string"))
+    rows = {r["query"]: (-r.score, r.text) for r in got.collect()}
+    assert rows == {q: min((-ratio_of(q, t), t) for t in texts) for q in queries}
+    assert nearest_text.nearest_texts(spark.createDataFrame([("a",)], "query string"), spark.createDataFrame([], "text string, rank string")).collect() == []
