@@ -69,6 +69,17 @@ def whole_number(c: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) >= 9.2e18), F.lit(0).cast("long")).otherwise(d.cast("long"))
 
 
+def number_or_null(c: Column) -> Column:
+    """As ``whole_number``, but null if it is no finite number."""
+    return F.when(c.try_cast("double").between(-9.2e18, 9.2e18), whole_number(c))
+
+
+def utf8_text(content: Column) -> Column:
+    """Bytes as text; bytes that are not UTF-8 are left out (and, in such a text, replacement characters)."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.make_valid_utf8(text), "\ufffd", ""))
+
+
 def year(c: Column) -> Column:
     return F.coalesce(F.when(c.rlike(r"^\d+$"), c.try_cast("int")), F.lit(0))
 

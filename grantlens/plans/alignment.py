@@ -59,17 +59,30 @@ def _any_of(text: Column, terms: list[str]) -> Column:
     return F.greatest(*(text.contains(t).cast("int") for t in terms), F.lit(0))
 
 
+def _terms_in(text: Column, terms: list[str]) -> list[Column]:
+    return [F.max(text.contains(t).cast("int")).alias(f"t{i}") for i, t in enumerate(terms)]
+
+
+def _share(terms: list[str]) -> Column:
+    text = F.lower(F.concat_ws(" ", F.coalesce("grantee_name", F.lit("")), F.coalesce("purpose", F.lit(""))))
+    return F.avg(_any_of(text, terms)).alias("share")
+
+
+def _focus(faith: list[str], abroad: list[str]) -> Column:
+    total = lambda a, b: sum((F.coalesce(f"t{i}", F.lit(0)) for i in range(a, b)), F.lit(0))
+    said = F.least(total(0, len(faith)), F.lit(4)) + F.least(total(len(faith), len(faith) + len(abroad)), F.lit(3))
+    return F.least(said + F.when(F.col("share") > 0.5, 3).otherwise(0), F.lit(10)).cast("long").alias("focus_points")
+
+
 def focus_points(grants: DataFrame, activities: DataFrame, faith: list[str] = vocab.FAITH_TERMS, abroad: list[str] = vocab.ABROAD_TERMS) -> DataFrame:
     """ein, focus_points: terms in all a giver's activities (ein, text) together, and the share of its grants with any."""
-    done = F.lower("text")
-    terms = activities.groupBy("ein").agg(*(F.max(done.contains(t).cast("int")).alias(f"t{i}") for i, t in enumerate(faith + abroad)))
-    total = lambda a, b: sum((F.col(f"t{i}") for i in range(a, b)), F.lit(0))
-    said = terms.select("ein", (F.least(total(0, len(faith)), F.lit(4)) + F.least(total(len(faith), len(faith) + len(abroad)), F.lit(3))).alias("said"))
-    text = F.lower(F.concat_ws(" ", F.coalesce("grantee_name", F.lit("")), F.coalesce("purpose", F.lit(""))))
-    shares = grants.groupBy("ein").agg(F.avg(_any_of(text, faith + abroad)).alias("share"))
-    both = said.join(shares, "ein", "full")
-    points = F.coalesce("said", F.lit(0)) + F.when(F.col("share") > 0.5, 3).otherwise(0)
-    return both.select("ein", F.least(points, F.lit(10)).cast("long").alias("focus_points"))
+    terms = activities.groupBy("ein").agg(*_terms_in(F.lower("text"), faith + abroad))
+    return terms.join(grants.groupBy("ein").agg(_share(faith + abroad)), "ein", "full").select("ein", _focus(faith, abroad))
+
+
+def focus_of_grants(grants: DataFrame, faith: list[str] = vocab.FAITH_TERMS, abroad: list[str] = vocab.ABROAD_TERMS) -> DataFrame:
+    """The same where the grants' purposes are the activities: one aggregation."""
+    return grants.groupBy("ein").agg(*_terms_in(F.lower("purpose"), faith + abroad), _share(faith + abroad)).select("ein", _focus(faith, abroad))
 
 
 def grantee_points(matched: DataFrame, recency: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import invite_text, object_id, phone, website, whole_number, zero_padded
+from ..functions.text import invite_text, number_or_null, object_id, phone, utf8_text, website, zero_padded
 from ..operators.relational import any_key, latest
 
 FIELDS = ["website", "phone", "revenue", "invite_only", "contact_person"]
@@ -25,24 +25,29 @@ def _value(text: Column, name: str, value: str = "[^<]*", inside: str | None = N
     return F.trim(F.regexp_extract(text, f"(?s){before}{_open(name)}({value})</", 1))
 
 
+# Blocks that a filer's phone is looked for in, and those that it is not.
+PHONE_BLOCKS = ["Filer", "BusinessOfficerGrp"]
+PREPARER_BLOCKS = "Preparer(?:Person|Firm)Grp"
+# End of fixed values.
+
+
 def _phone(text: Column) -> Column:
     """In the filer's block, else the first officer's, else the first outside preparers' blocks."""
-    filer, officer = (F.regexp_extract(text, f"(?s){_open(b)}.*?{_close(b)}", 0) for b in ("Filer", "BusinessOfficerGrp"))
-    preparers = "Preparer(?:Person|Firm)Grp"
-    others = F.regexp_replace(text, f"(?s){_open(preparers)}.*?{_close(preparers)}", "")
+    filer, officer = (F.regexp_extract(text, f"(?s){_open(b)}.*?{_close(b)}", 0) for b in PHONE_BLOCKS)
+    others = F.regexp_replace(text, f"(?s){_open(PREPARER_BLOCKS)}.*?{_close(PREPARER_BLOCKS)}", "")
     there = _open("PhoneNum") + "[^<]*</"
     return F.when(filer.rlike(there), _value(filer, "PhoneNum")).when(officer.rlike(there), _value(officer, "PhoneNum")).otherwise(_value(others, "PhoneNum"))
 
 
 def second_profile(files: DataFrame) -> DataFrame:
     """object_id, ein, tax_year and FIELDS of files (path, content) with a nine-digit EIN of the filer and a four-digit year."""
-    text = F.decode("content", "UTF-8")
+    text = utf8_text(F.col("content"))
     read = files.select(object_id(F.col("path")).alias("object_id"), text.alias("text"))
     t = F.col("text")
     revenue = _value(t, "TotalRevAndExpnssAmt")
     found = read.select(
         "object_id", _value(t, "EIN", r"\d{9}", "Filer").alias("ein"), _value(t, "TaxYr", r"\d{4}").alias("year"), website(_value(t, "WebsiteAddressTxt")).alias("website"), phone(_phone(t)).alias("phone"),
-        F.when(revenue != "", whole_number(revenue)).alias("revenue"), (F.upper(_value(t, "OnlyContriToPreselectedInd")) == "X").cast("int").alias("invite_only"),
+        number_or_null(revenue).alias("revenue"), (F.upper(_value(t, "OnlyContriToPreselectedInd")) == "X").cast("int").alias("invite_only"),
         _value(t, "RecipientPersonNm", inside="ApplicationSubmissionInfoGrp").alias("contact_person"),
     )
     return found.filter("ein <> '' AND year <> ''").select("object_id", "ein", F.col("year").cast("int").alias("tax_year"), *FIELDS)
@@ -51,7 +56,7 @@ def second_profile(files: DataFrame) -> DataFrame:
 def second_flags(files: DataFrame) -> DataFrame:
     """ein (the first of nine digits anywhere), tax_year (0 if there is none), invite_only, path."""
     t = F.col("text")
-    read = files.select("path", F.decode("content", "UTF-8").alias("text"))
+    read = files.select("path", utf8_text(F.col("content")).alias("text"))
     year = F.coalesce(_value(t, "TaxYr", r"\s*\d{4}\s*").try_cast("int"), F.lit(0))
     return read.select(_value(t, "EIN", r"\s*\d{9}\s*").alias("ein"), year.alias("tax_year"), (F.upper(_value(t, "OnlyContriToPreselectedInd")) == "X").alias("invite_only"), "path").filter("ein <> ''")
 

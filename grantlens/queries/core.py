@@ -174,9 +174,9 @@ def faith_categories(spark, sf_dir):
     return faith.faith_categories(faith.tagged_grants(*grants_and_names(spark, sf_dir)))
 
 
-@query(f"WITH {SCORES} SELECT faith_tier, count(*) AS n FROM (SELECT {sql_tier(vocab.TIERS)} AS faith_tier FROM s) GROUP BY 1")
+@query(f"WITH {SCORES} SELECT faith_tier, count(*) AS n FROM (SELECT {sql_tier(vocab.TIERS)} AS faith_tier FROM s) GROUP BY 1 ORDER BY n DESC, faith_tier")
 def tier_distribution(spark, sf_dir):
-    return faith.faith_scores(*grants_and_names(spark, sf_dir)).groupBy("faith_tier").agg(F.count("*").alias("n"))
+    return faith.faith_scores(*grants_and_names(spark, sf_dir)).groupBy("faith_tier").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "faith_tier")
 
 
 @query(f"""WITH {GRANTS}, b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE is_foreign = 1) AS f, count(DISTINCT CASE WHEN is_foreign = 1 AND country <> '' THEN country END) AS c FROM g GROUP BY ein)
@@ -195,8 +195,7 @@ avg(CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _FAITH + _ABROAD)} THE
 SELECT ein, CAST(least({' + '.join(f't{i}' for i in range(len(_FAITH)))}, 4) + least({' + '.join(f't{i}' for i in range(len(_FAITH), len(_FAITH + _ABROAD)))}, 3)
   + (CASE WHEN share > 0.5 THEN 3 ELSE 0 END) AS BIGINT) AS focus_points FROM b""")
 def focus_points(spark, sf_dir):
-    g = T.grants(spark, sf_dir)
-    return alignment.focus_points(g, g.select("ein", F.col("purpose").alias("text")), _FAITH, _ABROAD)
+    return alignment.focus_of_grants(T.grants(spark, sf_dir), _FAITH, _ABROAD)
 
 
 _WORDS = {"a": ["Widget", "Gear"], "b": ["Plate", "Bolt", "Ring"], "c": ["Red", "Hot"]}
@@ -209,9 +208,13 @@ h AS (SELECT ein, c, k, max(w) AS w FROM x JOIN d USING (t) GROUP BY 1, 2, 3)
 SELECT ein, CAST(least(sum(w) + CASE WHEN count(DISTINCT c) >= 3 THEN 5 WHEN count(DISTINCT c) = 2 THEN 3 ELSE 0 END, 30) AS BIGINT) AS keyword_points,
   string_agg(DISTINCT k, '; ' ORDER BY k) AS keyword_matches, CAST(count(*) AS INT) AS keyword_match_count FROM h GROUP BY ein""")
 def keyword_points(spark, sf_dir):
-    g = T.grants(spark, sf_dir)
-    texts = g.select("ein", F.col("grantee_name").alias("text"), F.lit(1).alias("weight")).unionAll(g.select("ein", "purpose", F.lit(2)))
-    return alignment.keyword_points(texts.distinct(), _WORDS)
+    return alignment.keyword_points(keyword_texts(T.grants(spark, sf_dir)), _WORDS)
+
+
+def keyword_texts(grants: DataFrame) -> DataFrame:
+    """Names and purposes of grants with their weights, from one pass over the grants."""
+    both = F.array(F.struct(F.col("grantee_name").alias("text"), F.lit(1).alias("weight")), F.struct(F.col("purpose").alias("text"), F.lit(2).alias("weight")))
+    return staged(grants.select("ein", F.explode(both).alias("t")).select("ein", "t.*").distinct(), "texts")
 
 
 @query(f"""WITH {GRANTS}, m AS (SELECT ein, grantee_name, min(id) AS first, max(amount * CASE WHEN tax_year >= 2000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS m FROM g WHERE contains(grantee_name, 'widget') GROUP BY 1, 2),
@@ -219,10 +222,20 @@ b AS (SELECT ein, count(*) AS n, count(*) FILTER (WHERE m > 25000) AS l, string_
 SELECT ein, CAST(least((CASE n WHEN 1 THEN 12 WHEN 2 THEN 20 WHEN 3 THEN 26 ELSE 30 + 2 * (n - 4) END) + least(2 * l, 5), 35) AS BIGINT) AS grantee_points, grantee_matches, n AS grantee_match_count
     FROM b""")
 def grantee_points(spark, sf_dir):
-    g = T.grants(spark, sf_dir).filter(F.col("grantee_name").contains("widget")).withColumnRenamed("grantee_name", "canonical")
+    return grantee_points_of(T.grants(spark, sf_dir))
+
+
+def grantee_points_of(grants: DataFrame) -> DataFrame:
+    g = grants.filter(F.col("grantee_name").contains("widget")).withColumnRenamed("grantee_name", "canonical")
     return alignment.grantee_points(g, F.when(F.col("tax_year") >= 2000, 1.2).otherwise(1.0))
 
 
+def all_points(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Grantee, keyword, international and focus points of all givers; the grants are joined once."""
+    g = staged(T.grants(spark, sf_dir), "all_grants")
+    return [grantee_points_of(g), alignment.keyword_points(keyword_texts(g), _WORDS), alignment.international_points(g), alignment.focus_of_grants(g, _FAITH, _ABROAD)]
+
+
 @query("""SELECT o_orderkey, CAST(least(floor((o_orderkey % 101) / 100.0::DOUBLE * 60 + CASE WHEN o_totalprice >= 100000 THEN 40 WHEN o_totalprice >= 50000 THEN 33 WHEN o_totalprice >= 25000 THEN 26 WHEN o_totalprice >= 10000 THEN 20 WHEN o_totalprice >= 5000 THEN 13 WHEN o_totalprice >= 1000 THEN 7 ELSE 0 END), 100) AS BIGINT) AS opportunity
   FROM orders""")
 def opportunity_score(spark, sf_dir):

@@ -22,7 +22,7 @@ _K = "CAST(ein AS BIGINT)"
 _NUMBER = f"'(555) 123-' || lpad(CAST({_K} % 10000 AS VARCHAR), 4, '0')"
 _PHONE = f"CASE {_K} % 3 WHEN 0 THEN {_NUMBER} WHEN 1 THEN '12' ELSE '' END"
 _SITE = f"CASE WHEN {_K} % 5 = 0 THEN '' ELSE 'www.' || {_K} || '.org' END"
-_REVENUE = f"CASE WHEN {_K} % 2 = 0 THEN assets * 2 END"
+_REVENUE = f"CASE WHEN {_K} % 2 = 0 AND {_K} % 10 <> 4 THEN assets * 2 END"
 _ODD = lambda v: f"CASE WHEN {_K} % 2 = 1 THEN {v} ELSE '' END"
 _ADDRESS = _ODD(f"{_K} || ' Main St, ' || ntee || CASE WHEN {_K} % 4 = 1 THEN ', 00501' ELSE ', CA' END")
 _ALL = f"""{FILINGS}, u AS (SELECT f.*, c_name AS name, c_mktsegment AS ntee, n_name AS home
@@ -147,9 +147,9 @@ def _chosen(spark, sf_dir):
     return X.wanted_members(X.list_members(_archives(spark, sf_dir)), index.filter(at % 2 == 0), index.filter(at % 4 == 0))
 
 
-@query(f"WITH {_ALL} SELECT count(*) FILTER (WHERE {_K} % 4 = 2) AS extracted, count(*) FILTER (WHERE {_K} % 4 = 0) AS skipped FROM u")
+@query(f"WITH {_ALL} SELECT count(*) FILTER (WHERE {_K} % 4 = 2) AS extracted, count(*) FILTER (WHERE {_K} % 4 = 0) AS skipped, bool_or({_K} % 4 = 2) AS some_bytes FROM u")
 def archive_counts(spark, sf_dir):
-    return X.member_counts(_chosen(spark, sf_dir)).select("extracted", "skipped")
+    return X.member_counts(_chosen(spark, sf_dir)).select("extracted", "skipped", (F.col("bytes") > F.col("extracted") * 100).alias("some_bytes"))
 
 
 @query(f"WITH {_ALL} SELECT ein, tax_year, name AS organization_name FROM u WHERE {_K} % 4 = 2")

@@ -57,13 +57,13 @@ def nearest_entity(spark, sf_dir):
     return best_near(n.join(e, n["p_name"] == e["entity"]).withColumn("score", F.lit(100))).select("id", "ein")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_name || ' ' || p_brand AS a FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT p_name || p_brand AS b FROM part WHERE p_partkey % 3 = 1)
+@query("""WITH a AS (SELECT DISTINCT p_name || ' ' || p_brand AS a FROM part), b AS (SELECT DISTINCT p_name || p_brand AS b FROM part)
 SELECT a, b FROM a, b WHERE abs(length(a) - length(b)) <= floor(0.105 * (length(a) + length(b)) + 1e-9) AND levenshtein(a, b) <= floor(0.105 * (length(a) + length(b)) + 1e-9)""")
 def similar_names(spark, sf_dir):
     """All pairs within the edits that a ratio of 0.895 allows."""
     p = T.table(spark, sf_dir, "part")
-    left = p.filter("p_partkey % 3 = 0").select(F.concat("p_name", F.lit(" "), "p_brand").alias("a"))
-    right = p.filter("p_partkey % 3 = 1").select(F.concat("p_name", "p_brand").alias("b"))
+    left = p.select(F.concat("p_name", F.lit(" "), "p_brand").alias("a"))
+    right = p.select(F.concat("p_name", "p_brand").alias("b"))
     return similar_pairs(left, right, "a", "b", 0.895)
 
 

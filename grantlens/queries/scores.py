@@ -22,8 +22,7 @@ _TOTAL = f"""a AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS ein
 
 @query(f"WITH {_TOTAL} SELECT * FROM al")
 def alignment_score(spark, sf_dir):
-    points = (f(spark, sf_dir) for f in (core.grantee_points, core.keyword_points, core.international_points, core.focus_points))
-    return alignment.alignment(T.universe(spark, sf_dir).select("ein"), *points)
+    return alignment.alignment(T.universe(spark, sf_dir).select("ein"), *core.all_points(spark, sf_dir))
 
 
 _WORDS = ", ".join(f"('{k}', '{c}')" for c, ks in vocab.CLUSTERS.items() for k in ks)

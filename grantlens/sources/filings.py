@@ -14,12 +14,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import object_id, phone, website, whole_number, year
+from ..functions.text import number_or_null, object_id, phone, website, whole_number, year
 
 SCHEMA = """object_id string, ein string, name string, city string, state string, year string, assets string, total_assets string, distributions string,
 site string, phone string, revenue string, invite string, has_application int, contact string, contact_address string, contact_phone string, email string,
 application_format string, deadlines string, restrictions string,
-grants array<struct<kind:string,name:string,city:string,state:string,country:string,is_foreign:int,amount:string,purpose:string>>,
+grants array<struct<kind:string,name:string,city:string,state:string,country:string,is_foreign:int,amount:string,other_amount:string,purpose:string>>,
 activities array<struct<description:string,expenses:string>>"""
 _COLUMNS = [c.split(" ")[0] for c in SCHEMA.replace("\n", " ").split("grants array")[0].replace(", ", ",").strip(", ").split(",")] + ["grants", "activities"]
 
@@ -38,10 +38,10 @@ ADDRESS_PARTS = [["AddressLine1Txt"], ["AddressLine2Txt"], ["CityNm"], ["StateAb
 
 
 def parse(data: bytes) -> dict | None:
-    """None for malformed text, a root without a namespace or a filing without an EIN."""
+    """None for malformed text, an encoding that is unknown or can't be read, a root without a namespace or a filing without an EIN."""
     try:
         root = ET.fromstring(data)
-    except ET.ParseError:
+    except (ET.ParseError, LookupError, ValueError):
         return None
     if not root.tag.startswith("{"):
         return None
@@ -66,15 +66,16 @@ def parse(data: bytes) -> dict | None:
             stack.extend((c, theirs) for c in reversed(node))
         return ""
 
-    def child(node, *names: str) -> str:
-        hits = (node.find(ns + n) for n in names) if node is not None else ()
+    def below(node, *paths: str) -> str:
+        """The first text at one of the paths, child by child."""
+        hits = (node.find("/".join(ns + s for s in p.split("/"))) for p in paths) if node is not None else ()
         return next((t for h in hits if h is not None and (t := (h.text or "").strip())), "")
 
     def address(node) -> str:
         """Of the first block that is there, even if it is empty."""
         blocks = (node.find(ns + a) for a in ADDRESSES) if node is not None else ()
         block = next((b for b in blocks if b is not None), None)
-        return ", ".join(t for names in ADDRESS_PARTS if (t := child(block, *names)))
+        return ", ".join(t for names in ADDRESS_PARTS if (t := below(block, *names)))
 
     ein = text(root, "Filer/EIN", "EIN") or (root.findtext(".//EIN") or "").strip()
     if not ein:
@@ -82,11 +83,12 @@ def parse(data: bytes) -> dict | None:
     grants = []
     for kind, group in GRANT_GROUPS:
         for g in root.iter(ns + group):
-            name = text(g, "RecipientBusinessName/BusinessNameLine1Txt", "RecipientBusinessName/BusinessNameLine1", "RecipientPersonNm")
+            name = below(g, "RecipientBusinessName/BusinessNameLine1Txt", "RecipientBusinessName/BusinessNameLine1", "RecipientPersonNm")
             if name:
-                abroad = next(find(g, "RecipientForeignAddress"), None)
-                country = "US" if abroad is None else text(abroad, "CountryCd", "Country") or "FOREIGN"
-                grants.append(dict(kind=kind, name=name, city=text(g, "CityNm", "City"), state=text(g, "StateAbbreviationCd", "State"), country=country, is_foreign=int(abroad is not None), amount=text(g, "Amt", "Amount"), purpose=text(g, "GrantOrContributionPurposeTxt", "PurposeOfGrantOrContriTxt")))
+                abroad = g.find(ns + "RecipientForeignAddress")
+                country = "US" if abroad is None else below(abroad, "CountryCd", "Country") or "FOREIGN"
+                city, state = (below(g, *(f"RecipientUSAddress/{n}" for n in names)) for names in (("CityNm", "City"), ("StateAbbreviationCd", "State")))
+                grants.append(dict(kind=kind, name=name, city=city, state=state, country=country, is_foreign=int(abroad is not None), amount=below(g, "Amt"), other_amount=below(g, "Amount"), purpose=below(g, "GrantOrContributionPurposeTxt", "PurposeOfGrantOrContriTxt")))
     activities = [dict(description=t, expenses="0") for a in ACTIVITY_TEXTS for n in root.iter(ns + a) if (t := (n.text or "").strip())]
     activities += [dict(description=t, expenses=text(n, "ExpenseAmt")) for a in PROGRAM_GROUPS for n in root.iter(ns + a) if (t := text(n, "DescriptionProgramSrvcAccomTxt", "ActivityOrMissionDesc"))]
     form = next(find(root, "ApplicationSubmissionInfoGrp"), None)
@@ -96,7 +98,7 @@ def parse(data: bytes) -> dict | None:
         year=text(root, "TaxYr", "TaxYear"), assets=text(root, "FMVAssetsEOYAmt"), total_assets=text(root, "TotalAssetsEOYAmt"),
         distributions=text(root, "TotDistriAndExpensesRevAndExpnssAmt"), site=text(root, "WebsiteAddressTxt"),
         phone=text(root, "Filer/PhoneNum", "BusinessOfficerGrp/PhoneNum") or own_phone(), revenue=text(root, "TotalRevAndExpnssAmt"), invite=text(root, "OnlyContriToPreselectedInd"),
-        has_application=int(form is not None), contact_address=address(form), grants=grants, activities=activities, **{k: child(form, v) for k, v in APPLICATION.items()},
+        has_application=int(form is not None), contact_address=address(form), grants=grants, activities=activities, **{k: below(form, v) for k, v in APPLICATION.items()},
     )
 
 
@@ -173,7 +175,7 @@ def winners(filings: DataFrame) -> DataFrame:
 def _profile() -> list[Column]:
     """What a filing says about how to apply, and its revenue."""
     return [
-        website(F.col("site")).alias("website"), phone(F.col("phone")).alias("phone"), F.when(F.col("revenue") != "", whole_number(F.col("revenue"))).alias("revenue"),
+        website(F.col("site")).alias("website"), phone(F.col("phone")).alias("phone"), number_or_null(F.col("revenue")).alias("revenue"),
         (F.upper("invite") == "X").cast("int").alias("invite_only"), F.col("has_application").alias("has_application_info"), F.col("contact").alias("contact_person"), "contact_address",
         phone(F.col("contact_phone")).alias("contact_phone"), F.col("email").alias("contact_email"), "application_format", "deadlines", "restrictions",
     ]
@@ -202,8 +204,10 @@ def invite_flags(filings: DataFrame) -> DataFrame:
 
 
 def grants(filings: DataFrame) -> DataFrame:
+    """One row for each grant. The amount is the second element's where the first one's is 0 or no number."""
     g = winners(filings).select("ein", "tax_year", F.posexplode("grants").alias("id", "g"))
-    return g.select("ein", "tax_year", "id", F.col("g.kind").alias("grant_kind"), F.col("g.name").alias("grantee_name"), "g.city", "g.state", "g.country", "g.is_foreign", whole_number(F.col("g.amount")).alias("amount"), "g.purpose")
+    first, other = whole_number(F.col("g.amount")), whole_number(F.col("g.other_amount"))
+    return g.select("ein", "tax_year", "id", F.col("g.kind").alias("grant_kind"), F.col("g.name").alias("grantee_name"), "g.city", "g.state", "g.country", "g.is_foreign", F.when(first != 0, first).otherwise(other).alias("amount"), "g.purpose")
 
 
 def activities(filings: DataFrame) -> DataFrame:

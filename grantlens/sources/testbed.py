@@ -59,7 +59,8 @@ def filings_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<f:RecipientBusinessName>"), _element("f:BusinessNameLine1Txt", g["grantee_name"]), F.lit("</f:RecipientBusinessName>"),
         F.when(g["is_foreign"] == 1, F.concat(F.lit("<f:RecipientForeignAddress>"), _element("f:CountryCd", g["country"]), F.lit("</f:RecipientForeignAddress>")))
         .otherwise(F.concat(F.lit("<f:RecipientUSAddress>"), _element("f:StateAbbreviationCd", g["state"]), F.lit("</f:RecipientUSAddress>"))),
-        _element("f:Amt", F.concat(g["amount"].cast("string"), F.lit(".75"))), _element("f:GrantOrContributionPurposeTxt", g["purpose"]),
+        F.when(g["id"] % 4 == 1, F.concat(_element("f:Amt", F.lit("0")), _element("f:Amount", F.concat(g["amount"].cast("string"), F.lit(".75")))))
+        .otherwise(_element("f:Amt", F.concat(g["amount"].cast("string"), F.lit(".75")))), _element("f:GrantOrContributionPurposeTxt", g["purpose"]),
         F.when(g["id"] % 3 == 0, "</f:GrantOrContriApprvForFutGrp>").otherwise("</f:GrantOrContributionPdDurYrGrp>"),
     )
     given = grants(spark, sf_dir).groupBy("ein", "tax_year").agg(F.sort_array(F.collect_list(F.struct("id", "grantee_name", "state", "country", "is_foreign", "amount", "purpose"))).alias("g"))
@@ -79,11 +80,23 @@ def filings_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         _if(k % 3 == 0, _element("f:PhoneNum", number)), F.lit("</f:Filer>"), _if(k % 3 == 1, F.concat(F.lit("<f:BusinessOfficerGrp>"), _element("f:PhoneNum", F.lit(" 12 ")), F.lit("</f:BusinessOfficerGrp>"))),
         _element("f:TaxYr", F.col("tax_year")), _element("f:FMVAssetsEOYAmt", F.when(k % 4 == 0, "0").otherwise(F.concat(F.col("assets").cast("string"), F.lit(".9")))), _element("f:TotalAssetsEOYAmt", F.col("assets") + 5),
         _element("f:TotDistriAndExpensesRevAndExpnssAmt", F.col("n_orders") * 10), _element("f:WebsiteAddressTxt", F.when(k % 5 == 0, " n/a ").otherwise(F.concat(F.lit("www."), k.cast("string"), F.lit(".org")))),
-        _if(k % 2 == 0, _element("f:TotalRevAndExpnssAmt", F.col("assets") * 2)), _if(k % 3 < 2, _element("f:OnlyContriToPreselectedInd", F.when(k % 3 == 0, "x").otherwise("1"))), _if(k % 2 == 1, form),
+        _if(k % 2 == 0, _element("f:TotalRevAndExpnssAmt", F.when(k % 10 == 4, "n/a").otherwise((F.col("assets") * 2).cast("string")))), _if(k % 3 < 2, _element("f:OnlyContriToPreselectedInd", F.when(k % 3 == 0, "x").otherwise("1"))), _if(k % 2 == 1, form),
         _element("f:DescriptionOfActivity", F.concat(F.lit("Supports "), F.col("ntee"))), F.lit("<f:ProgramSrvcAccomplishmentGrp>"), _element("f:DescriptionProgramSrvcAccomTxt", F.lit("Program")), _element("f:ExpenseAmt", F.col("n_orders")),
         F.lit("</f:ProgramSrvcAccomplishmentGrp>"), F.coalesce(F.array_join(F.transform("g", paid), ""), F.lit("")), F.lit("</f:Return>"),
     )
-    return f.select(F.concat(F.lit("/raw/"), "ein", F.lit("_"), F.col("tax_year").cast("string"), F.lit("_public.xml")).alias("path"), text.cast("binary").alias("content"))
+    whole = f.select(F.concat(F.lit("/raw/"), "ein", F.lit("_"), F.col("tax_year").cast("string"), F.lit("_public.xml")).alias("path"), text.cast("binary").alias("content"))
+    return whole.unionAll(_odd_xml(spark, sf_dir))
+
+
+def _odd_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no reader gets a filing from: encodings that are unknown or not for bytes, and a byte that is not UTF-8."""
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('<f:Return xmlns:f="urn:filing"><f:Filer><f:CityNm>x'), F.lit("</f:CityNm></f:Filer></f:Return>")).cast("binary")
+    named = lambda name: F.concat(F.lit(f'<?xml version="1.0" encoding="{name}"?>').cast("binary"), body)
+    spoilt = F.concat(F.lit('<f:Return xmlns:f="urn:filing"><f:Filer><f:CityNm>').cast("binary"), F.unhex(F.lit("E9")), F.lit("</f:CityNm></f:Filer></f:Return>").cast("binary"))
+    content = F.when(k % 10 == 0, named("foo")).when(k % 10 == 5, named("shift_jis")).when(k % 10 == 7, spoilt)
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/raw/"), (k * 2 + 1).cast("string"), F.lit("_odd_public.xml")).alias("path"), content.alias("content"))
+    return rows.filter("content IS NOT NULL")
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
