@@ -9,8 +9,8 @@ whose shuffled rows grow in proportion to the input:
 2. runs whose anchor occurs once can hold no recurring window and go. Of the others each
    distinct run (anchor and fragment, two 64-bit hashes) is cut out of its document as text,
    and out of a second document if it occurs there too;
-3. these texts meet in shards by anchor. There ``confirm`` compares the windows as
-   text, and ``locate`` says which spans of each run they cover. A shard holds a
+3. these texts meet in shards by anchor. There ``locate`` compares the windows as
+   text and says which spans of each run recurring ones cover. A shard holds a
    bounded number of runs; an anchor with more is split over several shards, which exchange the
    128-bit fingerprints of their windows, each once a shard, in a second round;
 4. the spans of each distinct run go to all documents that have it.
@@ -164,8 +164,13 @@ def spans_of(hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _by_spans(bodies: list[bytes], hit: np.ndarray, per: np.ndarray) -> list[list[tuple[int, int]]]:
-    return spans_of(hit, per)
+def by_confirming(confirm: Callable) -> Callable:
+    """``locate`` for a ``confirm(keys, per)`` that says of each window in its place whether it occurs twice in the shard."""
+
+    def run(bodies: list[bytes], keys: np.ndarray, per: np.ndarray, known: np.ndarray) -> list[list[tuple[int, int]]]:
+        return spans_of(confirm(keys, per) | known, per)
+
+    return run
 
 
 def find_runs(keyed: DataFrame, unit: str, width: int, k: int) -> DataFrame:
@@ -182,12 +187,11 @@ def run_texts(keyed: DataFrame, placed: DataFrame, unit: str, width: int) -> Dat
     return texts.select("text", "runs").mapInArrow(releasing(_bodies(unit, width)), _SIZED)
 
 
-def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable, locate: Callable = _by_spans, shard_runs: int = SHARD_RUNS, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, unit: str, width: int, k: int, locate: Callable, shard_runs: int = SHARD_RUNS, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans k1, k2, spans array<struct<a, b>>): units [a, b) of a document are covered.
 
-    ``confirm(keys, per)`` gets the windows of one shard and says which occur twice
-    there; ``locate(bodies, hit, per)`` gives for each body the runs [a, b] of windows
-    that confirmed ones cover. Spans of one document may overlap. Null texts count as empty.
+    ``locate(bodies, keys, per, known)`` gets the texts of one shard, their windows and which of those are known to occur in
+    another shard, and gives for each text the runs [a, b] of windows that are known or occur twice in the shard. Spans of one document may overlap. Null texts count as empty.
     ``held`` (anchor, fragment, body) are runs of other documents, which count as occurrences too.
     """
     keyed = _keyed(docs)
@@ -224,11 +228,9 @@ def find_spans(docs: DataFrame, unit: str, width: int, k: int, confirm: Callable
     def judged(table: pa.Table, also: np.ndarray) -> pa.Table:
         texts = table.column("body").to_pylist()
         keys, per = window_keys(texts, unit, width)
-        hit = confirm(keys, per)
-        if len(also):
-            hit |= np.isin(fingerprints(texts, unit, width), also)
+        known = np.isin(fingerprints(texts, unit, width), also) if len(also) else np.zeros(len(keys), bool)
         # of a run that came twice the first
-        run, spans, done = list(zip(table.column("anchor").to_pylist(), table.column("fragment").to_pylist())), locate(texts, hit, per), {}
+        run, spans, done = list(zip(table.column("anchor").to_pylist(), table.column("fragment").to_pylist())), locate(texts, keys, per, known), {}
         for r, found in zip(run, spans):
             if found:
                 done.setdefault(r, found)

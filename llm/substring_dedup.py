@@ -12,30 +12,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing
-from .repeats import CHUNK, SHARD_RUNS, find_spans, merged, spans_of
+from .repeats import CHUNK, SHARD_RUNS, find_spans, merged
 
 #: Words of a window, and of the grams that bring possible matches together.
 WIDTH, GRAM = 35, 8
 
 
-def confirm(keys: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Which windows occur twice in the shard."""
-    _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return n[back] > 1
+def passages(keys: np.ndarray, per: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """The recurring passages of a shard, each once: runs [a, b] of windows, numbered over all texts, at one place.
+
+    A window recurs if it occurs twice or is known to occur in another shard. Two neighbours belong to one passage
+    if each occurrence of one goes with one of the other; so a passage is whole wherever one of its windows is.
+    """
+    if not len(keys):
+        return []
+    _, first, back, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    wanted = n > 1
+    wanted[back[known]] = True
+    inner = np.ones(len(keys), bool)
+    inner[np.cumsum(per) - 1] = False
+    at = np.flatnonzero(inner)
+    pair = back[at] * np.int64(len(n)) + back[at + 1]
+    _, same, together = np.unique(pair, return_inverse=True, return_counts=True)
+    joined = np.zeros(len(keys), bool)
+    joined[at] = (together[same] == n[back[at]]) & (together[same] == n[back[at + 1]])
+    places = np.sort(first[wanted])
+    if not len(places):
+        return []
+    begins = np.append(True, (np.diff(places) > 1) | ~joined[places[:-1]])
+    ends = np.append(begins[1:], True)
+    return list(zip(places[begins].tolist(), places[ends].tolist()))
 
 
-def locate(bodies: list[bytes], hit: np.ndarray, per: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
+def locate(bodies: list[bytes], keys: np.ndarray, per: np.ndarray, known: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """Where the confirmed passages of a shard occur in its texts: runs [a, b] of windows of each text.
 
-    The passages, the stretches of confirmed windows, are compiled as sequences of word
-    numbers into one automaton, through which every text of the shard streams; what it finds is the answer.
+    Each passage, known from one place only, is compiled as a sequence of word numbers into one automaton, through
+    which every text of the shard streams; all places come from what it finds.
     """
     number = Numbering()
     texts = [tuple(map(number.__getitem__, b.split(b" "))) for b in bodies]
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for text, found in zip(texts, spans_of(hit, per)):
-        for a, b in found:
-            auto.add_word(text[a : b + width])
+    begin = np.cumsum(per) - per
+    for a, b in passages(keys, per, known):
+        text = int(np.searchsorted(begin, a, "right")) - 1
+        start = a - int(begin[text])
+        auto.add_word(texts[text][start : start + b - a + width])
     if not len(auto):
         return [[] for _ in texts]
     auto.make_automaton()
@@ -72,7 +94,7 @@ def remove_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     texts shorter than ``width`` words are never cut; equal rows are copies of
     each other and both go; an empty table gives no rows; very long texts are searched whole, in slices.
     """
-    keyed, spans = find_spans(docs, "words", width, gram, confirm, partial(locate, width=width), shard_runs)
+    keyed, spans = find_spans(docs, "words", width, gram, partial(locate, width=width), shard_runs)
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(releasing(_clean), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<a:int,b:int>>")

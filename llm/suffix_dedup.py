@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import releasing, staged
-from .repeats import SHARD_RUNS, _keyed, find_runs, find_spans, merged, run_texts
+from .repeats import SHARD_RUNS, _keyed, by_confirming, find_runs, find_spans, merged, run_texts
 
 #: Bytes of a match, and of the grams that bring possible matches together.
 WIDTH, GRAM = 200, 40
@@ -98,7 +98,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
 
 
 def _cut_out(docs: DataFrame, width: int, gram: int, shard_runs: int, held: DataFrame | None) -> DataFrame:
-    keyed, spans = find_spans(docs, "bytes", width, gram, confirm, shard_runs=shard_runs, held=held)
+    keyed, spans = find_spans(docs, "bytes", width, gram, by_confirming(confirm), shard_runs=shard_runs, held=held)
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(releasing(_clean), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a:int,b:int>>")

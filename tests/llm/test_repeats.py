@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from llm import repeats
-from llm.substring_dedup import locate, remove_phrases
+from llm.substring_dedup import locate, passages, remove_phrases
 from llm.suffix_dedup import LogIndex, levels, remove_known, remove_repeats
 
 
@@ -69,10 +69,37 @@ def test_empty_table(spark):
 
 
 def test_the_automaton_gives_the_answer():
-    bodies, per = [b"a b c d e", b"x b c d y"], np.array([3, 3])
-    hit = np.array([False, True, False, False, False, False])  # b c d, confirmed at one place
-    assert locate(bodies, hit, per, width=3) == [[(1, 1)], [(1, 1)]]
-    assert locate(bodies, np.zeros(6, bool), per, width=3) == [[], []]
+    bodies = [b"a b c d e", b"x b c d y", b"q b c d e"]
+    keys, per = repeats.window_keys(bodies, "words", 3)
+    none = np.zeros(len(keys), bool)
+    assert passages(keys, per, none) == [(1, 1), (2, 2)]  # b c d at one place, c d e likewise: not every b c d goes with a c d e
+    assert sorted(map(sorted, locate(bodies, keys, per, none, width=3))) == [[(1, 1)], [(1, 1), (2, 2)], [(1, 1), (2, 2)]]
+    assert locate(bodies[:1], *repeats.window_keys(bodies[:1], "words", 3), none[:3], width=3) == [[]]
+    assert locate(bodies[:1], *repeats.window_keys(bodies[:1], "words", 3), np.array([True, False, False]), width=3) == [[(0, 0)]]
+
+
+def test_without_the_automaton_places_are_missing():
+    """What is compiled is known from one place each; the automaton finds exactly all recurring windows."""
+    rng = random.Random(4)
+    lost = 0
+    for _ in range(40):
+        words = [[rng.choice("abc") for _ in range(rng.randrange(5, 40))] for _ in range(6)]
+        bodies = [" ".join(w).encode() for w in words]
+        keys, per = repeats.window_keys(bodies, "words", 5)
+        none, want = np.zeros(len(keys), bool), brute(words, 5)
+        covered = [bytearray(len(w)) for w in words]
+        for c, found in zip(covered, locate(bodies, keys, per, none, width=5)):
+            for a, b in found:
+                c[a : b + 5] = b"\1" * (b + 5 - a)
+        assert covered == want
+        only, hit = [bytearray(len(w)) for w in words], none.copy()
+        for a, b in passages(keys, per, none):
+            hit[a : b + 1] = True
+        for c, found in zip(only, repeats.spans_of(hit, per)):
+            for a, b in found:
+                c[a : b + 5] = b"\1" * (b + 5 - a)
+        lost += only != want
+    assert lost > 20
 
 
 def test_levels_fall_geometrically():
