@@ -15,8 +15,8 @@ from .repeats import word_units
 
 #: Documents that the field is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_DOCS = 4000
-#: Lines that these have together, at most: what the driver fits on is bounded by it.
-TRAIN_LINES = 200_000
+#: Lines that these have together, at most: what the driver fits on is bounded by it. Of these one document may make one part in so many.
+TRAIN_LINES, LONGEST = 200_000, 100
 #: Lines whose features with their neighbours' are held at a time.
 LINES = 1 << 14
 STEPS, RATE, SHRINK = 200, 0.1, 1e-3
@@ -184,8 +184,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Field | None:
     """Fits the field on labelled documents that are not held out: ``most`` at most, with ``most_lines`` lines at most.
 
-    They come in the order of a hash of their ids; those whose lines would pass the bound are left
-    out. Null labels and documents without a label are not used; of several labels of a
+    They come in the order of a hash of their ids, without those that alone make over a hundredth of the lines; so a
+    long document shuts out no other, and a hundred at least fit in. Those whose lines would pass the bound are left out. Null labels and documents without a label are not used; of several labels of a
     document the smallest counts. None if there is no document of either label.
     """
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"), (F.regexp_count(text, F.lit("\n")) + 1).alias("lines")).join(F.broadcast(sample), "doc_id")
     # ids, hashes and counts only: the texts stay where they are
     order = F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("hash")
-    first = rows.select("doc_id", "hash", "lines").distinct().orderBy(*order).limit(most)
+    first = rows.filter(F.col("lines") <= max(1, most_lines // LONGEST)).select("doc_id", "hash", "lines").distinct().orderBy(*order).limit(most)
     so_far = F.sum("lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     chosen = first.withColumn("so_far", so_far).filter(F.col("so_far") <= most_lines).select("doc_id", "hash")
     found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("quality").alias("quality"), F.first("text").alias("text"))
