@@ -66,7 +66,7 @@ def compact(spark: SparkSession, index: str, buckets: int | None = None) -> str:
 
 def _groups(rows: DataFrame) -> DataFrame:
     """digest, best (the row that stays: most code points, then smallest doc_id, null last, then the first row), n."""
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))).alias("best")
+    best = F.min(F.struct((-F.col("chars")).alias("neg_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     return rows.groupBy("digest").agg(best, F.count("*").alias("n"))
 
 
@@ -75,7 +75,7 @@ def _append(groups: DataFrame, index: str, batch: str, buckets: int) -> None:
     spark = groups.sparkSession
     with _sorted_buckets(spark):
         fresh = groups.hint("merge").join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
-        new = staged(fresh.select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.chars").alias("chars"), F.lit(batch).alias("batch")), "new")
+        new = staged(fresh.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.neg_chars")).alias("chars"), F.lit(batch).alias("batch")), "new")
     _write(new.repartition(buckets, "digest"), index, buckets, "append")
 
 
@@ -83,7 +83,7 @@ def _decided(rows: DataFrame, groups: DataFrame, index: str, batches: list[str])
     """What the index says about each row; a row of ``batches`` stays if the index took it up."""
     with _sorted_buckets(rows.sparkSession):
         held = rows.sparkSession.table(index).select("digest", "keep_id", "batch").hint("merge").join(groups.hint("merge"), "digest")
-        first = F.when(F.col("batch").isin(batches), -F.col("best.neg_row")).alias("first_row")
+        first = F.when(F.col("batch").isin(batches), F.col("best.row")).alias("first_row")
         held = staged(held.select("digest", "keep_id", F.col("n").alias("group_size"), first), "decided")
     kept = F.coalesce(F.col("row") == F.col("first_row"), F.lit(False))
     return rows.join(held, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "chars", "row")
@@ -118,7 +118,7 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or default_buckets(spark)
     rows = digests(docs)
     groups = staged(_groups(rows), "groups")
-    mean = groups.agg(F.sum(F.col("best.chars") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    mean = groups.agg(F.sum(-F.col("best.neg_chars") * F.col("n")) / F.sum("n")).first()[0] or 0.0
     index = create_index(spark, buckets=buckets)
     long = rows.filter(F.col("chars") >= mean)
     _append(_groups(long), index, "long", buckets)

@@ -31,6 +31,12 @@ def test_exact_dedup(spark):
         assert [r.doc_id for r in mine if r.kept] == [min(members)[2]]
 
 
+def test_exact_dedup_of_extreme_ids(spark):
+    rows = [(-(2**63), "a"), (2**63 - 1, "a"), (None, "a"), (0, "b"), (-(2**63), "b c")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.kept) for r in got) == sorted([(False, -(2**63), -(2**63), True), (False, 2**63 - 1, -(2**63), False), (True, 0, -(2**63), False), (False, 0, 0, True), (False, -(2**63), -(2**63), True)])
+
+
 def test_exact_dedup_appends_to_the_index(spark):
     index = exact_dedup.create_index(spark)
     df = spark.createDataFrame(ROWS, SCHEMA)
