@@ -30,7 +30,7 @@ SKETCHES, ORDERED = 48, 3
 #: Order of comparing only: who is not similar to a leader meets further leaders in finer buckets, those of one more sketch, so far on, so often.
 FURTHER, DEPTH = (1, 3), 8
 #: Nodes and bytes of words in one block of a bucket (on average); bins of the counts that bound a pair's edits.
-BLOCK, BLOCK_BYTES, BINS = 128, 4 << 20, 128
+BLOCK, BLOCK_BYTES, BINS = 1024, 4 << 20, 128
 #: Longer texts are aligned by diagonals, shorter ones by bits.
 BITS = 4096
 CHUNK = 1 << 20
@@ -323,18 +323,27 @@ def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, words: DataFram
     """Links between the roots of nodes that share a bucket and are in different classes so far: every such pair is compared.
 
     Buckets are split by bands of length (a node is a guest in the band below its own,
-    so that all pairs of fitting length meet once), and those into blocks that meet in pairs.
+    so that all pairs of fitting length meet once), and those into blocks that meet in pairs. The largest class of a
+    band has blocks of its own, which meet those of the others only: what is linked already is not compared again, so
+    that a large class with few strangers costs as many rows as it has nodes.
     """
     near = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     band = F.floor(F.log(F.col("n_words").cast("double")) / (math.log(1 / similarity) + 1e-6))
     own = near.select("key", "nth", "node", "root", "n_words", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band - 1).alias("band"), F.lit(True).alias("guest")))).alias("at"))
     own = staged(own.select("key", "nth", "node", "root", "n_words", "at.band", "at.guest"), "bands")
-    mixed = own.groupBy("key", "band").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"), (F.min("root") != F.max("root")).alias("mixed"), F.min("guest").alias("guests"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(4 * F.col("total") / BLOCK_BYTES))
-    mixed = mixed.filter("mixed and not guests").select("key", "band", blocks.alias("blocks"))
-    dealt = own.join(mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.withColumn("one", F.least("salt", "with")).withColumn("other", F.greatest("salt", "with")).drop("with", "blocks")
+    by_class = own.groupBy("key", "band", "root").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"), F.min("guest").alias("guests"))
+    largest = F.max(F.struct("n", "total", "root"))
+    mixed = by_class.groupBy("key", "band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("guests").alias("guests"), largest.alias("main")).filter("classes > 1 and not guests")
+    blocks = lambda n, total: F.greatest(F.ceil(n / BLOCK), F.ceil(4 * total / BLOCK_BYTES))
+    mains = blocks(F.col("main.n"), F.col("main.total"))
+    others = blocks(F.col("n") - F.col("main.n"), F.col("total") - F.col("main.total"))
+    mixed = mixed.select("key", "band", F.col("main.root").alias("main"), mains.alias("mains"), others.alias("others"))
+    # the main class is dealt to the blocks from 0 on, the others to those behind
+    dealt, hashed = own.join(mixed, ["key", "band"]), F.xxhash64("node", "key")
+    is_main = F.col("root") == F.col("main")
+    dealt = dealt.withColumn("salt", F.when(is_main, F.pmod(hashed, F.col("mains"))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others"))))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)))
+    met = met.withColumn("one", F.least("salt", "with")).withColumn("other", F.greatest("salt", "with")).drop("with", "main", "mains", "others")
     full = met.join(nodes.select("node", "sketch"), "node").join(words, "node")
     return staged(full.groupBy("key", "band", "one", "other").applyInArrow(_within(similarity), "a long, b long"), "across")
 

@@ -309,3 +309,30 @@ def test_pipeline(spark):
     assert all(len(r.ids) == r.length for r in packed)
     whole = corpus_pipeline.run(spark, SF)
     assert sum(r.length for r in whole.collect()) == sum(r.length for r in packed)
+
+
+def test_a_long_document_shuts_out_no_other(spark):
+    """One document of more lines than the training sample takes leaves the field as it is without it."""
+    rng = random.Random(12)
+    good, bad = "A plain sentence about rivers. It ends well.", "BUY!!! $$$ <<click>> NOW |||"
+    rows = [(i, "\n".join(rng.choice([good, good, "Another line of prose here."]) if i % 2 else bad for _ in range(4))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1000 + i, 1) for i in range(9)], "doc_id long, quality int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    long = spark.createDataFrame([(1000 + i, "line\n" * 1001) for i in range(9)], "doc_id long, text string")
+    one, other = quality.train(plain, labels, most_lines=100_000), quality.train(plain.unionAll(long), labels, most_lines=100_000)
+    assert one is not None and np.allclose(one.weights, other.weights)
+    scores = {r.doc_id: r.score for r in quality.score(plain, other).collect()}
+    assert min(scores[i] for i in scores if i % 2) > max(scores[i] for i in scores if not i % 2)
+
+
+def test_a_large_class_meets_strangers_only(spark, monkeypatch):
+    """All links of a bucket with one large class and many strangers are found, whatever the blocks' size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.05 else f"x{rng.randrange(999)}" for w in base) for _ in range(40)]
+    others = [" ".join(base[:30] + [f"y{i}_{j}" for j in range(30)]) for i in range(12)]
+    pairs = [o.replace("_3", "_z") for o in others]
+    df = spark.createDataFrame(list(enumerate(texts + others + pairs)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert {got[i] for i in range(40)} == {0} and all(got[40 + i] == got[52 + i] == 40 + i for i in range(12))
