@@ -348,7 +348,7 @@ def _across(rows: DataFrame, roots: DataFrame, nodes: DataFrame, words: DataFram
     return staged(full.groupBy("key", "band", "one", "other").applyInArrow(_within(similarity), "a long, b long"), "across")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, n: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, n: int = SKETCHES, ordered: int = ORDERED, depth: int = DEPTH) -> DataFrame:
     """doc_id, class_id, class_size, kept, digest: which documents are near copies of each other.
 
     Equal texts are one node from the start. Nodes that agree in a sketch share a
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     ties by a hash), with which each other node is aligned, and those that are not
     similar to it go on to finer buckets. Then all pairs of a bucket that are not in
     one class yet are compared, so that no similar pair that shares a sketch stays apart. Classes are the
-    connected components; class_id is the smallest doc_id in them (null last), and that
+    connected components, whatever ``depth``, the rounds of leaders at most, which only sets the order of comparing; class_id is the smallest doc_id in them (null last), and that
     document is kept. Very long texts are compared whole; more columns are not used. Texts below ``shingle`` words, null ones too (as empty), are only
     near copies of equal texts; rows with equal doc_id and text are
     one document and fare alike; an empty table gives no rows.
@@ -374,14 +374,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     # the company a node keeps in all its buckets: who has most is nearest to the text that a group's copies came from
     rows = staged(rows.join(crowded, "key"), "crowded")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-    rows, depth = staged(rows.drop("n").join(company, "node"), "buckets"), 0
+    rows, done = staged(rows.drop("n").join(company, "node"), "buckets"), 0
     coarse = rows.select("key", "nth", "node", "n_words")
     wanted = rows.select("node").distinct().join(nodes.select("node", "digest", "rep"), "node")
     here = (flat["digest"] == wanted["digest"]) & flat["doc_id"].eqNullSafe(wanted["rep"])
     words = staged(flat.join(wanted.select("node", "digest", "rep"), here).select("node", "text").mapInArrow(releasing(_words), "node long, words binary").dropDuplicates(["node"]), "words")
 
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    while depth < DEPTH:
+    while done < depth:
         order = F.struct((-F.col("company")).alias("o"), F.xxhash64("node").alias("h"), "node", "n_words")
         led = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("l")).filter("n > 1")
         led = staged(led.select("key", F.col("l.node").alias("leader"), F.col("l.n_words").alias("leader_words")), "led")
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         links = links.unionByName(staged(_stars(judged), "stars"))
         linked = judged.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         rest = met.filter(F.col("node") != F.col("leader")).join(linked, ["node", "leader"], "left_anti").select("key", "node", "n_words", "nth", "company")
-        depth += 1
+        done += 1
         finer = rest.join(nodes.select("node", "sketch"), "node").withColumn("nth", F.explode(F.array(*((F.col("nth") + i) % n for i in FURTHER))))
         rest = finer.select(F.xxhash64("key", "nth", F.element_at("sketch", F.col("nth") + 1)).alias("key"), "node", "n_words", "nth", "company")
         rows = staged(rest, "rest")

@@ -51,7 +51,8 @@ def op7_quality_classifier(spark, sf_dir):
 
 
 def op9_near_dedup(spark, sf_dir):
-    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # few rounds of leaders: each costs some ten stages, however little is left to compare
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), depth=4)
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 

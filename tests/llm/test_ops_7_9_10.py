@@ -335,4 +335,5 @@ def test_a_large_class_meets_strangers_only(spark, monkeypatch):
     pairs = [o.replace("_3", "_z") for o in others]
     df = spark.createDataFrame(list(enumerate(texts + others + pairs)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, depth=1).collect()} == got
     assert {got[i] for i in range(40)} == {0} and all(got[40 + i] == got[52 + i] == 40 + i for i in range(12))
