@@ -1,9 +1,8 @@
 """Approximate nearest neighbours (operator 10): collision-counting hashing.
 
 Every projection is one sorted array. A query's window around its own projection
-widens from level to level (virtual rehashing: nothing is hashed anew); the windows'
-bounds in the sorted arrays say who collides;
-vectors with enough collisions are verified on the original vectors.
+widens from level to level (virtual rehashing: nothing is hashed anew), and who
+enters it collides once more; vectors with enough collisions are verified on the original vectors.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ PROJECTIONS, SEED = 128, 7
 #: Share of the projections in which a vector must collide, the windows' first half-width
 #: (in units of the largest norm) and growth, and the share of a block's vectors to verify.
 COLLISIONS, WIDTH, GROWTH, VERIFY = 0.7, 0.25, 1.25, 0.08
-#: Vectors whose collisions are counted at a time.
-SLICE = 4096
+#: Vectors whose collisions are counted at a time, and how much more the visit of one place costs than a look at it in passing.
+SLICE, VISIT = 4096, 8
 #: Vectors and queries in one block (on average).
 BLOCK, QUERIES = 16384, 4096
 
@@ -58,50 +57,84 @@ class Block:
         p = self.near @ self.directions[:-1] + rest[:, None] * self.directions[-1]
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
-        # where each vector stands in each sorted array
+        # which vector stands where in each sorted array, and the reverse
+        self.order = np.ascontiguousarray(order.T)
         self.rank = np.uint16 if len(ids) <= 65535 else np.uint32
         self.place = np.empty(self.sorted.shape, self.rank)
         np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=self.rank)[None, :], axis=1)
 
+    def inside(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many windows hold each vector."""
+        counts = np.empty(len(self.ids), np.int64)
+        low, high = (x.astype(self.rank)[:, None] for x in (low, high))
+        for a in range(0, len(counts), SLICE):
+            held = self.place[:, a : a + SLICE] - low < high - low
+            counts[a : a + SLICE] = held.view(np.uint8).sum(axis=0, dtype=np.uint16)
+        return counts
+
+    def between(self, low: np.ndarray, high: np.ndarray, wider_low: np.ndarray, wider_high: np.ndarray) -> np.ndarray:
+        """How many windows hold each vector only once they are wider."""
+        ends = [o[a:b] for o, a, b in zip(self.order, wider_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high)]
+        return np.bincount(np.concatenate(ends), minlength=len(self.ids))
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int, collisions: float, width: float, growth: float, verify: float):
-        """Yields (ids, scores) of each query: a level that brings enough vectors, and less than twice as many if there is one, is verified."""
+        """Yields (ids, scores) of each query: the first level that brings enough vectors is verified.
+
+        From one level to the next only what enters or leaves the windows at either end is counted,
+        unless that is a large part of the arrays. Queries begin at the level where the one before ended.
+        """
         n, m = len(self.ids), len(self.sorted)
         enough = top + 1 + int(np.ceil(verify * n))
-        need = int(np.ceil(collisions * m))
+        need = max(1, int(np.ceil(collisions * m)))
         asked = scaled(queries, np.abs(queries).max(axis=1)[:, None])
         centres = (asked * (self.norm / np.sqrt(np.einsum("ij,ij->i", asked, asked)))[:, None]) @ self.directions[:-1]
-        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        counts = np.empty(n, np.uint8 if m < 256 else np.uint16)
+        windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-        def level(k: int) -> tuple[np.ndarray, np.ndarray]:
-            """Bounds of the windows of level k in the sorted arrays, for all queries."""
+        def level(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Bounds of the windows of level k in the sorted arrays, and how many places they hold, for all queries."""
             if k not in windows:
                 w = width * self.norm * growth**k
-                windows[k] = tuple(np.stack([np.searchsorted(self.sorted[j], centres[:, j] + d * w, side) for j in range(m)], axis=1).astype(self.rank) for d, side in ((-1, "left"), (1, "right")))
+                low, high = (np.stack([np.searchsorted(self.sorted[j], centres[:, j] + d * w, side) for j in range(m)], axis=1) for d, side in ((-1, "left"), (1, "right")))
+                windows[k] = low, high, (high - low).sum(axis=1)
             return windows[k]
 
-        def collided(i: int, k: int) -> np.ndarray:
-            low, high = (x[i][:, None] for x in level(k))
-            for a in range(0, n, SLICE):
-                inside = self.place[:, a : a + SLICE] - low < high - low
-                inside.view(np.uint8).sum(axis=0, dtype=counts.dtype, out=counts[a : a + SLICE])
-            return np.flatnonzero(counts >= need)
+        def few(places: int) -> bool:
+            """So few that it costs less to visit them one by one than to look at the whole arrays."""
+            return places * VISIT < n * m
+
+        def moved(i: int, k: int, to: int, counts: np.ndarray) -> np.ndarray:
+            """The collisions at a level from those at the one beside it."""
+            if not few(abs(level(to)[2][i] - level(k)[2][i])):
+                return self.inside(*(x[i] for x in level(to)[:2]))
+            change = self.between(*(x[i] for v in sorted((k, to)) for x in level(v)[:2]))
+            return counts + change if to > k else counts - change
+
+        def first(i: int, k: int) -> tuple[int, np.ndarray]:
+            """The first level that brings enough vectors, and these; k is where to begin."""
+            # so few places can't hold enough vectors
+            while level(k)[2][i] < enough * need:
+                k += 1
+            low, high, places = (x[i] for x in level(k))
+            middle = (low + high) // 2
+            counts = self.between(middle, middle, low, high) if few(places) else self.inside(low, high)
+            found = np.flatnonzero(counts >= need)
+            if len(found) < enough:
+                # the windows grow until they hold all, so this ends
+                while len(found) < enough:
+                    counts, k = moved(i, k, k + 1, counts), k + 1
+                    found = np.flatnonzero(counts >= need)
+                return k, found
+            while k and level(k - 1)[2][i] >= enough * need:
+                counts = moved(i, k, k - 1, counts)
+                less = np.flatnonzero(counts >= need)
+                if len(less) < enough:
+                    break
+                found, k = less, k - 1
+            return k, found
 
         k = 0
         for i, q in enumerate(queries):
-            if enough >= n:
-                found = np.arange(n)
-            else:
-                found = collided(i, k)
-                while len(found) >= 2 * enough and k > 0:
-                    less = collided(i, k - 1)
-                    if len(less) < enough:
-                        break
-                    found, k = less, k - 1
-                # the windows grow until they hold all, so this ends
-                while len(found) < enough:
-                    k += 1
-                    found = collided(i, k)
+            k, found = first(i, k) if enough < n else (k, np.arange(n))
             found = found[self.ids[found] != query_ids[i]]
             rough = self.near[found] @ asked[i]
             if len(found) > top:

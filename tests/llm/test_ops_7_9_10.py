@@ -212,12 +212,35 @@ def test_neighbours_in_a_large_block():
     x = np.random.default_rng(4).normal(size=(70_000, 4))
     peak = np.abs(x).max()
     here = neighbours.Block(np.arange(len(x)), x, peak, float(np.sqrt((neighbours.scaled(x, peak) ** 2).sum(axis=1).max())), 8, 1)
-    assert (np.sort(here.place, axis=1) == np.arange(len(x))).all()
+    assert (np.sort(here.order, axis=1) == np.arange(len(x))).all()
     (near, score), = here.search(np.array([-1]), x[69_990:69_991], 5, 0.7, 0.25, 1.25, 0.12)
     want = np.sort(neighbours.exact(x, x[69_990]))[::-1][:5]
     assert len(near) == 5 and score[0] <= want[0] and (score == neighbours.exact(x[near], x[69_990])).all()
 
 
+def test_growing_windows_count_as_whole_ones(monkeypatch):
+    """What is verified is who collides at the first level that brings enough, counted anew at each level."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 12))
+    x[10:40] = x[3]
+    norm = float(np.sqrt((neighbours.scaled(x, np.abs(x).max()) ** 2).sum(axis=1).max()))
+    here = neighbours.Block(np.arange(800), x, np.abs(x).max(), norm, 32, 2)
+    seen = []
+    monkeypatch.setattr(neighbours, "exact", lambda v, q: (seen.append(v), v @ q)[1])
+    asked = rng.normal(size=(25, 12))
+    # all that is found is ranked
+    list(here.search(np.full(25, -1), asked, 700, 0.7, 0.05, 1.2, 0.05))
+    near = neighbours.scaled(asked, np.abs(asked).max(axis=1)[:, None])
+    centres = near * (norm / np.sqrt((near**2).sum(axis=1)))[:, None] @ here.directions[:-1]
+    rest = np.sqrt(np.maximum(norm**2 - (here.near**2).sum(axis=1), 0))
+    p = here.near @ here.directions[:-1] + rest[:, None] * here.directions[-1]
+    enough = 701 + 40
+    for c, got in zip(centres, seen):
+        widths = (0.05 * norm * 1.2**k for k in range(100))
+        whole = next(f for w in widths if len(f := np.flatnonzero((np.abs(p - c) <= w).sum(axis=1) >= 23)) >= enough)
+        assert {tuple(v) for v in got} <= {tuple(v) for v in x[whole]} and len(got) >= 700
+
+
 def test_neighbours_of_a_repeated_id(spark):
     """All rows of an id that would fill a block meet the query."""
     vectors = spark.range(70_000).selectExpr("1L AS vec_id", "array(cast(id AS double), 1.0D) AS embedding")
