@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -12,6 +13,7 @@ from ..functions.text import invite_text, object_id
 from ..operators.relational import update, update_counts, with_columns
 from ..plans import verification as V
 from ..sinks.tables import replace_children
+from ..sources import archives as A
 from ..sources import filings as X
 from ..sources import testbed as T
 from ..sources.scratch import scratch, staged
@@ -111,7 +113,7 @@ def verify_flags(spark, sf_dir):
 
 
 def _archives(spark, sf_dir):
-    """The filings of each year as a zip archive in scratch, and a broken one; returns the folder."""
+    """The filings as zip archives in scratch, and a broken one; their paths."""
     path = scratch(spark, "archives")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +135,7 @@ def _archives(spark, sf_dir):
         store.create_dir(at)
         for f in frames:
             for c in f["content"]:
-                name = f"{at}/{abs(hash(c))}.zip"
+                name = f"{at}/{hashlib.md5(c).hexdigest()}.zip"
                 with store.open_output_stream(name) as out:
                     out.write(c)
                 yield pd.DataFrame({"path": [name if "://" not in path else f"{path}/{name.split('/')[-1]}"]})
@@ -159,6 +161,29 @@ def archive_filings(spark, sf_dir):
     return X.foundations(X.shred(X.read_members(members))).select("ein", "tax_year", "organization_name")
 
 
+def _archive_folder(spark, sf_dir) -> str:
+    return _archives(spark, sf_dir).first()["path"].rsplit("/", 1)[0]
+
+
+@query(f"""WITH {_ALL} SELECT ein || '_' || tax_year AS object_id, CAST(1 AS BIGINT) AS members, true AS has_bytes FROM u
+  UNION ALL SELECT (c_custkey * 2 + 1) || '_odd', CAST(1 AS BIGINT), true FROM customer WHERE c_custkey % 10 IN (0, 5, 7)""")
+def archive_members(spark, sf_dir):
+    """What the directories of archives list, by the data source; nothing is unpacked."""
+    A.register(spark)
+    listed = spark.read.format(A.FORMAT).schema("object_id string, size long").load(_archive_folder(spark, sf_dir))
+    return listed.groupBy("object_id").agg(F.count("*").alias("members"), (F.min("size") > 50).alias("has_bytes"))
+
+
+@query(f"""WITH {GRANTS} SELECT ein, tax_year, grantee_name, CASE WHEN is_foreign = 1 THEN country ELSE 'US' END AS country, is_foreign, purpose FROM g""")
+def lateral_grants(spark, sf_dir):
+    """Archives read by the data source and shredded by the table function, in SQL; ids with a dash or letter at the start are none of filings."""
+    A.register(spark)
+    files = spark.read.format(A.FORMAT).option("idFrom", "0").option("idBelow", ":").load(_archive_folder(spark, sf_dir))
+    sql = f"""SELECT f.ein, CAST(f.year AS INT) AS tax_year, g.name AS grantee_name, g.country, g.is_foreign, g.purpose
+      FROM {{files}} a, LATERAL {A.FUNCTION}(a.object_id, a.content) f, LATERAL inline(f.grants) g"""
+    return spark.sql(sql, files=files)
+
+
 @query(f"""WITH {_ALL} SELECT ein, tax_year,
     CASE WHEN {_K} % 3 = 0 THEN NULL WHEN {_K} % 3 = 1 THEN '' ELSE name END AS name, CAST(assets AS BIGINT) AS assets, '' AS website
   FROM u""")

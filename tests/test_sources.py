@@ -3,13 +3,14 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from grantlens.functions.text import first_truthy, invite_text
 from grantlens.operators.relational import with_columns
 from grantlens.plans import pending, verification
 from grantlens.sinks import tables
-from grantlens.sources import delimited, filings, organisations
+from grantlens.sources import archives, delimited, filings, organisations
 from grantlens.streaming.refresh import refresh
 
 
@@ -61,6 +62,60 @@ def test_short_and_quoted_rows(spark, tmp_path):
     assert [r.line for r in shown] == ['a,"say ""x"", y"', ',"say ""x"", y"']
 
 
+def _zips(folder, packing=zipfile.ZIP_DEFLATED):
+    for a in range(2):
+        with zipfile.ZipFile(folder / f"{a}.zip", "w", packing) as z:
+            for i in range(30):
+                z.writestr(f"x/{a}{i:02d}_public.xml", xml(f"{a}{i:02d}") if i % 7 else "<broken")
+            z.writestr("readme.txt", "x")
+    (folder / "bad.zip").write_text("nothing")
+    (folder / "empty.zip").write_text("")
+
+
+def _read(spark, folder, schema=None, **options):
+    archives.register(spark)
+    reader = spark.read.format(archives.FORMAT).options(**options)
+    return (reader.schema(schema) if schema else reader).load(str(folder))
+
+
+@pytest.mark.parametrize("split", [700, 1 << 30])
+def test_archive_source_reads_each_member_once(spark, tmp_path, split):
+    _zips(tmp_path)
+    got = _read(spark, tmp_path, splitBytes=split).collect()
+    want = {f"{a}{i:02d}": xml(f"{a}{i:02d}") if i % 7 else "<broken" for a in range(2) for i in range(30)}
+    assert len(got) == 60 and {r.object_id: r.content.decode() for r in got} == want
+    assert all(r.size == len(r.content) and r.archive.endswith(f"/{r.object_id[0]}.zip") and r.member == f"x/{r.object_id}_public.xml" for r in got)
+
+
+def test_archive_source_bounds_and_columns(spark, tmp_path):
+    _zips(tmp_path)
+    some = _read(spark, tmp_path, "object_id string, size long", idFrom="025", idBelow="103")
+    assert sorted(r.object_id for r in some.collect()) == ["025", "026", "027", "028", "029", "100", "101", "102"] and some.columns == ["object_id", "size"]
+    assert _read(spark, tmp_path / "1.zip", "member string").count() == 30
+    whole = _read(spark, tmp_path)
+    # a filtered query leaves the next one its rows
+    assert [whole.filter(c).count() for c in ("object_id = '115'", "true", "object_id < '003' AND size > 0", "true")] == [1, 60, 3, 60]
+    with pytest.raises(Exception, match="no such columns"):
+        _read(spark, tmp_path, "nothing string").count()
+
+
+def test_archive_source_damaged_member(spark, tmp_path):
+    _zips(tmp_path, zipfile.ZIP_STORED)
+    whole = (tmp_path / "1.zip").read_bytes()
+    (tmp_path / "1.zip").write_bytes(whole.replace(b"<EIN>105<", b"<EIN>1x5<"))
+    got = {r.object_id: r.content for r in _read(spark, tmp_path).collect()}
+    assert len(got) == 60 and [i for i, c in got.items() if c is None] == ["105"]
+
+
+def test_table_function_equals_shred(spark, tmp_path):
+    _zips(tmp_path)
+    files = _read(spark, tmp_path).unionByName(spark.createDataFrame([(None, None, "999", None, None)], "archive string, member string, object_id string, size long, content binary"))
+    got = spark.sql(f"SELECT f.* FROM {{files}} a, LATERAL {archives.FUNCTION}(a.object_id, a.content) f", files=files)
+    want = filings.shred(_read(spark, tmp_path).withColumnRenamed("member", "path"))
+    assert got.columns == want.columns and got.count() == 50
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_replace_children_keeps_others(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "ein string, tax_year int, v int"
     rows = lambda *x: spark.createDataFrame(x, schema)
