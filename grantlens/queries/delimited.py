@@ -148,9 +148,13 @@ def index_links(spark, sf_dir):
     return c.select("c_custkey", F.explode(D.index_links(F.expr(_HTML), F.lit("https://h.org"), 1996)).alias("link"))
 
 
-@query("SELECT y::INT AS year, 'https://h.org/' || y || '_TEOS_XML_' || lpad(m::VARCHAR, 2, '0') || 'A.zip' AS url FROM range(2023, 2025) t(y), range(1, 13) u(m)")
+@query("""SELECT y::INT AS year, 'https://h.org/' || y || '_TEOS_XML_' || lpad(m::VARCHAR, 2, '0') || 'A.zip' AS url, count(o_orderkey) AS filings
+  FROM range(1992, 2000) t(y) CROSS JOIN range(1, 13) u(m) LEFT JOIN orders ON year(o_orderdate) = y AND month(o_orderdate) = m
+  GROUP BY 1, 2""")
 def archive_names(spark, sf_dir):
-    return D.archive_names(spark, "https://h.org/")
+    """The archives of eight years by name, and how many filings the index puts into each."""
+    base = "https://h.org/"
+    return D.indexed_archives(D.archive_names(spark, base, list(range(1992, 2000))), T.index(spark, sf_dir), base)
 
 
 _DISK = "i AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y') AS y, o_orderkey % 4 = 0 AS here FROM orders WHERE o_custkey % 2 = 0)"

@@ -82,8 +82,20 @@ def index_links(html: Column, host: Column, year: int) -> Column:
     return F.array_distinct(_absolute(F.regexp_extract_all(html, F.lit(rf'(?i)href="([^"]*/{year}/[^"]*index[^"]*\.csv)"'), F.lit(1)), host))
 
 
+def archive_name(base: str, year: Column, month: Column) -> Column:
+    """The archive of a month; ``month`` is a number."""
+    named = F.replace(F.lit(base + ARCHIVE_NAME), F.lit("{year}"), year.cast("string"))
+    return F.replace(named, F.lit("{month}"), F.lpad(month.cast("string"), 2, "0"))
+
+
 def archive_names(spark: SparkSession, base: str, years: list[int] = ARCHIVE_YEARS) -> DataFrame:
     """year, url: one archive for each month."""
-    months = spark.range(1, 13).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("month"))
-    name = F.replace(F.replace(F.lit(ARCHIVE_NAME), F.lit("{year}"), F.col("year").cast("string")), F.lit("{month}"), F.col("month"))
-    return spark.createDataFrame([(y,) for y in years], "year int").join(months).select("year", F.concat(F.lit(base), name).alias("url"))
+    months = spark.createDataFrame([(y,) for y in years], "year int").withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return months.select("year", archive_name(base, F.col("year"), F.col("month")).alias("url"))
+
+
+def indexed_archives(names: DataFrame, index: DataFrame, base: str) -> DataFrame:
+    """names (year, url) with the filings that an index (sub_date) puts into each archive: 0 where it has none."""
+    day = F.to_date("sub_date")
+    held = index.groupBy(archive_name(base, F.year(day), F.month(day)).alias("url")).agg(F.count("*").alias("filings"))
+    return names.join(held, "url", "left").select("year", "url", F.coalesce("filings", F.lit(0).cast("long")).alias("filings"))
