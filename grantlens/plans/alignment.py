@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import amount
+from ..operators.matching import THRESHOLD, match_targets
+from ..sources.scratch import staged
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
@@ -85,10 +87,21 @@ def focus_of_grants(grants: DataFrame, faith: list[str] = vocab.FAITH_TERMS, abr
     return grants.groupBy("ein").agg(*_terms_in(F.lower("purpose"), faith + abroad), _share(faith + abroad)).select("ein", _focus(faith, abroad))
 
 
+def matched_grants(grants: DataFrame, targets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The grants (grantee_name, and any columns) whose recipient is a target (canonical, ordinal), with its ``canonical`` name.
+
+    Each distinct name is scored once. What matched is staged, so that both sides of the join are plain
+    exchanges and Spark can split a name that very many grants share.
+    """
+    found = match_targets(grants.select(F.col("grantee_name").alias("name")), targets, threshold)
+    found = staged(found.select(F.col("name").alias("grantee_name"), "canonical"), "matched_names")
+    return grants.join(found, "grantee_name")
+
+
 def grantee_points(matched: DataFrame, recency: Column) -> DataFrame:
     """ein, grantee_points, grantee_matches, grantee_match_count from matched grants (id, ein, canonical, amount).
 
-    Many orgs give diminishing points, large ones a bonus. Orgs are listed in the order of their first grant.
+    Many orgs give diminishing points, large ones a bonus. Orgs are listed in the order of their first grant (of one id, by name).
     """
     best = matched.groupBy("ein", "canonical").agg(F.max(F.col("amount") * recency).alias("m"), F.min("id").alias("first"))
     listed = F.array_sort(F.collect_list(F.struct("first", "canonical")))

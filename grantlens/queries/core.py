@@ -329,9 +329,32 @@ def rule_tagged_names(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", F.array_join(faith.rule_tags(name), "|").alias("tags"))
 
 
+def target_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(vocab.TARGETS)), "ordinal int, canonical string")
+
+
+def written_targets(grants: DataFrame) -> DataFrame:
+    """Grants whose recipients are target organisations as givers write them (longer, misspelt, reordered), or none at all."""
+    h = F.crc32("grantee_name")
+    target = F.element_at(F.array(*map(F.lit, vocab.TARGETS)), (h % len(vocab.TARGETS) + 1).cast("int"))
+    kind = F.floor(h / len(vocab.TARGETS)) % 5
+    written = (
+        F.when(kind == 0, F.concat(F.lit("The "), target, F.lit(", Inc."))).when(kind == 1, F.concat(F.substring(target, 1, 4), F.substring(target, 6, 1000)))
+        .when(kind == 2, F.array_join(F.reverse(F.split(target, " ")), " ")).when(kind == 3, F.upper(target)).otherwise(F.col("grantee_name"))
+    )
+    return grants.withColumn("grantee_name", written)
+
+
+@query()
+def matched_grantee_points(spark, sf_dir):
+    """Points for grants to target organisations, found by their names as written."""
+    g = staged(written_targets(T.grants(spark, sf_dir)).select("id", "ein", "grantee_name", "amount", "tax_year"), "written")
+    return alignment.grantee_points(alignment.matched_grants(g, target_list(spark)), F.when(F.col("tax_year") >= 1997, 1.2).otherwise(1.0))
+
+
 @query()
 def target_match(spark, sf_dir):
-    targets = spark.createDataFrame(list(enumerate(vocab.TARGETS)), "ordinal int, canonical string")
+    targets = target_list(spark)
     names = T.table(spark, sf_dir, "part").select(F.concat(F.element_at(F.array(*map(F.lit, vocab.TARGETS)), (F.col("p_partkey") % len(vocab.TARGETS) + 1).cast("int")), F.lit(" Inc of "), "p_brand").alias("name"))
     return match_targets(names, targets)
 

@@ -97,7 +97,7 @@ def index_scan(spark, sf_dir):
     for year in (1996, 1997, 2150):
         paths[year] = scratch(spark, f"index_{year}")
         tables.write_plain(index.filter(F.substring("sub_date", 1, 4) == str(year)).select(F.col("ein").alias("EIN"), F.col("object_id").alias("OBJECT_ID"), "RETURN_TYPE"), paths[year])
-    rows = D.scan_index(spark, paths, ["EIN", "OBJECT_ID", "RETURN_TYPE"]).filter("RETURN_TYPE = '990PF'")
+    rows = D.scan_index(spark, paths, ["EIN", "OBJECT_ID", "RETURN_TYPE"], line_feeds=False).filter("RETURN_TYPE = '990PF'")
     once = keep_first(rows, ["OBJECT_ID"], F.col("index_year"))
     return once.select(zero_padded(F.col("EIN")).alias("ein"), F.col("OBJECT_ID").alias("object_id"), "index_year", F.col("RETURN_TYPE").alias("return_type"))
 

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Quotes inside a field are doubled, and fields may hold line feeds.
-DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Quotes inside a field are doubled.
+DIALECT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 # Which organisations are private foundations, and the archives of a year.
 FOUNDATION_CODES = [2.0, 3.0, 4.0]
@@ -16,32 +16,38 @@ ARCHIVE_YEARS, ARCHIVE_NAME = [2023, 2024], "{year}_TEOS_XML_{month}A.zip"
 # End of fixed values.
 
 
-def scan(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """One file, or a folder of files of one header, as text columns; ``names`` replace the header's by place."""
-    df = spark.read.options(**DIALECT).csv(path)
+def scan(spark: SparkSession, path: str, names: list[str] | None = None, line_feeds: bool = True) -> DataFrame:
+    """One file, or a folder of files of one header, as text columns; ``names`` replace the header's by place.
+
+    Fields may hold line feeds, for which a file must be read by one task; without ``line_feeds`` large files are split over tasks.
+    """
+    df = spark.read.options(**DIALECT, multiLine=line_feeds).csv(path)
     return df.toDF(*names) if names else df
 
 
-def scan_filled(spark: SparkSession, path: str) -> DataFrame:
+def scan_filled(spark: SparkSession, path: str, line_feeds: bool = True) -> DataFrame:
     """As ``scan``, with '' for what is missing."""
-    return scan(spark, path).na.fill("")
+    return scan(spark, path, line_feeds=line_feeds).na.fill("")
 
 
-def scan_all(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+def scan_all(spark: SparkSession, paths: list[str], columns: list[str], line_feeds: bool = True) -> DataFrame:
     """The columns of several files, one after another; file_no and row_no give each row's place.
 
-    Only these columns are parsed: Spark prunes the others in the scan.
+    Only these columns are parsed: Spark prunes the others in the scan. Without ``line_feeds`` in fields large lists are split over tasks.
     """
-    parts = [scan(spark, p).select(*columns, F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("row_no")) for i, p in enumerate(paths)]
+    parts = [scan(spark, p, line_feeds=line_feeds).select(*columns, F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("row_no")) for i, p in enumerate(paths)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan_index(spark: SparkSession, paths: dict[int, str], columns: list[str]) -> DataFrame:
-    """Yearly index files with their index_year; a file that holds nothing adds no rows, a missing column is null."""
+def scan_index(spark: SparkSession, paths: dict[int, str], columns: list[str], line_feeds: bool = True) -> DataFrame:
+    """Yearly index files with their index_year; a file that holds nothing adds no rows, a missing column is null.
+
+    Without ``line_feeds`` in fields large files are split over tasks.
+    """
     empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns) + ", index_year int")
     parts = []
     for year, path in paths.items():
-        df = scan(spark, path)
+        df = scan(spark, path, line_feeds=line_feeds)
         parts.append(df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns), F.lit(year).alias("index_year")))
     return reduce(DataFrame.unionByName, parts, empty)
 

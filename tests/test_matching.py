@@ -10,6 +10,10 @@ from grantlens.functions.text import core_tokens, normalized, with_alias
 from grantlens.operators import nearest_text
 from grantlens.operators.entity_match import match_entities, token_set_pairs
 from grantlens.operators.matching import fuzzy_pairs, match_targets
+from grantlens.plans import alignment
+from grantlens.queries import QUERIES
+from grantlens.queries.core import target_list, written_targets
+from grantlens.sources import testbed
 from grantlens.operators.similar_pairs import chunks, grams, salted_join, sharing_chunks, similar_pairs
 from pyspark.sql import functions as F
 
@@ -98,9 +102,8 @@ def test_entity_match(spark, seed):
     assert empty[0].count() == 0 and empty[1].count() == len({(n, c or "", s or "") for n, c, s in names}) and match_entities(df.limit(0), to)[0].count() == 0
 
 
-def test_match_targets(spark):
-    rng = random.Random(3)
-    names = sorted({spoiled(rng, rng.choice(vocab.TARGETS)) for _ in range(200)} | {"CRU", "Cru Inc", "the", "map intl"})
+def brute_targets(spark, names):
+    """name: (target, score) of those that reach 90, every target scored."""
     df = spark.createDataFrame([(n,) for n in names], "name string")
     norms = {r.name: r.norm for r in df.withColumn("norm", normalized(with_alias(F.col("name")))).collect()}
     listed = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(vocab.TARGETS)], "i int, t string").withColumn("n", normalized(F.col("t"))).orderBy("i").collect()]
@@ -112,10 +115,39 @@ def test_match_targets(spark):
             best = exact[0] if exact else scores.index(max(scores))
             if scores[best] >= 90:
                 want[n] = (vocab.TARGETS[best], scores[best])
+    return want
+
+
+def test_match_targets(spark):
+    rng = random.Random(3)
+    names = sorted({spoiled(rng, rng.choice(vocab.TARGETS)) for _ in range(200)} | {"CRU", "Cru Inc", "the", "map intl"})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    want = brute_targets(spark, names)
     got = match_targets(df, spark.createDataFrame(list(enumerate(vocab.TARGETS)), "ordinal int, canonical string"))
     assert {r.name: (r.canonical, r.score) for r in got.collect()} == want and len(want) > 50
 
 
+def test_matched_grantee_points(spark):
+    """Grants to targets as written, scored target by target and giver by giver in plain Python."""
+    grants = written_targets(testbed.grants(spark, "/root/testdata/sf0.001")).select("id", "ein", "grantee_name", "amount", "tax_year")
+    rows = grants.orderBy("id").collect()
+    target = {n: t for n, (t, _) in brute_targets(spark, sorted({r.grantee_name for r in rows})).items()}
+    by_ein = {}
+    # ids may repeat: of one id the names decide
+    for r in sorted(rows, key=lambda r: (r.id, target.get(r.grantee_name, ""))):
+        if r.grantee_name in target:
+            best = by_ein.setdefault(r.ein, {})
+            t = target[r.grantee_name]
+            best[t] = max(best.get(t, 0), r.amount * (1.2 if r.tax_year >= 1997 else 1.0))
+    steps = [12, 8, 6, 4]
+    want = {e: (min(sum(steps[:len(b)]) + 2 * max(len(b) - 4, 0) + min(2 * sum(m > 25000 for m in b.values()), 5), 35), "; ".join(b), len(b)) for e, b in by_ein.items()}
+    got = QUERIES["matched_grantee_points"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.ein: (r.grantee_points, r.grantee_matches, r.grantee_match_count) for r in got} == want and len(got) == len(want) > 20
+    assert len({r.grantee_match_count for r in got}) > 2
+    none = alignment.matched_grants(grants.limit(0), target_list(spark))
+    assert none.count() == 0
+
+
 def test_fuzzy_pairs(spark):
     rng = random.Random(4)
     right = sorted({" ".join(rng.sample(WORDS[:14], rng.randrange(1, 5))) for _ in range(120)})

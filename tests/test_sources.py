@@ -54,6 +54,23 @@ def test_archives(spark, tmp_path):
     assert filings.member_counts(filings.wanted_members(members, ids("9"), ids())).first().bytes == 0
 
 
+def test_large_lists_are_split(spark, tmp_path):
+    path, conf = tmp_path / "list.csv", "spark.sql.files.maxPartitionBytes"
+    path.write_text("EIN,NAME\n" + "".join(f'{i:09d},"a ""b"" {i}"\n' for i in range(5000)))
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "16384")
+    try:
+        rows = delimited.scan_all(spark, [str(path)], ["EIN", "NAME"], line_feeds=False)
+        assert rows.rdd.getNumPartitions() > 4 and delimited.scan(spark, str(path)).rdd.getNumPartitions() == 1
+        got = [(r.EIN, r.NAME) for r in rows.orderBy("file_no", "row_no").collect()]
+    finally:
+        spark.conf.set(conf, before)
+    assert got == [(f"{i:09d}", f'a "b" {i}') for i in range(5000)]
+    path.write_text('EIN,NAME\n1,"two\nlines"\n')
+    assert delimited.scan_all(spark, [str(path)], ["NAME"]).first().NAME == "two\nlines"
+    assert delimited.scan_index(spark, {2023: str(path)}, ["NAME", "no"]).first().NAME == "two\nlines"
+
+
 def test_short_and_quoted_rows(spark, tmp_path):
     (tmp_path / "in.csv").write_text('a,"b,c",d\nshort\n\n"x ""y""",, z \n')
     got = {r.line: r.value for r in delimited.scan_place(spark, str(tmp_path / "in.csv"), 2).collect()}
