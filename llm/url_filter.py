@@ -12,9 +12,10 @@ from .common import staged
 #: the list's length: a longer list only raises the share of false positives, which the join removes.
 MAX_BLOCKS = 1 << 16
 KEYS_PER_BLOCK = 32
-#: A list of at most so many rules is broadcast to the join; a longer one is dealt out with salts.
+#: A list of at most so many rules is broadcast to the join; of a longer one the rules that take
+#: over 1 / HOT_RULES of all hits, fewer than HOT_RULES, are dealt out with salts.
 BROADCAST_RULES = 100_000
-SALTS = 16
+HOT_RULES, SALTS = 1000, 16
 BITS = 6
 
 RULES = [
@@ -113,9 +114,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     on = ["key", "host_length", "path_length"]
     if n_rules <= broadcast_rules:
         fits = hits.join(F.broadcast(listed), on)
-    else:  # hosts under one rule may be many: they are spread over salted copies of the list
-        salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        fits = hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
+    else:  # hosts under one rule may be many: they are spread over salted copies of that rule
+        hits = staged(hits, "hits")
+        hot = hits.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hits.count() // HOT_RULES)
+        # fewer than HOT_RULES rows, whatever the data: each has more than that share of the hits
+        hot = F.broadcast(staged(hot.select("key", F.lit(True).alias("hot")), "hot"))
+        copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salted = listed.join(hot, "key", "left").withColumn("salt", F.explode(copies)).drop("hot")
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
+        fits = hits.join(hot, "key", "left").withColumn("salt", salt).drop("hot").join(salted, [*on, "salt"])
     rule = F.concat(F.expr("substring(key, 1, host_length)"), F.expr("substring(key, host_length + 1)"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct((F.col("host_length") + F.col("path_length")).alias("size"), "host_length", rule.alias("rule"), "rule_verdict")).alias("best"))
     # staged, so that both sides of the join are plain exchanges and Spark can split a hot url
