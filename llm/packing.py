@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, by_bytes, flat_bytes, raw_texts, releasing, staged, text_of
+from .common import SPACE, Numbering, by_bytes, flat_bytes, raw_texts, releasing, staged, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -21,7 +22,7 @@ END_ID = 1
 RESERVE = 64 * CAPACITY
 #: Partitions whose last ends are packed together, and the first sequence id of that round.
 GROUP, REST_IDS = 64, 1 << 61
-#: Bytes of text tokenised together (one document more at most).
+#: Bytes of text tokenised together (one word more at most).
 CHUNK = 1 << 20
 #: Words encoded in one call.
 WORDS = 4096
@@ -29,6 +30,9 @@ WORDS = 4096
 CACHE_WORDS = 1_500_000
 
 
+_SPACE = re.compile(SPACE.encode())
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -77,6 +81,17 @@ class WordIds:
         return out, np.diff(per_word[bound])
 
 
+    def encode_long(self, text: bytes) -> np.ndarray:
+        """Ids of one text, encoded in slices of CHUNK bytes that end at white space."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + CHUNK)
+            end = cut.start() if cut else len(text)
+            out.append(self.encode([text[at:end]])[0])
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
 @lru_cache(maxsize=1)
 def word_ids(path: str, most: int) -> WordIds:
     """One for each Python worker."""
@@ -176,7 +191,12 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: in
             data, offsets = flat_bytes(batch.column(1))
             docs = batch.column(0).to_pylist()
             for a, b in by_bytes(offsets, CHUNK):
-                flat, sizes = word_ids(path, cache_words).encode(raw_texts(data, offsets[a : b + 1]))
+                texts = raw_texts(data, offsets[a : b + 1])
+                if offsets[b] - offsets[a] > CHUNK:  # one long text
+                    flat = word_ids(path, cache_words).encode_long(texts[0])
+                    sizes = np.array([len(flat)])
+                else:
+                    flat, sizes = word_ids(path, cache_words).encode(texts)
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist()):
                     ids = np.append(flat[at : at + n], np.uint32(end_id))
@@ -248,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     exactly (less than RESERVE tokens a partition) meet those of GROUP partitions in a second round, whose last
     sequences are cut to be powers of two long. Null and empty texts have the one closing
     id; equal rows are packed each; documents with null ids too; more columns are not used;
-    an empty table gives no rows; very long texts are encoded whole. Sequence ids rise by one within a partition.
+    an empty table gives no rows; very long texts are encoded in slices that end at white space. Sequence ids rise by one within a partition.
     """
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
