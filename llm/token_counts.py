@@ -28,6 +28,17 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _normalised(sp) -> str | None:
+    """A text that the model changes by more than a space in front and its own sign for spaces; None if it leaves all as they are."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(every[a : a + 256]) for a in range(0, len(every), 256)]
+    # white space at both ends and in runs; letters that would be composed
+    for text in ["a", " a", "a ", " \t a  b\n\n c ", "e\u0301", "\u1100\u1161", *blocks]:
+        if sp.normalize(text) != "▁" + text.replace(" ", "▁"):
+            return text
+    return None
+
+
 class PieceCounter:
     """Counts the pieces that a sentencepiece BPE model makes of texts.
 
@@ -41,6 +52,9 @@ class PieceCounter:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        changed = _normalised(sp)
+        if changed is not None:
+            raise ValueError(f"the model normalises texts: {changed!r}")
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = [sp.id_to_piece(i) for i in ids]
         score = np.array([sp.get_score(i) for i in ids])
