@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -189,6 +190,27 @@ def test_packing_over_many_partitions(spark):
     assert len(short) <= 11 and sum(lengths.values()) == sum(len(t.split()) + 1 for _, t, *_ in rows)
 
 
+def test_long_texts_are_encoded_in_slices(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    texts = ["", " ", "word", "  a\n", "x" * 500, "".join(rng.choice(["été ", "a", "\u00a0", " ", "\n\n", "long" * 30, "<s>", "\x1c"]) for _ in range(600)) + "\t"]
+    plain, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(packing, "CHUNK", size)
+        assert all(ids.encode_long(t.encode()).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+
+
+def test_models_that_normalise_are_refused():
+    class Changed:
+        def __init__(self, change):
+            self.normalize = lambda t: "▁" + change(t).replace(" ", "▁")
+
+    assert token_counts._normalised(Changed(lambda t: t)) is None
+    assert token_counts._normalised(Changed(str.strip)) == " a"
+    assert all(token_counts._normalised(Changed(f)) is not None for f in (str.lower, lambda t: unicodedata.normalize("NFC", t), lambda t: t.replace("  ", " "), lambda t: t.replace("\uff21", "A")))
+
+
 def test_fill_is_closest():
     rng = random.Random(3)
     for _ in range(200):
@@ -206,7 +228,7 @@ def test_fill_is_closest():
         assert sorted(took + [n for k, v in pool.by_length.items() for n in v]) == sorted(lengths)
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rng = random.Random(4)
     rules = [(rng.choice(["allow", "block"]), h, p) for h in ("com", "a.com", "b.a.com", "net", "xa.com", "x") for p in rng.sample(["/", "/en/", "/en/q", "/fr", "/é/"], 3)]
     urls = [None, "", "no host", "://", "http://", "http://com", "http://COM/", "http://xa.com/en/?q=/fr", "http://a.com#/en/", "HTTP://u.B.a.Com/en/q/2://x/", "http://.com/", "http://É.com/é/x\n/y", "http://a.com:80/en/"]
@@ -223,4 +245,10 @@ def test_url_filter(spark):
     for options in ({}, {"broadcast_rules": 0}, {"max_blocks": 1}):
         got = url_filter.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string"), **options).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want and len(got) == len(urls)
+    # few rules are hot, all, or none
+    for share in (3, 10**6, 1):
+        monkeypatch.setattr(url_filter, "HOT_RULES", share)
+        got = url_filter.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string"), broadcast_rules=0).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want and len(got) == len(urls)
+    assert url_filter.judge(df.limit(0), url_filter.rule_table(spark), broadcast_rules=0).count() == 0
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).count() == 0
