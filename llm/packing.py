@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +26,9 @@ RESERVE = 64 * CAPACITY
 #: Partitions whose last ends are packed together, and the first sequence id of that round.
 GROUP, REST_IDS = 64, 1 << 61
 #: Bytes of text tokenised together (one word more at most).
-CHUNK = 1 << 20
-#: Words encoded in one call.
-WORDS = 4096
+CHUNK = 1 << 21
+#: Words encoded in one call, and the word between them there.
+WORDS, BETWEEN = 1024, "\x01"
 #: Distinct words that a Python worker remembers before it starts anew.
 CACHE_WORDS = 1_500_000
 
@@ -50,36 +53,47 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.number = Numbering()
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each text)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text), of strings without nulls."""
         if len(self.number) > self.most:
             self._clear()
         known, number = len(self.number), self.number
-        words = [t.split() for t in texts]
-        codes = number.codes(chain.from_iterable(words))
+        # Arrow finds the distinct words (an empty one before leading white space has no ids), so that Python looks up few
+        lists = pc.ascii_split_whitespace(texts)
+        found = lists.flatten().dictionary_encode()
+        codes = number.codes(raw_texts(*flat_bytes(found.dictionary)))
         if len(number) > known:
-            new = list(islice(reversed(number), len(number) - known))[::-1]
-            sizes, ids = [], []
-            # in slices: an encoding holds far more than its ids
-            for a in range(0, len(new), WORDS):
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[a : a + WORDS]], add_special_tokens=False)]
-                sizes.append(np.array([len(x) for x in found], np.int64))
-                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
-            self.ids = np.concatenate([self.ids, *ids])
-        size = self.start[codes + 1] - self.start[codes]
+            self._encode_words(list(islice(reversed(number), len(number) - known))[::-1])
+        word = found.indices.to_numpy()
+        size = (self.start[codes + 1] - self.start[codes])[word]
         ends = np.cumsum(size)
-        out = self.ids[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        per_word = np.append(0, ends)
-        bound = np.append(0, np.cumsum([len(w) for w in words]))
-        return out, np.diff(per_word[bound])
-
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids[np.repeat(self.start[codes][word] - (ends - size), size) + np.arange(total)]
+        bound = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        return out, np.diff(np.append(0, ends)[bound])
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        # in slices: an encoding holds far more than its ids
+        found = [self._ids_of([w.decode("utf-8", "replace") for w in words[a : a + WORDS]]) for a in range(0, len(words), WORDS)]
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([sizes for sizes, _ in found]))])
+        self.ids = np.concatenate([self.ids, *(ids for _, ids in found)])
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids of all), in one call; where a word holds the id of BETWEEN too, one by one."""
+        if len(self.between) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.between[0])
+            if len(at) == len(words) - 1:
+                return np.diff(at, prepend=-1, append=len(ids)) - 1, np.delete(ids, at)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
 
     def encode_long(self, text: bytes) -> np.ndarray:
         """Ids of one text, encoded in slices of CHUNK bytes that end at white space."""
@@ -87,14 +101,15 @@ class WordIds:
         while at < len(text):
             cut = _SPACE.search(text, at + CHUNK)
             end = cut.start() if cut else len(text)
-            out.append(self.encode([text[at:end]])[0])
+            out.append(self.encode(pa.array([text[at:end]], pa.binary()).view(pa.string()))[0])
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str, most: int) -> WordIds:
-    """One for each Python worker."""
+    """One for each Python worker, which encodes in one thread: Spark gives each task a core of its own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordIds(path, most)
 
 
@@ -103,10 +118,15 @@ class Pool:
 
     def __init__(self) -> None:
         self.by_length: dict[int, list] = {}
+        #: Its keys, rising.
+        self.lengths: list[int] = []
         self.tokens = 0
 
     def add(self, length: int, item) -> None:
-        self.by_length.setdefault(length, []).append(item)
+        if length not in self.by_length:
+            self.by_length[length] = []
+            insort(self.lengths, length)
+        self.by_length[length].append(item)
         self.tokens += length
 
     def fill(self, capacity: int) -> list:
@@ -116,11 +136,11 @@ class Pool:
         length that occurs c times enters as groups of 1, 2, 4, ... copies; the
         counts are then read off backwards. It stops as soon as the sum is exact.
         """
-        lengths = sorted(self.by_length, reverse=True)
-        want = capacity - lengths[0]
+        longest = self.lengths[-1]
+        want = capacity - longest
         mask, reach, steps = (1 << want + 1) - 1, 1, []
-        for length in lengths:
-            left = min(len(self.by_length[length]) - (length == lengths[0]), want // length)
+        for length in reversed(self.lengths[: bisect_right(self.lengths, want)]):
+            left = min(len(self.by_length[length]) - (length == longest), want // length)
             group = 1
             while left > 0:
                 n = min(group, left)
@@ -130,7 +150,7 @@ class Pool:
             if reach >> want & 1:
                 break
         at = reach.bit_length() - 1
-        counts = {lengths[0]: 1}
+        counts = {longest: 1}
         for length, n, before in reversed(steps):
             if not before >> at & 1:
                 counts[length] = counts.get(length, 0) + n
@@ -140,7 +160,7 @@ class Pool:
             for _ in range(n):
                 out.append(self.by_length[length].pop())
             if not self.by_length[length]:
-                del self.by_length[length]
+                del self.by_length[length], self.lengths[bisect_left(self.lengths, length)]
             self.tokens -= n * length
         return out
 
@@ -188,15 +208,15 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: in
         pool, out = Pool(), None
         for batch in batches:
             out = out or Sequences(batch.schema.field(0).type, partition << 40, with_ids)
-            data, offsets = flat_bytes(batch.column(1))
+            text = batch.column(1)
+            data, offsets = flat_bytes(text)
             docs = batch.column(0).to_pylist()
             for a, b in by_bytes(offsets, CHUNK):
-                texts = raw_texts(data, offsets[a : b + 1])
                 if offsets[b] - offsets[a] > CHUNK:  # one long text
-                    flat = word_ids(path, cache_words).encode_long(texts[0])
+                    flat = word_ids(path, cache_words).encode_long(data[offsets[a] : offsets[b]].tobytes())
                     sizes = np.array([len(flat)])
                 else:
-                    flat, sizes = word_ids(path, cache_words).encode(texts)
+                    flat, sizes = word_ids(path, cache_words).encode(text.slice(a, b - a))
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist()):
                     ids = np.append(flat[at : at + n], np.uint32(end_id))

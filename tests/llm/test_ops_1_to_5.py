@@ -1,6 +1,7 @@
 """Operators 1 to 5 on small tables, against brute force and the tokenizers' own libraries."""
 
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -8,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import exact_dedup, mixing, packing, token_counts, url_filter
@@ -201,6 +203,51 @@ def test_long_texts_are_encoded_in_slices(monkeypatch):
         assert all(ids.encode_long(t.encode()).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_words_are_looked_up_once_a_chunk(monkeypatch):
+    """Python sees the distinct words of a chunk only; Arrow splits at the same six characters as before."""
+    from tokenizers import Tokenizer
+
+    texts = ["", " ", " \t lead", "trail \r\n", "a b " * 5000, "a\x0bb\x0cc\x1cd\x1fe\x85f\u00a0g\u2003h\x00i", "é e\u0301 \u0301 ’s 's", "<|endoftext|>a <| endoftext|>", "x" * 3000, "B a"]
+    seen, plain, ids = [], Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    codes = packing.Numbering.codes
+    monkeypatch.setattr(packing.Numbering, "codes", lambda self, keys: codes(self, [k for k in keys if not seen.append(k)]))
+    for column in (pa.array(["out", *texts, "out"]).slice(1, len(texts)), pa.array(texts, pa.large_string()), pa.array(texts[:0], pa.string())):
+        flat, sizes = ids.encode(column)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[: len(column)]]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+    assert len(seen) == 2 * len({w for t in texts for w in re.split(r"[ \t-\r]+", t)})
+    # bytes that are no UTF-8 are replaced
+    flat, _ = ids.encode(pa.array([b"a \xff\xfe b\xc3 \xa9"], pa.binary()).view(pa.string()))
+    assert flat.tolist() == plain.encode("a \ufffd\ufffd b\ufffd \ufffd", add_special_tokens=False).ids
+
+
+def test_words_that_hold_the_word_between(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    words = ["a", "\x01", "b\x01", "\x01\x01c", "", "It's", "\x01"]
+    want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+    for between in ("\x01", "a", "two parts", ""):
+        ids.between = plain.encode(between, add_special_tokens=False).ids
+        monkeypatch.setattr(packing, "BETWEEN", between)
+        for some in (words, words[:1], [w for w in words if "\x01" not in w]):
+            sizes, flat = ids._ids_of(some)
+            mine = [x for w, x in zip(words, want) if w in some]
+            assert sizes.tolist() == [len(x) for x in mine] and flat.tolist() == sum(mine, [])
+
+
+def test_a_worker_encodes_in_one_thread(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "")  # so that it is as before afterwards
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM")
+    packing.word_ids.cache_clear()
+    packing.word_ids(packing.default_tokenizer(), 10)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    packing.word_ids.cache_clear()
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    packing.word_ids(packing.default_tokenizer(), 10)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
+
+
 def test_models_that_normalise_are_refused():
     class Changed:
         def __init__(self, change):
