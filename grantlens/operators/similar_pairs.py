@@ -29,6 +29,11 @@ def _edits(total: Column, least: float) -> Column:
     return F.floor((1 - least) * total + 1e-9).cast("int")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to as many tasks as shuffles have by setting: small tables of costly pairs else end up in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """Inner join on one key; of a key with over ``most`` rows on a side, the rows of that side are dealt out and the other side's copied to each deal."""
     n = left.groupBy(key).agg(F.count("*").alias("n_left")).join(right.groupBy(key).agg(F.count("*").alias("n_right")), key)
@@ -39,7 +44,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, most: int = MOST) -
         mine = F.pmod(F.xxhash64(*(F.col(c) for c in side.columns)), F.coalesce(own, F.lit(1)))
         return cells.withColumn(f"{own}_at", mine).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))).drop("lefts", "rights")
 
-    met = dealt(left, "lefts", "rights").join(dealt(right, "rights", "lefts"), [key, "lefts_at", "rights_at"])
+    at = [key, "lefts_at", "rights_at"]
+    met = spread(dealt(left, "lefts", "rights"), *at).join(spread(dealt(right, "rights", "lefts"), *at), at)
     return met.drop("lefts_at", "rights_at")
 
 
@@ -74,7 +80,7 @@ def sharing_chunks(left: DataFrame, right: DataFrame, a: str, b: str, least: flo
     rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")))
     first = cut.join(counts, "key", "left").groupBy(a, "size").agg(rare.alias("rare"))
     first = first.select(a, F.explode(F.slice("rare", F.lit(1), F.floor(share * F.col("size") + 1e-9).cast("int") + 1)).alias("one")).filter("one.n > 0").select(a, F.col("one.key").alias("key")).distinct()
-    return salted_join(first, posted, "key").select(a, b).distinct()
+    return spread(salted_join(first, posted, "key").select(a, b), a, b).distinct()
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
@@ -85,4 +91,4 @@ def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     xs = left.select(a).filter(F.col(a) != "").distinct().withColumn("tokens", F.array(a))
     ys = right.select(b).filter(F.col(b) != "").distinct().withColumn("tokens", F.array(b))
     met, budget = sharing_chunks(xs, ys, a, b, least, False), _edits(F.length(a) + F.length(b), least)
-    return met.filter((F.abs(F.length(a) - F.length(b)) <= budget) & (F.levenshtein(F.col(a), F.col(b)) <= budget))
+    return met.filter((F.abs(F.length(a) - F.length(b)) <= budget) & (F.call_function("levenshtein", F.col(a), F.col(b), budget) >= 0))
