@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import application_status, first_truthy, object_id, reply_array, whole_number
-from ..operators.entity_match import match_entities
+from ..operators.entity_match import matched_entities
 from ..plans import alignment, counters
 from ..sources import testbed as T
 from ..sources.scratch import staged
@@ -63,8 +63,7 @@ def _batch(spark, sf_dir):
     name = F.when(k % 4 == 0, F.concat(F.lit("qqqq zzzz "), k.cast("string"))).otherwise(F.concat("c_name", F.lit(" Inc")))
     rows = T.table(spark, sf_dir, "customer").select(name.alias("name"), F.lit("").alias("city"), F.lit("").alias("state"), amount.alias("grant_amount"))
     entities = T.universe(spark, sf_dir).select("ein", "name", F.lit("").alias("city"), "state")
-    matched, _ = match_entities(rows, entities)
-    return alignment.score_batch(rows, matched, staged(alignment_score(spark, sf_dir), "scores"))
+    return alignment.score_batch(rows, matched_entities(rows, entities), staged(alignment_score(spark, sf_dir), "scores"))
 
 
 @query(f"WITH {_BATCH} SELECT * FROM b")

@@ -7,7 +7,7 @@ import pytest
 from grantlens import vocab
 from grantlens.functions.similarity import ratio_of, token_set_of, token_sort_of
 from grantlens.functions.text import core_tokens, normalized, with_alias
-from grantlens.operators import nearest_text
+from grantlens.operators import entity_match, nearest_text
 from grantlens.operators.entity_match import match_entities, token_set_pairs
 from grantlens.operators.matching import fuzzy_pairs, match_targets
 from grantlens.plans import alignment
@@ -263,3 +263,44 @@ def test_nearest_texts(spark, monkeypatch):
     rows = {r["query"]: (-r.score, r.text) for r in got.collect()}
     assert rows == {q: min((-ratio_of(q, t), t) for t in texts) for q in queries}
     assert nearest_text.nearest_texts(spark.createDataFrame([("a",)], "query string"), spark.createDataFrame([], "text string, rank string")).collect() == []
+
+
+def test_nearest_entity_of_one_name(spark, tmp_path):
+    """So many entities of one name that all pairs would be 400 million; places may be null."""
+    n = 20000
+    place = lambda k, many, c: None if k % 11 == 3 else f"{c}{k % many}"
+    rows = [(k, "hot ring", place(k, 97, "Brand#"), place(k // 3, 53, "T")) for k in range(n)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: r.ein for r in QUERIES["nearest_entity"](spark, str(tmp_path)).collect()}
+    first, best = {}, {}
+    for k, _, brand, kind in rows:
+        first.setdefault((brand, kind), k)
+    for k, _, brand, kind in rows:
+        state = "elsewhere" if k % 7 == 0 else brand
+        if (state, kind) not in best:
+            same = lambda x, y: 2 if x is None or y is None else int(x != y)
+            best[state, kind] = min((same(state, b), same(kind, t), e) for (b, t), e in first.items())[2]
+    assert got == {k: f"{best['elsewhere' if k % 7 == 0 else b, t]:09d}" for k, _, b, t in rows}
+
+
+def test_entities_of_one_name_are_not_paired(spark, monkeypatch):
+    """What the nearest is chosen from grows with texts and rows, not with their product."""
+    seen, real = [], entity_match.best_near
+
+    def counted(*frames, **more):
+        seen.extend(f.count() for f in frames if hasattr(f, "count"))
+        return real(*frames, **more)
+
+    monkeypatch.setattr(entity_match, "best_near", counted)
+    names = spark.createDataFrame([(n, f"c{i}", "") for n in ("Hope River Fund", "Hopes River", "River Hope", "Hope River Grace") for i in range(100)], "name string, city string, state string")
+    to = spark.createDataFrame([(f"{i:09d}", "Hope River", f"C{i % 90}", "") for i in range(900)], "ein string, name string, city string, state string")
+    matched = entity_match.match_entities(names, to)[0].collect()
+    assert {(r.city, r.ein) for r in matched} == {(f"c{i}", f"{i if i < 90 else 0:09d}") for i in range(100)} and len(matched) == 400
+    assert seen and max(seen) <= 1300
+
+
+def test_target_names_are_made_distinct_first(spark):
+    """Normal forms are made of staged distinct names: no filter on them can move below the distinct."""
+    names = spark.range(1000).select(F.concat(F.lit("Cru "), (F.col("id") % 3).cast("string")).alias("name"))
+    found = match_targets(names, target_list(spark))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
