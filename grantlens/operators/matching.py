@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio, ratio_of, token_set_of, token_sort, token_sort_of
 from ..functions.text import normalized, with_alias
+from ..sources.scratch import staged
 from .similar_pairs import similar_pairs
 
 THRESHOLD = 90
@@ -47,7 +48,8 @@ def match_targets(names: DataFrame, targets: DataFrame, threshold: int = THRESHO
     listed = [(r.canonical, r.norm) for r in targets.select("canonical", "ordinal", normalized(F.col("canonical")).alias("norm")).orderBy("ordinal").collect()]
     place = {norm: i for i, (_, norm) in reversed(list(enumerate(listed)))}
     exact = F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), F.col("norm"))
-    left = names.select("name").distinct().withColumn("norm", normalized(with_alias(F.col("name")))).filter("norm <> ''")
+    # staged: else the filter on normal forms moves below the distinct, and every row of names is normalised
+    left = staged(names.select("name").distinct(), "target_names").withColumn("norm", normalized(with_alias(F.col("name")))).filter("norm <> ''")
     best = _best_target([n for _, n in listed], threshold)
     hit = left.withColumn("exact", exact).withColumn("best", F.when(F.col("exact").isNull(), best("norm")))
     canonical = F.element_at(F.array(*(F.lit(c) for c, _ in listed)), F.coalesce("exact", "best.place") + 1)
