@@ -39,18 +39,27 @@ def _phone(text: Column) -> Column:
     return F.when(filer.rlike(there), _value(filer, "PhoneNum")).when(officer.rlike(there), _value(officer, "PhoneNum")).otherwise(_value(others, "PhoneNum"))
 
 
-def second_profile(files: DataFrame) -> DataFrame:
-    """object_id, ein, tax_year and FIELDS of files (path, content) with a nine-digit EIN of the filer and a four-digit year."""
-    text = utf8_text(F.col("content"))
-    read = files.select(object_id(F.col("path")).alias("object_id"), text.alias("text"))
+def with_profile(files: DataFrame) -> DataFrame:
+    """files (path, content) with what the patterns read in ``second``."""
     t = F.col("text")
     revenue = _value(t, "TotalRevAndExpnssAmt")
-    found = read.select(
-        "object_id", _value(t, "EIN", r"\d{9}", "Filer").alias("ein"), _value(t, "TaxYr", r"\d{4}").alias("year"), website(_value(t, "WebsiteAddressTxt")).alias("website"), phone(_phone(t)).alias("phone"),
+    second = F.struct(
+        _value(t, "EIN", r"\d{9}", "Filer").alias("ein"), _value(t, "TaxYr", r"\d{4}").alias("year"), website(_value(t, "WebsiteAddressTxt")).alias("website"), phone(_phone(t)).alias("phone"),
         number_or_null(revenue).alias("revenue"), (F.upper(_value(t, "OnlyContriToPreselectedInd")) == "X").cast("int").alias("invite_only"),
         _value(t, "RecipientPersonNm", inside="ApplicationSubmissionInfoGrp").alias("contact_person"),
     )
-    return found.filter("ein <> '' AND year <> ''").select("object_id", "ein", F.col("year").cast("int").alias("tax_year"), *FIELDS)
+    return files.withColumn("text", utf8_text(F.col("content"))).select("path", "content", second.alias("second"))
+
+
+def profile_of(read: DataFrame) -> DataFrame:
+    """``second_profile`` of files whose object_id and ``second`` are there."""
+    found = read.select("object_id", "second.*").filter("ein <> '' AND year <> ''")
+    return found.select("object_id", "ein", F.col("year").cast("int").alias("tax_year"), *FIELDS)
+
+
+def second_profile(files: DataFrame) -> DataFrame:
+    """object_id, ein, tax_year and FIELDS of files (path, content) with a nine-digit EIN of the filer and a four-digit year."""
+    return profile_of(with_profile(files).select(object_id(F.col("path")).alias("object_id"), "second"))
 
 
 def second_flags(files: DataFrame) -> DataFrame:

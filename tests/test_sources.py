@@ -185,3 +185,47 @@ def test_small_functions(spark):
     got = df.select(first_truthy(F.col("p"), F.col("q"), F.col("r")).alias("t"), invite_text(F.col("f")).alias("i")).collect()
     assert [tuple(r) for r in got] == [("x", ""), ("a", "Invite Only")]
     assert with_columns(df, {"p": ("int", 1), "z": ("int", 1)}).dtypes[-1] == ("z", "int")
+
+
+def test_shredded_columns(spark):
+    """Only the columns named are read, and as the whole reading has them; files that don't parse have rows if they are asked for."""
+    from grantlens.sources import filings as X
+    from grantlens.sources import testbed as T
+
+    files = T.filings_xml(spark, "/root/testdata/sf0.001")
+    whole = X.shred(files)
+    some = ["object_id", "ein", "year", "activities"]
+    assert sorted(X.shred(files, some).collect()) == sorted(whole.select(some).collect())
+    given = whole.select("object_id", (F.size("grants") > 0).cast("int").alias("has_grants"))
+    assert sorted(X.shred(files, ["object_id", "has_grants"]).collect()) == sorted(given.collect())
+    marked = X.shred(files.withColumn("n", F.length("content")), ["object_id", "ein"], ["n"], every=True).collect()
+    assert len(marked) == files.count() > whole.count() == sum(r.ein is not None for r in marked) and all(r.n > 0 for r in marked)
+
+
+def test_profiles_are_read_in_one_pass(spark):
+    """verify_profiles makes the filings once: its result reads no line items any more."""
+    from grantlens.queries import QUERIES
+
+    plan = QUERIES["verify_profiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_foundations_shuffle_no_grants(spark):
+    from grantlens.queries import QUERIES
+
+    plan = QUERIES["xml_foundations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "grants#" not in plan.replace("has_grants#", "")
+
+
+def test_archives_are_packed_where_filings_are_made(spark):
+    """Members are deflated, and no exchange carries documents."""
+    import zipfile
+    from grantlens.queries import filings as Q
+
+    paths = [r.path.removeprefix("file://") for r in Q._archives(spark, "/root/testdata/sf0.001").collect()]
+    members = []
+    for p in paths:
+        if zipfile.is_zipfile(p):
+            members += zipfile.ZipFile(p).infolist()
+    assert len({m.filename for m in members if m.filename != "readme.txt"}) == 843 and all(m.compress_type == zipfile.ZIP_DEFLATED for m in members)
+    assert sum(not zipfile.is_zipfile(p) for p in paths) == 1
