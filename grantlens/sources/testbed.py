@@ -22,9 +22,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = lambda n: table(spark, sf_dir, n)
     orders = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("tax_year")).join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor("l_extendedprice").alias("amount"))
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.floor("l_extendedprice").alias("amount"))
     given = lines.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    given = given.select("o_custkey", "tax_year", "id", "l_partkey", "amount", "s_nationkey", (F.col("s_nationkey") != F.col("c_nationkey")).cast("int").alias("is_foreign"))
+    given = given.select("o_custkey", "tax_year", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey", "amount", "s_nationkey", (F.col("s_nationkey") != F.col("c_nationkey")).cast("int").alias("is_foreign"))
     named = given.join(t("part").select("p_partkey", F.col("p_name").alias("grantee_name"), F.col("p_type").alias("purpose")), F.col("l_partkey") == F.col("p_partkey"))
     return named.select("o_custkey", "tax_year", "id", "grantee_name", "purpose", "amount", "s_nationkey", "is_foreign")
 
